@@ -3,9 +3,16 @@
 Each stage adds columns; tiers are integers (0 none, 1 LOW, 2 MED, 3 HIGH)
 until the last projection. Nothing here shuffles: the only join is the
 broadcast of the four-row parameter table.
+
+Between stages the row counts that explain a thin result (games priced, games
+past the gate) are observed. The observation points also keep each generated
+method below the size the JVM compiles, which is worth a factor of eight, and
+keep filters on the tier from being pushed down and repeating the computation.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions.numbers import clamp
@@ -64,146 +71,89 @@ def with_probabilities(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def with_best_side(df: DataFrame) -> DataFrame:
-    """The side with more expected value, then the larger edge, then home."""
-    size_h, size_a = F.abs("edge_home"), F.abs("edge_away")
-    home = (F.col("ev_home") > F.col("ev_away")) | (
-        (F.col("ev_home") == F.col("ev_away")) & (size_h >= size_a)
-    )
-    df = df.withColumn("home_best", home)
-    either = lambda name: F.when(
-        F.col("home_best"), F.col(f"{name}_home")
-    ).otherwise(F.col(f"{name}_away"))
-    df = df.withColumns(
-        {
-            "side": F.when(F.col("home_best"), "HOME").when(~F.col("home_best"), "AWAY"),
-            "edge_pct": either("edge"),
-            "model_prob": either("model"),
-            "market_prob": either("market"),
-            "ev": either("ev"),
-            "pay": either("pay"),
-            "price": either("ml"),
-            "z": F.abs("x"),
-            "z_tier": z_for_tiering(F.col("x")),
-        }
-    )
-    lose = F.lit(1.0) - F.col("model_prob")
-    return df.withColumns(
-        {
-            "e": F.abs("edge_pct"),
-            "kelly": (F.col("pay") * F.col("model_prob") - lose) / F.col("pay"),
-            "open_gate": (F.col("ev") > 0) & (F.col("z_tier") >= F.col("p_z_any")),
-            "dead": (F.abs("edge_pct") < F.col("p_dead_edge")) | (F.col("ev") < F.col("p_dead_ev")),
-            "tighten": F.when(F.abs("x") < F.col("p_tight_z1"), F.col("p_tight_m1"))
-            .when(F.abs("x") < F.col("p_tight_z2"), F.col("p_tight_m2"))
-            .otherwise(1.0),
-        }
-    )
-
-
-def tier_from_ev() -> Column:
-    e, ev = F.col("e"), F.col("ev")
-    passes = lambda tier: (ev >= EV_TIER[tier][0]) & (e >= EV_TIER[tier][1])
-    firm = F.col("z_tier") >= F.col("p_z_med_high")
-    return (
-        F.when(F.col("dead"), NONE)
-        .when(passes("high") & firm, HIGH)
-        .when(passes("med") & firm, MED)
-        .when(passes("low"), LOW)
-        .otherwise(NONE)
-    )
+# HOME on a full tie: more expected value wins, then the larger edge.
+HOME_BEST = "ev_home > ev_away OR (ev_home = ev_away AND abs(edge_home) >= abs(edge_away))"
 
 
-def tier_from_delta_z() -> Column:
+def with_best_side(df: DataFrame) -> DataFrame:
+    """The better side of each game and the quantities the tiers look at."""
+    either = lambda name, out: f"if(home_best, {name}_home, {name}_away) AS {out}"
+    df = df.selectExpr("*", f"{HOME_BEST} AS home_best").selectExpr(
+        "*",
+        "CASE WHEN home_best THEN 'HOME' WHEN NOT home_best THEN 'AWAY' END AS side",
+        either("edge", "edge_pct"),
+        either("model", "model_prob"),
+        either("market", "market_prob"),
+        either("ev", "ev"),
+        either("pay", "pay"),
+        either("ml", "price"),
+        "abs(x) AS z",
+    )
+    df = df.withColumn("z_tier", z_for_tiering(F.col("x")))
+    return df.selectExpr(
+        "*",
+        "abs(edge_pct) AS e",
+        "(pay * model_prob - (1 - model_prob)) / pay AS kelly",
+        "ev > 0 AND z_tier >= p_z_any AS open_gate",
+        "abs(edge_pct) < p_dead_edge OR ev < p_dead_ev AS dead",
+        "CASE WHEN z < p_tight_z1 THEN p_tight_m1 WHEN z < p_tight_z2 THEN p_tight_m2 ELSE 1D END AS tighten",
+    )
+
+
+def tier_from_ev() -> str:
+    passes = lambda tier: "ev >= {}D AND e >= {}D".format(*EV_TIER[tier])
+    return f"""CASE WHEN dead THEN {NONE}
+        WHEN {passes("high")} AND z_tier >= p_z_med_high THEN {HIGH}
+        WHEN {passes("med")} AND z_tier >= p_z_med_high THEN {MED}
+        WHEN {passes("low")} THEN {LOW} ELSE {NONE} END"""
+
+
+def tier_from_delta_z() -> str:
     """HIGH needs edge, z and value; MED and LOW two of the three."""
-
-    def votes(level):
-        over = lambda x, p: (F.col(x) >= F.col(f"p_{level}_{p}") * F.col("tighten")).cast("int")
-        return over("e", "delta") + over("z", "z") + over("ev", "ev")
-
-    firm = F.col("z_tier") >= F.col("p_z_med_high")
-    return (
-        F.when(F.col("dead"), NONE)
-        .when((votes("high") == 3) & firm, HIGH)
-        .when((votes("med") >= 2) & firm, MED)
-        .when(votes("low") >= 2, LOW)
-        .otherwise(NONE)
-    )
-
-
-def ev_guard(tier: Column) -> Column:
-    """A tier keeps sinking until the value supports it."""
-    ev = F.col("ev")
-    return (
-        F.when((tier == HIGH) & (ev >= F.col("p_guard_high")), HIGH)
-        .when((tier >= MED) & (ev >= F.col("p_guard_med")), MED)
-        .when((tier >= LOW) & (ev >= F.col("p_guard_low")), LOW)
-        .otherwise(NONE)
-    )
-
-
-def spread_brake(tier: Column) -> Column:
-    """Close to the spread a tier drops one step; very close it goes."""
-    delta, near = F.col("spread_delta"), F.col("p_near_spread")
-    lower = F.when(tier == HIGH, MED).when((tier >= LOW) & F.col("p_keeps_low"), LOW).otherwise(NONE)
-    return F.when(delta <= near * 0.33, NONE).when(delta <= near, lower).otherwise(tier)
-
-
-def swing_boost(tier: Column) -> Column:
-    """Far from the spread a tier rises one step; HIGH has to qualify, or becomes MED."""
-    worth = (
-        (F.col("ev") >= F.col("p_swing_ev"))
-        & (F.col("e") >= F.col("p_swing_edge"))
-        & (F.col("z_tier") >= F.col("p_z_any"))
-    )
-    far = (F.col("spread_delta") < INFINITY) & (F.col("spread_delta") >= F.col("p_swing_points"))
-    qualifies = (
-        (F.col("ev") >= F.col("p_high_ev"))
-        & (F.col("e") >= F.col("p_high_delta") * 0.95)
-        & (F.col("z_tier") >= F.col("p_z_med_high"))
-    )
-    raised = F.when(tier == LOW, MED).when(qualifies, HIGH).otherwise(MED)
-    return F.when((tier >= LOW) & worth & far, raised).otherwise(tier)
-
-
-def price_brake(tier: Column) -> Column:
-    """Heavy favourites with a thin edge drop one step."""
-    heavy = (F.col("price") < F.col("p_price_limit")) & (F.col("e") < F.col("p_price_edge"))
-    lower = F.when((tier == LOW) & F.col("p_keeps_low"), LOW).otherwise(
-        F.greatest(tier - 1, F.lit(NONE))
-    )
-    return F.when(heavy, lower).otherwise(tier)
-
-
-def kelly_guard(tier: Column) -> Column:
-    """One step down where the Kelly fraction is too small; a NULL floor is not enforced."""
-    floor = (
-        F.when(tier == HIGH, F.col("p_kelly_high"))
-        .when(tier == MED, F.col("p_kelly_med"))
-        .when(tier == LOW, F.col("p_kelly_low"))
-    )
-    return F.when(F.col("kelly") < floor, tier - 1).otherwise(tier)
-
-
-def low_fallback(tier: Column) -> Column:
-    """Games that almost reach LOW and are clear of the spread are shown as LOW."""
-    almost = (
-        (F.col("ev") >= F.col("p_low_ev") * 0.95)
-        & (F.col("e") >= F.col("p_low_delta") * 0.95)
-        & (F.col("z_tier") >= F.col("p_z_any") * 0.9)
-    )
-    clear = F.col("spread_delta") > F.col("p_near_spread") * 0.6
-    return F.when((tier == NONE) & almost & clear, LOW).otherwise(tier)
-
-
-GUARDS = [
-    ("tier_guarded", ev_guard),
-    ("tier_braked", spread_brake),
-    ("tier_boosted", swing_boost),
-    ("tier_priced", price_brake),
-    ("tier_kelly", kelly_guard),
-    ("tier_final", low_fallback),
-]
+    votes = lambda level: (
+        f"int(e >= p_{level}_delta * tighten) + int(z >= p_{level}_z * tighten)"
+        f" + int(ev >= p_{level}_ev * tighten)"
+    )
+    return f"""CASE WHEN dead THEN {NONE}
+        WHEN {votes("high")} = 3 AND z_tier >= p_z_med_high THEN {HIGH}
+        WHEN {votes("med")} >= 2 AND z_tier >= p_z_med_high THEN {MED}
+        WHEN {votes("low")} >= 2 THEN {LOW} ELSE {NONE} END"""
+
+
+# Each guard maps the tier of the column named by ``{t}``;
+GUARDS = {
+    # A tier keeps sinking until the value supports it.
+    "tier_guarded": """CASE
+        WHEN {t} = 3 AND ev >= p_guard_high THEN 3
+        WHEN {t} >= 2 AND ev >= p_guard_med THEN 2
+        WHEN {t} >= 1 AND ev >= p_guard_low THEN 1 ELSE 0 END""",
+    # Close to the spread a tier drops one step; very close it goes.
+    "tier_braked": """CASE
+        WHEN spread_delta <= p_near_spread * 0.33D THEN 0
+        WHEN spread_delta > p_near_spread THEN {t}
+        WHEN {t} = 3 THEN 2
+        WHEN {t} >= 1 AND p_keeps_low THEN 1 ELSE 0 END""",
+    # Far from the spread a tier rises one step; HIGH has to qualify, or becomes MED.
+    "tier_boosted": """CASE
+        WHEN {t} = 0 OR spread_delta = double('Infinity') OR spread_delta < p_swing_points
+          OR ev < p_swing_ev OR e < p_swing_edge OR z_tier < p_z_any THEN {t}
+        WHEN {t} = 1 THEN 2
+        WHEN ev >= p_high_ev AND e >= p_high_delta * 0.95D AND z_tier >= p_z_med_high THEN 3
+        ELSE 2 END""",
+    # Heavy favourites with a thin edge drop one step.
+    "tier_priced": """CASE
+        WHEN price < p_price_limit AND e < p_price_edge
+        THEN if({t} = 1 AND p_keeps_low, 1, greatest({t} - 1, 0)) ELSE {t} END""",
+    # One step down where the Kelly fraction is too small; a NULL floor is not enforced.
+    "tier_kelly": """CASE
+        WHEN kelly < CASE {t} WHEN 3 THEN p_kelly_high WHEN 2 THEN p_kelly_med WHEN 1 THEN p_kelly_low END
+        THEN {t} - 1 ELSE {t} END""",
+    # Games that almost reach LOW and are clear of the spread are shown as LOW.
+    "tier_final": """CASE
+        WHEN {t} = 0 AND ev >= p_low_ev * 0.95D AND e >= p_low_delta * 0.95D
+          AND z_tier >= p_z_any * 0.9D AND spread_delta > p_near_spread * 0.6D THEN 1
+        ELSE {t} END""",
+}
 
 
 def with_tiers(df: DataFrame, strategy: str = "DZ") -> DataFrame:
@@ -214,31 +164,50 @@ def with_tiers(df: DataFrame, strategy: str = "DZ") -> DataFrame:
     """
     if strategy not in ("EV", "DZ"):
         raise ValueError(f"strategy must be EV or DZ, not {strategy!r}")
-    base = F.greatest(tier_from_ev(), tier_from_delta_z())
-    df = df.withColumn("tier_base", F.when(F.col("open_gate"), base))
+    base = f"greatest({tier_from_ev()}, {tier_from_delta_z()})"
+    df = df.selectExpr("*", f"if(open_gate, {base}, NULL) AS tier_base")
     before = "tier_base"
-    for name, guard in GUARDS:
+    for name, guard in GUARDS.items():
         # A closed gate is NULL and stays out of every later stage.
-        df = df.withColumn(name, F.when(F.col("open_gate"), guard(F.col(before))))
+        df = df.selectExpr("*", f"if(open_gate, {guard.format(t=before)}, NULL) AS {name}")
         before = name
     return df
 
 
+_runs = itertools.count()
+
+
+def observed(df: DataFrame, step: str, condition: str) -> DataFrame:
+    """Count the rows reaching ``step`` and those meeting ``condition``."""
+    return df.observe(
+        f"edge_{step}_{next(_runs)}",
+        F.count(F.lit(1)).alias("games"),
+        F.count_if(F.expr(condition)).alias("passing"),
+    )
+
+
+def gated(games: DataFrame, strategy: str = "DZ") -> DataFrame:
+    """All stages: every intermediate column next to the game's own."""
+    df = observed(with_params(games), "input", "ml_home IS NOT NULL AND ml_away IS NOT NULL")
+    df = observed(with_probabilities(df), "priced", "market_home IS NOT NULL")
+    df = observed(with_best_side(df), "candidates", "open_gate")
+    return observed(with_tiers(df, strategy), "tiers", "tier_final > 0")
+
+
 def score_edges(games: DataFrame, strategy: str = "DZ", keep: list[str] | None = None) -> DataFrame:
     """Adds the value edge of each game; its columns are NULL where there is none.
 
     Needs ``sport, pred_home, pred_away, ml_home, ml_away, spread_home_line``
     (numbers). ``keep`` names intermediate columns to retain.
     """
-    scored = with_tiers(with_best_side(with_probabilities(with_params(games))), strategy)
-    final = F.col("tier_final")
-    tier = F.when(final == HIGH, "HIGH").when(final == MED, "MED").when(final == LOW, "LOW")
-    fields = {"market": F.lit("ML"), "tier": tier}
-    fields |= {name: F.col(name) for name in EDGE_COLUMNS + (keep or []) if name not in fields}
-    found = F.when(final > NONE, F.struct(*[c.alias(name) for name, c in fields.items()]))
-    # One edge or none per game. The generator also keeps later filters on the
-    # tier from being pushed down, where they would repeat the whole computation.
-    return scored.select(*games.columns, F.inline_outer(F.array(found)))
+    shown = lambda value: f"CASE WHEN tier_final > 0 THEN {value} END"
+    fields = {
+        "market": "CASE WHEN tier_final > 0 THEN 'ML' END",
+        "tier": "CASE tier_final WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MED' WHEN 1 THEN 'LOW' END",
+    }
+    fields |= {c: shown(c) for c in EDGE_COLUMNS + (keep or []) if c not in fields}
+    own = [f"`{c}`" for c in games.columns]
+    return gated(games, strategy).selectExpr(*own, *[f"{e} AS {c}" for c, e in fields.items()])
 
 
 def tier_summary(scored: DataFrame) -> DataFrame:

@@ -32,10 +32,8 @@ FROM games g LEFT JOIN tiered t ON g.game_id = t.game_id""")
 
 
 def edge_trace(spark, sf_dir):
-    names = ["tier_base", *[name for name, _ in edge.GUARDS]]
-    df = edge.with_tiers(
-        edge.with_best_side(edge.with_probabilities(edge.with_params(tables.games(spark, sf_dir))))
-    )
+    names = ["tier_base", *edge.GUARDS]
+    df = edge.gated(tables.games(spark, sf_dir))
     return df.groupBy("sport", *names).agg(F.count("*").alias("games"))
 
 

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", **conf) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**ADAPTIVE, **conf}.items():
         builder = builder.config(key, value)
