@@ -48,8 +48,14 @@ def eastern_date(ts: Column) -> Column:
 
 
 def clock(ts: Column, tz: str = EASTERN) -> Column:
-    """``7:05 PM``."""
-    return F.date_format(in_zone(ts, tz), "h:mm a")
+    """``7:05 PM``. Spelled out, because newer Java runtimes print another space."""
+    local = in_zone(ts, tz)
+    hour = F.hour(local)
+    return F.concat(
+        ((hour + 11) % 12 + 1).cast("string"), F.lit(":"),
+        F.lpad(F.minute(local).cast("string"), 2, "0"),
+        F.when(hour < 12, " AM").otherwise(" PM"),
+    )
 
 
 def format_time(ts: Column, fallback: Column, tz: str = "UTC") -> Column:

@@ -140,6 +140,36 @@ VIEWS["tiered"] = """
 SELECT game_id, side, edge_pct, model_prob, market_prob, z, ev, kelly,
        CASE t6 WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MED' ELSE 'LOW' END AS tier FROM edges"""
 
+_ml = """'{"home":' || CAST(CAST(ml_home AS BIGINT) AS VARCHAR) || ',"away":"' || CAST(CAST(ml_away AS BIGINT) AS VARCHAR) || '"}'"""
+_key = "CASE game_id % 3 WHEN 0 THEN 'price' WHEN 1 THEN 'odds' ELSE 'american' END"
+_line = "CAST(coalesce(spread_home_line, 0.5::DOUBLE) AS VARCHAR)"
+_sp = f"""'{{"home":{{"line":' || {_line} || ',"' || {_key} || '":-110}},"away":{{"line":' || {_line} || ',"' || {_key} || '":-105}}}}'"""
+_tt = """CASE WHEN game_id % 2 = 0 THEN '{"line":' ELSE '{"over":' END || CAST(total_line AS VARCHAR) || '}'"""
+
+
+def _encoded(single: str) -> str:
+    double = f"""'"' || replace({single}, '"', chr(92) || '"') || '"'"""
+    return (
+        f"CASE game_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not json' WHEN 2 THEN {single} ELSE {double} END"
+    )
+
+
+VIEWS["raw_games"] = f"""
+SELECT *, CASE WHEN game_id % 7 = 0 THEN CAST(CAST(ml_home AS BIGINT) AS VARCHAR) END AS own_home,
+       CASE WHEN game_id % 14 = 0 THEN CAST(CAST(ml_away AS BIGINT) AS VARCHAR) END AS own_away,
+       {_encoded(_ml)} AS ml_json, {_encoded(_sp)} AS sp_json, {_encoded(_tt)} AS tt_json,
+       game_id % 6 <> 5 AS has_map
+FROM games"""
+
+# Unreadable text becomes NULL; text inside text is unwrapped once.
+VIEWS["raw_parsed"] = """
+SELECT *, CASE WHEN json_valid(a) THEN a END AS ml, CASE WHEN json_valid(b) THEN b END AS sp,
+       CASE WHEN json_valid(c) THEN c END AS tt
+FROM (SELECT *, CASE WHEN ml_json LIKE '"%' THEN json_extract_string(ml_json, '$') ELSE ml_json END AS a,
+             CASE WHEN sp_json LIKE '"%' THEN json_extract_string(sp_json, '$') ELSE sp_json END AS b,
+             CASE WHEN tt_json LIKE '"%' THEN json_extract_string(tt_json, '$') ELSE tt_json END AS c
+      FROM raw_games)"""
+
 VIEWS["box"] = """
 SELECT l_orderkey AS game_id, l_suppkey AS player_id, l_linenumber % 2 = 1 AS is_home,
        CAST(l_linenumber AS BIGINT) AS period, n AS minutes,
