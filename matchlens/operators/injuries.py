@@ -59,7 +59,8 @@ def injuries_of_games(injuries: DataFrame, games: DataFrame) -> DataFrame:
         F.col("game_date").alias("report_date"),
         F.explode(F.array_distinct(F.array("home_team", "away_team"))).alias("team_display_name"),
     )
-    return sides.join(injuries, ["league", "report_date", "team_display_name"])
+    keys = ["league", "report_date", "team_display_name"]
+    return salted_join(injuries, sides, keys, spread=["id"])
 
 
 def report_state(flags: DataFrame, by_team: DataFrame) -> DataFrame:

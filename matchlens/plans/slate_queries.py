@@ -305,7 +305,7 @@ FROM (SELECT g.game_id, g.sport = 'NBA' OR coalesce(w.is_indoor, FALSE) AS indoo
 
 
 def pitcher_lines(spark, sf_dir):
-    """Two made-up pitchers per game; one hand in three is unknown."""
+    """The pitcher of each game; some hands are unknown and some names blank."""
     g = tables.games(spark, sf_dir)
     k = F.col("game_id")
     name = F.when(k % 4 == 3, " ").otherwise(F.concat(F.lit("Pitcher "), (k % 97).cast("string")))
