@@ -108,7 +108,7 @@ def connectivity(probes: DataFrame) -> DataFrame:
         {
             "ok": (F.col("outcome") == "ok").cast("long"),
             "fail": (F.col("outcome") == "fail").cast("long"),
-            "neg_ts": -F.unix_micros(F.col("ts").cast("timestamp")),
+            "neg_ts": F.expr("timestampdiff(MICROSECOND, ts, TIMESTAMP_NTZ '1970-01-01')"),
         }
     )
     ordered = sorted_blocks(flags, ["user_id", "ts", "event_id"])
