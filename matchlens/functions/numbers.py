@@ -1,5 +1,7 @@
 """Reading and printing numbers the way the product's screens do."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,19 +43,15 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
 def _scaled(x: Column, digits: int) -> tuple[Column, Column]:
     """``x * 10**digits`` and the rounding error of that product.
 
-    The factor is split into powers of two, whose products are exact, and the
-    error of each addition is recovered exactly.
+    The factor is split into falling powers of two, whose products are exact;
+    the error of each addition is then recovered exactly.
     """
-    if digits == 0:
-        return x, F.lit(0.0)
-    parts = {1: (8.0, 2.0), 2: (64.0, 32.0, 4.0)}[digits]
-    total, error = x * parts[0], F.lit(0.0)
-    for part in parts[1:]:
-        term = x * part
-        new = total + term
-        back = new - total
-        error = error + ((total - (new - back)) + (term - back))
-        total = new
+    first, *rest = {1: (8.0, 2.0), 2: (64.0, 32.0, 4.0)}[digits]
+    total, error = x * first, None
+    for part in rest:
+        new = total + x * part
+        lost = x * part - (new - total)
+        total, error = new, lost if error is None else error + lost
     return total, error
 
 
@@ -62,21 +60,15 @@ def to_fixed(x: Column, digits: int) -> Column:
 
     ``1.005`` gives ``1.00`` (it is stored slightly below), ``0.25`` gives ``0.3``.
     """
-    scaled, error = _scaled(F.abs(x), digits)
-    whole = F.floor(scaled)
-    part = scaled - whole
-    up = (part > 0.5) | ((part == 0.5) & (error >= 0))
-    n = whole + F.when(up, 1).otherwise(0)
-    sign = F.when(x < 0, "-").otherwise("")
+    size = F.abs(x)
     if digits == 0:
-        return F.concat(sign, n.cast("string"))
-    base = 10**digits
-    return F.concat(
-        sign,
-        F.floor(n / base).cast("string"),
-        F.lit("."),
-        F.lpad(F.pmod(n, F.lit(base)).cast("string"), digits, "0"),
-    )
+        n = F.floor(size) + (size - F.floor(size) >= 0.5).cast("int")
+    else:
+        scaled, error = _scaled(size, digits)
+        part = scaled - F.floor(scaled)
+        n = F.floor(scaled) + ((part > 0.5) | ((part == 0.5) & (error >= 0))).cast("int")
+        n = n.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-digits))
+    return F.concat(F.when(x < 0, "-").otherwise(""), n.cast("string"))
 
 
 def number_text(x: Column) -> Column:
@@ -116,14 +108,14 @@ ZERO_DECIMAL_KEYS = (
 ).split()
 
 
-def format_cell(value: Column, key: str, text: bool = False) -> Column:
-    """One report cell. Text columns are printed as they are."""
-    if text:
-        return F.coalesce(value, F.lit(DASH))
-    x = value.cast("double")
-    if key in PERCENT_KEYS:
-        shown = F.concat(to_fixed(x * 100, 1), F.lit("%"))
+def format_cell(value: Column, key: str, kind: str = "number") -> Column:
+    """One report cell; ``kind`` is ``number``, ``whole`` (an integer type) or ``text``."""
+    if kind == "text" or (kind == "whole" and key in ZERO_DECIMAL_KEYS):
+        shown = value.cast("string")
     else:
-        shown = to_fixed(x, 0 if key in ZERO_DECIMAL_KEYS else 1)
-    missing = value.isNull() | (x == F.lit(float("-inf")))
-    return F.when(missing, DASH).otherwise(shown)
+        x = F.nullif(value.cast("double"), F.lit(float("-inf")))
+        if key in PERCENT_KEYS:
+            shown = F.concat(to_fixed(x * 100, 1), F.lit("%"))
+        else:
+            shown = to_fixed(x, 0 if key in ZERO_DECIMAL_KEYS else 1)
+    return F.coalesce(shown, F.lit(DASH))

@@ -5,13 +5,9 @@ until the last projection. Nothing here shuffles: the only join is the
 broadcast of the four-row parameter table.
 
 Between stages the row counts that explain a thin result (games priced, games
-past the gate) are observed. The observation points also keep each generated
-method below the size the JVM compiles, which is worth a factor of eight, and
-keep filters on the tier from being pushed down and repeating the computation.
+past the gate) are observed; see ``stages.observed`` for what that also does.
 """
 
-import itertools
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +21,7 @@ from matchlens.functions.odds import (
     z_for_tiering,
 )
 from matchlens.params import EV_TIER, LEAGUES, edge_params
+from matchlens.stages import observed
 
 NONE, LOW, MED, HIGH = 0, 1, 2, 3
 INFINITY = float("inf")
@@ -174,24 +171,12 @@ def with_tiers(df: DataFrame, strategy: str = "DZ") -> DataFrame:
     return df
 
 
-_runs = itertools.count()
-
-
-def observed(df: DataFrame, step: str, condition: str) -> DataFrame:
-    """Count the rows reaching ``step`` and those meeting ``condition``."""
-    return df.observe(
-        f"edge_{step}_{next(_runs)}",
-        F.count(F.lit(1)).alias("games"),
-        F.count_if(F.expr(condition)).alias("passing"),
-    )
-
-
 def gated(games: DataFrame, strategy: str = "DZ") -> DataFrame:
     """All stages: every intermediate column next to the game's own."""
-    df = observed(with_params(games), "input", "ml_home IS NOT NULL AND ml_away IS NOT NULL")
-    df = observed(with_probabilities(df), "priced", "market_home IS NOT NULL")
-    df = observed(with_best_side(df), "candidates", "open_gate")
-    return observed(with_tiers(df, strategy), "tiers", "tier_final > 0")
+    df = observed(with_params(games), "edge_input", "ml_home IS NOT NULL AND ml_away IS NOT NULL")
+    df = observed(with_probabilities(df), "edge_priced", "market_home IS NOT NULL")
+    df = observed(with_best_side(df), "edge_candidates", "open_gate")
+    return observed(with_tiers(df, strategy), "edge_tiers", "tier_final > 0")
 
 
 def score_edges(games: DataFrame, strategy: str = "DZ", keep: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchlens.functions.numbers import to_finite
 from matchlens.functions.texts import parse_loose, pick, snake_to_camel
 from matchlens.functions.times import clock
+from matchlens.stages import observed
 
 # Keys a prediction may arrive under, best first; X is Home/Away, x its lower case.
 PREDICTION_KEYS = {
@@ -45,6 +46,7 @@ def derive_odds(df: DataFrame) -> DataFrame:
         "_tt": ("total_clean", "totalClean"),
     }
     df = df.withColumns({k: parse_loose(first_of(df, *v).cast("string")) for k, v in parsed.items()})
+    df = observed(df, "odds_parsed", "_ml IS NOT NULL")
     ml, sp, tt = F.col("_ml"), F.col("_sp"), F.col("_tt")
 
     def moneyline(side):

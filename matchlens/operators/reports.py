@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from matchlens.functions.numbers import format_cell
 from matchlens.skew import positions
+from matchlens.stages import observed
 
 # Label and key of each report's columns.
 HEADERS = {
@@ -99,8 +100,15 @@ def search_players(df: DataFrame, term: str | None) -> DataFrame:
     return df.filter(F.lower("player_name").contains(term.lower())) if term else df
 
 
+def _kind(df: DataFrame, name: str) -> str:
+    found = df.schema[name].dataType
+    if isinstance(found, T.StringType):
+        return "text"
+    return "whole" if isinstance(found, T.IntegralType) else "number"
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)
+    return _kind(df, name) == "text"
 
 
 def sort_order(df: DataFrame, kind: str, sort: Sort, name: str, row_id: str, league: str = "") -> list[Column]:
@@ -141,11 +149,12 @@ def ranked(
 
 def printed(df: DataFrame, league: str, kind: str, carry: list[str]) -> DataFrame:
     """The report's columns as text, under their keys, next to ``carry``."""
+    df = observed(df, "report_rows", "true")
     cells = []
     for key in headers(league, kind).values():
         names = [n for n in (key, ALIASES.get(key)) if n in df.columns]
         value = F.coalesce(*[F.col(n) for n in names])
-        cells.append(format_cell(value, key, text=_is_text(df, names[0])).alias(key))
+        cells.append(format_cell(value, key, _kind(df, names[0])).alias(key))
     return df.select(*carry, *cells)
 
 

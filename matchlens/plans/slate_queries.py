@@ -6,6 +6,7 @@ from matchlens.functions import odds, texts, times
 from matchlens.operators import joins, reconcile, slate
 from matchlens.plans.views import check_sql, fixed
 from matchlens.sources import tables
+from matchlens.stages import observed
 
 QUERIES, CHECKS = {}, {}
 
@@ -81,7 +82,10 @@ SELECT game_id, {FINAL} AS is_final, {LIVE} AS in_progress, status_state = 'In P
 
 
 def slate_order(spark, sf_dir):
-    ordered = slate.slate_order(tables.games(spark, sf_dir), AS_OF)
+    games = tables.games(spark, sf_dir).select(
+        "game_id", "sport", "game_date", "start_ts", "status_state", "data_type", "home_final", "away_final"
+    )
+    ordered = slate.slate_order(games, AS_OF)
     return ordered.select("sport", "game_date", "position", "game_id", "slate_rank")
 
 
@@ -212,7 +216,7 @@ GROUP BY a.sport, a.game_date""")
 
 
 def game_header(spark, sf_dir):
-    g = tables.games(spark, sf_dir)
+    g = observed(tables.games(spark, sf_dir), "headers", "home_final IS NOT NULL")
     final = F.concat_ws(" – ", "away_final", "home_final")
     spread = F.coalesce(odds.number_text(F.col("spread_home_line")), F.lit("N/A"))
     return g.select(
