@@ -119,13 +119,14 @@ CHECKS["home_away_split"] = check_sql(
 def pythag_luck(spark, sf_dir):
     season = features.with_expected_record(features.team_season(history(spark, sf_dir)))
     season = season.select("sport", "season", "team", "pythagorean_win_pct", "expected_wins", "luck")
-    return rounded(season, "pythagorean_win_pct", "expected_wins", "luck")
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return rounded(season, "pythagorean_win_pct", "expected_wins", "luck").withColumn("luck", F.col("luck") + 0.0)
 
 
 QUERIES["pythag_luck"] = pythag_luck
 CHECKS["pythag_luck"] = check_sql("""
 SELECT sport, season, team, round(py, 6) AS pythagorean_win_pct, round(py * games_played, 6) AS expected_wins,
-       round(wins - py * games_played, 6) AS luck
+       round(wins - py * games_played, 6) + 0.0::DOUBLE AS luck
 FROM (SELECT *, pow(points_for, ex) / nullif(pow(points_for, ex) + pow(points_against, ex), 0) AS py
       FROM (SELECT *, CASE sport WHEN 'MLB' THEN 1.83::DOUBLE WHEN 'NFL' THEN 2.37::DOUBLE ELSE 13.91::DOUBLE END AS ex FROM ts))""", ts=_TS)
 
@@ -135,7 +136,8 @@ def ratings(spark, sf_dir):
 
 
 def srs_k(spark, sf_dir):
-    return rounded(ratings(spark, sf_dir), "srs", "sos")
+    # Nine digits: a tie at the last one would need a denominator of 1024.
+    return ratings(spark, sf_dir).withColumns({n: F.round(n, 9) for n in ("srs", "sos")})
 
 
 QUERIES["srs_k"] = srs_k
@@ -149,18 +151,19 @@ SELECT p.sport, p.season, p.team, sum(m) / sum(n) + sum(r.srs * n) / sum(n) AS s
 FROM pairs p JOIN r{_i - 1} r ON p.sport = r.sport AND p.season = r.season AND p.opponent = r.team
 GROUP BY p.sport, p.season, p.team"""
 CHECKS["srs_k"] = check_sql(
-    f"SELECT sport, season, team, round(srs, 6) AS srs, round(sos, 6) AS sos FROM r{SRS_ROUNDS}", **_SRS
+    f"SELECT sport, season, team, round(srs, 9) AS srs, round(sos, 9) AS sos FROM r{SRS_ROUNDS}", **_SRS
 )
 
 
 def sos_rank(spark, sf_dir):
-    return rounded(features.with_sos_rank(rounded(ratings(spark, sf_dir), "sos")).drop("srs"), "sos")
+    ranked = features.with_sos_rank(ratings(spark, sf_dir).withColumn("sos", F.round("sos", 9)))
+    return ranked.drop("srs")
 
 
 QUERIES["sos_rank"] = sos_rank
 CHECKS["sos_rank"] = check_sql(
     f"""SELECT sport, season, team, sos, CAST(rank() OVER (PARTITION BY sport, season ORDER BY sos DESC) AS INTEGER) AS sos_rank
-FROM (SELECT sport, season, team, round(sos, 6) AS sos FROM r{SRS_ROUNDS})""",
+FROM (SELECT sport, season, team, round(sos, 9) AS sos FROM r{SRS_ROUNDS})""",
     **_SRS,
 )
 
@@ -203,8 +206,9 @@ def four_factors(spark, sf_dir):
 
 QUERIES["four_factors"] = four_factors
 FOUR_FACTORS_SQL = """
-SELECT sport, season, team, n AS games_played, (ps + ops) / 2 / n AS pace, pts * 100 / ps AS off_rtg, opts * 100 / ops AS def_rtg,
-       (fgm + 0.5::DOUBLE * tm) / fga AS efg_pct, tov / (fga + 0.44::DOUBLE * fta + tov) AS tov_pct, oreb / (oreb + odreb) AS oreb_pct
+SELECT sport, season, team, n AS games_played, (ps + ops) / 2 / n AS pace, pts * 100 / nullif(ps, 0) AS off_rtg, opts * 100 / nullif(ops, 0) AS def_rtg,
+       (fgm + 0.5::DOUBLE * tm) / nullif(fga, 0) AS efg_pct, tov / nullif(fga + 0.44::DOUBLE * fta + tov, 0) AS tov_pct,
+       oreb / nullif(oreb + odreb, 0) AS oreb_pct
 FROM (SELECT sport, season, team, count(*) AS n, sum(points)::DOUBLE AS pts, sum(opp_points)::DOUBLE AS opts,
         sum(fg_made)::DOUBLE AS fgm, sum(three_made)::DOUBLE AS tm, sum(fg_attempted)::DOUBLE AS fga, sum(ft_attempted)::DOUBLE AS fta,
         sum(tov)::DOUBLE AS tov, sum(oreb)::DOUBLE AS oreb, sum(opp_dreb)::DOUBLE AS odreb,
@@ -225,7 +229,7 @@ def drive_stats(spark, sf_dir):
 
 QUERIES["drive_stats"] = drive_stats
 DRIVES_SQL = """
-SELECT sport, season, team, n AS games_played, CAST(oto - tos AS BIGINT) AS turnover_differential, yds / ln AS avg_yards_per_drive,
+SELECT sport, season, team, n AS games_played, CAST(oto - tos AS BIGINT) AS turnover_differential, yds / nullif(ln, 0) AS avg_yards_per_drive,
        tos::DOUBLE / n AS avg_turnovers_per_game, tm / nullif(ta, 0) AS avg_third_down_pct, rs / nullif(rt, 0) AS avg_red_zone_pct,
        CAST(floor(sec / n) AS BIGINT) AS possession_seconds,
        (CAST(floor(sec / n) AS BIGINT) // 60) || ':' || lpad(CAST(CAST(floor(sec / n) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS avg_time_of_possession

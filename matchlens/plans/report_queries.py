@@ -196,7 +196,7 @@ CHECKS["report_nfl"] = check_sql(f"""
 SELECT season, row_number() OVER (PARTITION BY season ORDER BY
          CASE WHEN ts.games_played % 5 <> 0 THEN round(differential_avg, 4) END DESC NULLS FIRST, team DESC) AS position,
        team AS "teamName", {fixed('win_share * 100', 1)} || '%' AS "winPct", {fixed('avg_yards_per_drive', 1)} AS "avgYardsPerDrive",
-       {fixed('avg_red_zone_pct * 100', 1)} || '%' AS "avgRedZonePct", avg_time_of_possession AS "avgTimeOfPossession",
+       coalesce({fixed('avg_red_zone_pct * 100', 1)} || '%', '–') AS "avgRedZonePct", avg_time_of_possession AS "avgTimeOfPossession",
        {fixed('avg_turnovers_per_game', 1)} AS "avgTurnoversPerGame"
 FROM ts JOIN dr USING (sport, season, team)""", ts=fq._TS, dr=fq.DRIVES_SQL, **fq.NFL_VIEWS)
 
