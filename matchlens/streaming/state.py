@@ -29,7 +29,7 @@ class GameExpiry(StatefulProcessor):
         self.handle = handle
         self.expiry = handle.getValueState("expiry", "at long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start = max(batch["start_ms"].max() for batch in rows)
         if self.expiry.exists():
             self.handle.deleteTimer(self.expiry.get()[0])
@@ -37,9 +37,9 @@ class GameExpiry(StatefulProcessor):
         self.handle.registerTimer(int(start) + GAME_MILLIS)
         yield pd.DataFrame({"game_id": pd.Series(dtype="int64"), "expired_ms": pd.Series(dtype="int64")})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.expiry.clear()
-        yield pd.DataFrame({"game_id": [key[0]], "expired_ms": [expired.getExpiryTimeInMs()]})
+        yield pd.DataFrame({"game_id": [key[0]], "expired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
 
     def close(self):
         pass
@@ -65,7 +65,7 @@ class FailureCounter(StatefulProcessor):
     def init(self, handle):
         self.state = handle.getValueState("state", "fails long, down boolean, first double")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         probes = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         seconds = probes["ts"].astype("datetime64[us]").astype("int64") / 1e6
         saved = self.state.get() if self.state.exists() else None
