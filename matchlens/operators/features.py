@@ -86,7 +86,7 @@ def rest_days(rows: DataFrame, days: int = 7) -> DataFrame:
         .withColumn("back_to_back", F.coalesce(F.col("rest_days") <= 1, F.lit(False)))
     )
     keys = ["sport", "team", "game_date"]
-    return salted_join(rested, schedule_density(rows, days), keys, spread=["game_id"])
+    return salted_join(rested, schedule_density(rows, days), keys, spread=["game_id"], sketch=rows)
 
 
 def head_to_head(games: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def player_season(lines: DataFrame, games: DataFrame) -> DataFrame:
     # One row per player and game first: it shrinks the join and counts games.
     by_game = lines.groupBy("game_id", "player_id").agg(*[F.sum(c).alias(c) for c in sums])
     names = games.select("game_id", "sport", default_season(F.col("sport"), F.col("game_date")).alias("season"))
-    joined = salted_join(by_game, names, ["game_id"], spread=["player_id"])
+    joined = salted_join(by_game, names, ["game_id"], spread=["player_id"], sketch=lines)
     totals = joined.groupBy("sport", "season", "player_id").agg(
         F.count("*").alias("games_played"), *[F.sum(c).alias(c) for c in sums]
     )

@@ -160,7 +160,11 @@ def printed(df: DataFrame, league: str, kind: str, carry: list[str]) -> DataFram
 
 def empty_message(df: DataFrame, kind: str, term: str | None = None) -> DataFrame:
     """One row: whether the report is empty and what it then says."""
-    noun = {"teams": "team", "players": "player", "advanced": "advanced"}[kind]
-    text = f'No results for "{term}".' if term else f"No {noun} stats for this season."
+    # Fixed values.
+    text = {
+        "teams": "No team stats for this season.",
+        "advanced": "No advanced stats for this season.",
+        "players": f"No results for “{term}”" if term else "No data.",
+    }[kind]
     empty = F.count("*") == 0
     return df.agg(empty.alias("is_empty"), F.when(empty, text).alias("message"))

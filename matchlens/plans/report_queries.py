@@ -282,5 +282,5 @@ def report_state(spark, sf_dir):
 
 QUERIES["report_state"] = report_state
 CHECKS["report_state"] = """
-SELECT count(*) = 0 AS is_empty, CASE WHEN count(*) = 0 THEN 'No results for "nobody".' END AS message
+SELECT count(*) = 0 AS is_empty, CASE WHEN count(*) = 0 THEN 'No results for “nobody”' END AS message
 FROM supplier WHERE lower(s_name) LIKE '%nobody%'"""

@@ -30,8 +30,17 @@ def local_session(cpus: int | str = "*", **conf) -> SparkSession:
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators count on.
+
+    Shuffles start with enough partitions for the cluster's cores, whatever
+    ``spark.sql.shuffle.partitions`` says; Spark merges them when data is small.
+    """
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local") and wanted > configured:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 

@@ -19,6 +19,7 @@ from matchlens.session import written
 
 HOT_SHARE = 1e-3
 HOT_MIN_ROWS = 1_000_000
+MERGERS = 256
 
 
 @dataclass
@@ -138,16 +139,27 @@ def positions(df: DataFrame, group: list[str], order: list, name: str = "positio
 def hot_keys(df: DataFrame, keys: list[str], share: float, min_rows: int) -> list[tuple[int, int]]:
     """``(hash, salts)`` of the keys holding more than ``share`` of the rows.
 
-    One scan of the key columns; the sketch keeps a fixed number of items, and
-    at most ``1 / share`` of them can pass the threshold.
+    One scan of the key columns. Sketches of a fixed size are merged in two
+    steps, so that the last task sees a few hundred of them however many tasks
+    scan; at most ``1 / share`` keys can pass the threshold.
     """
     top = int(1 / share)
-    sketch = F.expr(f"approx_top_k(h, {top}, {8 * top})")
-    found, total = (
-        df.select(F.xxhash64(*keys).alias("h")).agg(sketch.alias("t"), F.count("*").alias("n"))
-    ).first()
+    tracked = 8 * top
+    hashed = df.select(F.xxhash64(*keys).alias("h"), (F.spark_partition_id() % MERGERS).alias("g"))
+    partial = hashed.groupBy("g").agg(
+        F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"), F.count("*").alias("n")
+    )
+    # Grouped by a constant: combining fails on tasks without input otherwise.
+    merged = partial.groupBy(F.lit("all")).agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {top})").alias("found"),
+        F.sum("n").alias("total"),
+    )
+    row = merged.first()
+    if row is None:
+        return []
+    found, total = row["found"], row["total"]
     limit = max(total * share, min_rows)
-    return [(r["item"], -(-r["count"] // int(limit))) for r in found or [] if r["count"] > limit]
+    return [(r["item"], -(-r["count"] // int(limit))) for r in found if r["count"] > limit]
 
 
 def salted_join(
@@ -158,13 +170,16 @@ def salted_join(
     how: str = "inner",
     share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Join many ``facts`` per key to few ``dims`` per key, salting hot keys.
 
     ``spread`` are columns that tell the facts of one key apart. Keys that are
-    not hot are joined as usual; every match is kept.
+    not hot are joined as usual; every match is kept. Where ``facts`` are
+    costly, ``sketch`` names cheaper rows to look for hot keys in: a wrong
+    guess changes the number of salts, never the result.
     """
-    hot = hot_keys(facts, keys, share, min_rows)
+    hot = hot_keys(facts if sketch is None else sketch, keys, share, min_rows)
     if not hot:
         return facts.join(dims, keys, how)
     salts = F.broadcast(facts.sparkSession.createDataFrame(hot, "_h long, _salts long"))

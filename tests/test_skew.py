@@ -91,6 +91,7 @@ def test_hot_keys_are_found_and_bounded(frame):
     assert hot_hash in found and found[hot_hash] >= 6
     assert len(found) <= 20
     assert skew.hot_keys(frame, ["k"], share=0.05, min_rows=10_000) == []
+    assert skew.hot_keys(frame.filter("false"), ["k"], share=0.05, min_rows=1) == []
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -151,7 +152,7 @@ def test_operators_do_not_depend_on_the_blocks(spark, sf_dir, hot_games, name, m
         single = run()
         spark.conf.set(key, "false")
         spark.conf.set("spark.sql.shuffle.partitions", "9")
-        monkeypatch.setattr(skew.salted_join, "__defaults__", ("inner", 0.01, 5))
+        monkeypatch.setattr(skew.salted_join, "__defaults__", ("inner", 0.01, 5, None))
         assert run() == single
     finally:
         spark.conf.unset(key)
