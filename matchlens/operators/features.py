@@ -43,25 +43,39 @@ def team_games(games: DataFrame) -> DataFrame:
     )
 
 
-def rolling_form(rows: DataFrame, n: int = 5) -> DataFrame:
-    """Averages of each team's previous ``n`` games, the current one excluded."""
-    columns = ["game_id", "sport", "team", "start_ts", "pf", "pa", "margin"]
-    history = sorted_blocks(rows.select(*columns), TEAM_ORDER).with_carry(n)
-    before = in_block(["sport", "team"]).rowsBetween(-n, -1)
+FORM = {"form_for": "pf", "form_against": "pa", "form_margin": "margin"}
+
+
+def team_history(rows: DataFrame, n: int = 5) -> DataFrame:
+    """Form over each team's previous ``n`` games and the rest before each game.
+
+    The current game is excluded. One global sort and one window serve all
+    columns; those not used later are pruned.
+    """
+    slim = rows.select("game_id", "sport", "team", "start_ts", "game_date", *FORM.values())
+    history = sorted_blocks(slim, TEAM_ORDER).with_carry(n)
+    mine = in_block(["sport", "team"])
+    before = mine.rowsBetween(-n, -1)
+    rested = F.date_diff(F.col("game_date"), F.lag("game_date").over(mine))
     return (
         history.withColumns(
             {
                 "form_games": F.count("game_id").over(before),
-                "form_for": F.avg("pf").over(before),
-                "form_against": F.avg("pa").over(before),
-                "form_margin": F.avg("margin").over(before),
+                **{name: F.avg(c).over(before) for name, c in FORM.items()},
+                "rest_days": rested,
             }
         )
         .filter("NOT _carried")
         .drop("_pos", "_block", "_carried")
+        .withColumn("back_to_back", F.coalesce(F.col("rest_days") <= 1, F.lit(False)))
     )
 
 
+def rolling_form(rows: DataFrame, n: int = 5) -> DataFrame:
+    """Averages of each team's previous ``n`` games, the current one excluded."""
+    return team_history(rows, n).drop("rest_days", "back_to_back")
+
+
 def schedule_density(rows: DataFrame, days: int = 7) -> DataFrame:
     """Games in the ``days`` before each team's playing day.
 
@@ -74,19 +88,15 @@ def schedule_density(rows: DataFrame, days: int = 7) -> DataFrame:
     return daily.select("sport", "team", "game_date", recent.alias("recent_games"))
 
 
+def with_density(history: DataFrame, rows: DataFrame, days: int = 7) -> DataFrame:
+    """Adds ``recent_games`` to per-game history."""
+    keys = ["sport", "team", "game_date"]
+    return salted_join(history, schedule_density(rows, days), keys, spread=["game_id"], sketch=rows)
+
+
 def rest_days(rows: DataFrame, days: int = 7) -> DataFrame:
     """Days since the team's previous game, back-to-back flag and schedule density."""
-    slim = rows.select("game_id", "sport", "team", "start_ts", "game_date")
-    history = sorted_blocks(slim, TEAM_ORDER).with_carry(1)
-    previous = F.lag("game_date").over(in_block(["sport", "team"]))
-    rested = (
-        history.withColumn("rest_days", F.date_diff(F.col("game_date"), previous))
-        .filter("NOT _carried")
-        .drop("_pos", "_block", "_carried")
-        .withColumn("back_to_back", F.coalesce(F.col("rest_days") <= 1, F.lit(False)))
-    )
-    keys = ["sport", "team", "game_date"]
-    return salted_join(rested, schedule_density(rows, days), keys, spread=["game_id"], sketch=rows)
+    return with_density(team_history(rows, 1).drop("form_games", *FORM), rows, days)
 
 
 def head_to_head(games: DataFrame) -> DataFrame:

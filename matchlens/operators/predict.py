@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlens.operators.features import head_to_head, rest_days, rolling_form, team_games
+from matchlens.operators.features import head_to_head, team_games, team_history, with_density
 from matchlens.session import written
 
 FOLDS = 3
@@ -31,9 +31,9 @@ def training_rows(games: DataFrame, form_games: int = 5) -> DataFrame:
     Missing history counts as 0. Written once, because every fit reads it again.
     """
     rows = team_games(games)
-    form = rolling_form(rows, form_games).select("game_id", "team", "form_for", "form_against")
-    rest = rest_days(rows).select("game_id", "team", "rest_days", "recent_games")
-    side = form.join(rest, ["game_id", "team"])
+    side = with_density(team_history(rows, form_games), rows).select(
+        "game_id", "team", "form_for", "form_against", "rest_days", "recent_games"
+    )
 
     def view(s):
         names = [c for c in side.columns if c not in ("game_id", "team")]

@@ -188,23 +188,22 @@ def assemble(games, bars, metrics, headlines: Column, pie: Column, message: Colu
 
 
 def section_rows(df: DataFrame) -> DataFrame:
-    """Every array element as ``(game_id, section, pos, label, home, away)``."""
-    text = lambda c: c.cast("string")
+    """Every array element as ``(game_id, section, pos, label, home, away)``, in one pass."""
     none = F.lit(None).cast("double")
 
     def part(name, section, label, home, away):
-        each = F.posexplode(name).alias("pos", "x")
-        x = F.col("x")
-        return df.select("game_id", each).select(
-            "game_id", F.lit(section).alias("section"), "pos",
-            text(label(x)).alias("label"), home(x).alias("home"), away(x).alias("away"),
+        row = lambda x, i: F.struct(
+            F.lit(section).alias("section"), i.alias("pos"), label(x).alias("label"),
+            home(x).alias("home"), away(x).alias("away"),
         )
-
-    bars = part("bar_chart_data", "bar", lambda x: x["category"], lambda x: x["Home"], lambda x: x["Away"])
-    radar = part("radar_chart_data", "radar", lambda x: x["metric"], lambda x: x["home_idx"], lambda x: x["away_idx"])
-    keys = part("key_metrics_data", "key", lambda x: x["category"], lambda x: x["Home"], lambda x: x["Away"])
-    heads = part(
-        "headline_stats", "headline", lambda x: F.concat_ws(" ", x["label"], x["value"]), lambda x: none, lambda x: none
-    )
-    pies = part("pie_chart_data", "pie", lambda x: x["category"], lambda x: x["value"], lambda x: none)
-    return bars.unionByName(radar).unionByName(keys).unionByName(heads).unionByName(pies)
+        return F.coalesce(F.transform(name, row), F.array())
+
+    field = lambda name: lambda x: x[name]
+    parts = [
+        part("bar_chart_data", "bar", field("category"), field("Home"), field("Away")),
+        part("radar_chart_data", "radar", field("metric"), field("home_idx"), field("away_idx")),
+        part("key_metrics_data", "key", field("category"), field("Home"), field("Away")),
+        part("headline_stats", "headline", lambda x: F.concat_ws(" ", x["label"], x["value"]), lambda x: none, lambda x: none),
+        part("pie_chart_data", "pie", field("category"), field("value"), lambda x: none),
+    ]
+    return df.select("game_id", F.inline(F.concat(*parts)))
