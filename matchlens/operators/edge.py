@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions.numbers import clamp
 from matchlens.functions.odds import (
+    american,
     american_to_prob,
     devig,
     expected_margin,
@@ -20,6 +21,8 @@ from matchlens.functions.odds import (
     std_norm_cdf,
     z_for_tiering,
 )
+from matchlens.operators.reconcile import derive_odds, pred_scores
+from matchlens.operators.slate import has_market, has_prediction
 from matchlens.params import EV_TIER, LEAGUES, edge_params
 from matchlens.stages import observed
 
@@ -195,6 +198,21 @@ def score_edges(games: DataFrame, strategy: str = "DZ", keep: list[str] | None =
     return gated(games, strategy).selectExpr(*own, *[f"{e} AS {c}" for c, e in fields.items()])
 
 
+def score_raw(raw: DataFrame, strategy: str = "DZ") -> DataFrame:
+    """Raw rows to edges: odds and predictions reconciled, then scored.
+
+    Only unfinished games with both predictions and a market are scored; the
+    others keep their row with an empty edge.
+    """
+    df = pred_scores(derive_odds(raw))
+    gate = has_prediction() & has_market("ml_home_text", "ml_away_text", "spread_line")
+    price = lambda c: F.when(F.col("_gate"), american(F.col(c)))
+    df = df.withColumn("_gate", gate).withColumns(
+        {"ml_home": price("ml_home_text"), "ml_away": price("ml_away_text"), "spread_home_line": F.col("spread_line")}
+    )
+    return score_edges(df.drop("_gate"), strategy)
+
+
 def tier_summary(scored: DataFrame) -> DataFrame:
     """Games by sport, tier and side, with subtotals."""
     return (

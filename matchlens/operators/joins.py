@@ -97,6 +97,23 @@ def with_weather(games: DataFrame, weather: DataFrame) -> DataFrame:
     return games.join(readings, match, "left").withColumn("indoor", indoor).drop(*[f"_{c}" for c in keys])
 
 
+def weather_detail(df: DataFrame) -> DataFrame:
+    """Display text of a reading, with stand-ins for whatever is missing."""
+    text = lambda name, fallback: F.coalesce(first_of(df, name).cast("string"), F.lit(fallback))
+    unit = lambda name, mark, fallback="–": F.concat(text(name, fallback), F.lit(mark))
+    return df.withColumns(
+        {
+            "city": text("city", "—"),
+            "stadium": text("stadium", "Indoor Venue"),
+            "temperature": unit("temperature", "°F"),
+            "feels_like": unit("feels_like", "°F"),
+            "humidity": unit("humidity", "%"),
+            "wind": unit("wind_speed", " mph", "0"),
+            "wind_angle": F.coalesce(first_of(df, "wind_angle"), F.lit(0)),
+        }
+    )
+
+
 def with_snapshot(games: DataFrame, snapshots: DataFrame) -> DataFrame:
     return games.join(snapshots, ["sport", "game_id"], "left")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from matchlens.functions import odds, texts, times
-from matchlens.operators import joins, reconcile, slate
+from matchlens.operators import edge, joins, reconcile, slate
 from matchlens.plans.views import check_sql, fixed
 from matchlens.sources import tables
 from matchlens.stages import observed
@@ -33,7 +33,7 @@ def odds_reconcile(spark, sf_dir):
 
 QUERIES["odds_reconcile"] = odds_reconcile
 _PRICE = "coalesce(json_extract_string(sp, '$.{s}.price'), json_extract_string(sp, '$.{s}.odds'), json_extract_string(sp, '$.{s}.american'))"
-CHECKS["odds_reconcile"] = check_sql(f"""
+ODDS_SQL = f"""
 SELECT *, (ml_home IS NOT NULL AND ml_away IS NOT NULL) OR spread_line IS NOT NULL AS has_market FROM (
 SELECT game_id,
   coalesce(own_home, json_extract_string(ml, '$.home'), CASE WHEN has_map THEN CAST(CAST(ml_home AS BIGINT) AS VARCHAR) END) AS ml_home,
@@ -42,7 +42,8 @@ SELECT game_id,
   {_PRICE.format(s='home')} AS spread_home_price, {_PRICE.format(s='away')} AS spread_away_price,
   coalesce(CASE WHEN game_id % 4 = 1 THEN total_line END, CAST(json_extract_string(tt, '$.line') AS DOUBLE),
            CAST(json_extract_string(tt, '$.over') AS DOUBLE)) AS total_line
-FROM raw_parsed)""")
+FROM raw_parsed)"""
+CHECKS["odds_reconcile"] = check_sql(ODDS_SQL)
 
 
 def pred_scores(spark, sf_dir):
@@ -51,12 +52,41 @@ def pred_scores(spark, sf_dir):
 
 
 QUERIES["pred_scores"] = pred_scores
-CHECKS["pred_scores"] = check_sql(f"""
-SELECT *, pred_home IS NOT NULL AND pred_away IS NOT NULL AND NOT fin AS has_prediction FROM (
+PRED_SQL = f"""
+SELECT game_id, sport, pred_home, pred_away,
+       pred_home IS NOT NULL AND pred_away IS NOT NULL AND NOT fin AS has_prediction FROM (
 SELECT game_id, sport,
   CASE WHEN game_id // 3 % 3 < 2 OR sport = 'NBA' THEN pred_home END AS pred_home,
-  CASE WHEN game_id // 3 % 3 < 2 THEN pred_away END AS pred_away, {FINAL} AS fin FROM games)""").replace(
-    "SELECT *, pred_home", "SELECT game_id, sport, pred_home, pred_away, pred_home"
+  CASE WHEN game_id // 3 % 3 < 2 THEN pred_away END AS pred_away, {FINAL} AS fin FROM games)"""
+CHECKS["pred_scores"] = check_sql(PRED_SQL)
+
+
+def slate_edges(spark, sf_dir):
+    """The whole way: raw rows, reconciled, gated, scored and labelled."""
+    scored = edge.score_raw(tables.raw_games(spark, sf_dir))
+    return scored.select(
+        "game_id", "sport", "ml_home_text", "spread_line", "pred_home", "side", "tier",
+        F.round("edge_pct", 6).alias("edge_pct"),
+        F.coalesce(odds.edge_badge(F.col("tier"), F.col("side")), F.lit("No Edge")).alias("badge"),
+    )
+
+
+QUERIES["slate_edges"] = slate_edges
+CHECKS["slate_edges"] = check_sql(
+    """
+SELECT o.game_id, p.sport, o.ml_home AS ml_home_text, o.spread_line, p.pred_home, t.side, t.tier,
+       round(t.edge_pct, 6) AS edge_pct,
+       CASE WHEN t.tier IS NULL THEN 'No Edge' ELSE 'Edge: ' || CASE tier WHEN 'HIGH' THEN 'High' WHEN 'MED' THEN 'Medium' ELSE 'Low' END
+         || ' (' || CASE side WHEN 'HOME' THEN 'Home' ELSE 'Away' END || ')' END AS badge
+FROM odds0 o JOIN pred0 p ON o.game_id = p.game_id LEFT JOIN tiered t ON t.game_id = o.game_id""",
+    games="reconciled",
+    odds0=ODDS_SQL,
+    pred0=PRED_SQL,
+    reconciled="""
+SELECT o.game_id, p.sport, p.pred_home, p.pred_away, CAST(o.ml_home AS DOUBLE) AS ml_home,
+       CAST(o.ml_away AS DOUBLE) AS ml_away, o.spread_line AS spread_home_line
+FROM odds0 o JOIN pred0 p ON o.game_id = p.game_id
+WHERE p.has_prediction AND o.ml_home IS NOT NULL AND o.ml_away IS NOT NULL""",
 )
 
 
@@ -282,19 +312,10 @@ SELECT game_id, sport, CASE WHEN game_id // 3 % 3 < 2 OR sport = 'NBA' THEN pred
 
 def weather_labels(spark, sf_dir):
     df = joins.with_weather(tables.games(spark, sf_dir), tables.weather(spark, sf_dir))
-    dash = F.lit("–")
-    text = lambda c: F.col(c).cast("string")
-    angle = F.coalesce("wind_angle", F.lit(0).cast("long"))
-    return df.select(
-        "game_id",
-        "indoor",
-        texts.weather_label(F.col("indoor"), text("temperature"), F.coalesce(text("wind_speed"), F.lit(""))).alias(
-            "badge"
-        ),
-        F.coalesce("city", F.lit("—")).alias("city"),
-        F.concat(F.coalesce(text("temperature"), dash), F.lit("°F")).alias("temperature"),
-        F.concat(F.coalesce("wind_speed", F.lit(0).cast("long")), F.lit(" mph")).alias("wind"),
-        angle.alias("wind_angle"),
+    reading = [F.col("temperature").cast("string"), F.coalesce(F.col("wind_speed").cast("string"), F.lit(""))]
+    badge = texts.weather_label(F.col("indoor"), *reading).alias("badge")
+    return joins.weather_detail(df.withColumn("badge", badge)).select(
+        "game_id", "indoor", "badge", "city", "stadium", "temperature", "feels_like", "wind", "wind_angle"
     )
 
 
@@ -302,7 +323,8 @@ QUERIES["weather_labels"] = weather_labels
 CHECKS["weather_labels"] = check_sql("""
 SELECT game_id, indoor, CASE WHEN indoor THEN 'Indoor' WHEN temperature IS NULL THEN 'N/A'
             ELSE temperature || '°F / ' || coalesce(CAST(wind_speed AS VARCHAR), '') || 'mph' END AS badge,
-       coalesce(city, '—') AS city, coalesce(CAST(temperature AS VARCHAR), '–') || '°F' AS temperature,
+       coalesce(city, '—') AS city, 'Indoor Venue' AS stadium, coalesce(CAST(temperature AS VARCHAR), '–') || '°F' AS temperature,
+       '–°F' AS feels_like,
        coalesce(wind_speed, 0) || ' mph' AS wind, coalesce(wind_angle, 0) AS wind_angle
 FROM (SELECT g.game_id, g.sport = 'NBA' OR coalesce(w.is_indoor, FALSE) AS indoor, w.temperature, w.wind_speed, w.wind_angle, w.city
       FROM games g LEFT JOIN weather w ON g.home_team = w.home_team AND g.sport <> 'NBA')""")

@@ -157,6 +157,15 @@ def test_wrapper_rows(spark):
     assert (got["srs"], got["sos"]) == (2.5, 3.0)
 
 
+def test_snapshot_lookup_and_row_identity(spark):
+    played = spark.sql("SELECT 'NBA' AS sport, '1' AS game_id UNION ALL SELECT 'MLB', '1'")
+    found = spark.sql("SELECT 'NBA' AS sport, '1' AS game_id, 'x' AS stage")
+    got = {r["sport"]: r["stage"] for r in joins.with_snapshot(played, found).collect()}
+    assert got == {"NBA": "x", "MLB": None}
+    ids = spark.sql("SELECT 7 AS teamId, 'A' AS team_name UNION ALL SELECT NULL, 'B'")
+    assert [r[0] for r in ids.select(reconcile.row_identity(ids)).collect()] == ["7", "B"]
+
+
 TEAMS = [("b", 1.0), ("a", 1.0), ("c", None), ("d", 3.0), ("e", None)]
 
 
