@@ -12,8 +12,11 @@ DASH = "–"
 
 
 def finite(x: Column) -> Column:
-    """NaN and infinities become NULL, so that later comparisons are safe."""
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
+    """NaN and infinities become NULL, so that later comparisons are safe.
+
+    Spark orders NaN above infinity, so one comparison drops both.
+    """
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def parse_number(text: Column) -> Column:

@@ -166,6 +166,7 @@ def with_tiers(df: DataFrame, strategy: str = "DZ") -> DataFrame:
         raise ValueError(f"strategy must be EV or DZ, not {strategy!r}")
     base = f"greatest({tier_from_ev()}, {tier_from_delta_z()})"
     df = df.selectExpr("*", f"if(open_gate, {base}, NULL) AS tier_base")
+    df = observed(df, "edge_base", "tier_base > 0")
     before = "tier_base"
     for name, guard in GUARDS.items():
         # A closed gate is NULL and stays out of every later stage.
@@ -204,7 +205,8 @@ def score_raw(raw: DataFrame, strategy: str = "DZ") -> DataFrame:
     Only unfinished games with both predictions and a market are scored; the
     others keep their row with an empty edge.
     """
-    df = pred_scores(derive_odds(raw))
+    df = observed(derive_odds(raw), "odds_found", "ml_home_text IS NOT NULL")
+    df = observed(pred_scores(df), "scores_found", "pred_home IS NOT NULL AND pred_away IS NOT NULL")
     gate = has_prediction() & has_market("ml_home_text", "ml_away_text", "spread_line")
     price = lambda c: F.when(F.col("_gate"), american(F.col(c)))
     df = df.withColumn("_gate", gate).withColumns(

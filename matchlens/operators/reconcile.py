@@ -77,9 +77,13 @@ def pred_scores(df: DataFrame) -> DataFrame:
         for sport, keys in PREDICTION_KEYS.items():
             names = [k.replace("X", side.title()).replace("_x_", f"_{side}_") for k in keys]
             out = out.when(F.col("sport") == sport, first_of(df, *names).cast("string"))
-        return to_finite(out)
+        return out
 
-    return df.withColumns({"pred_home": value("home"), "pred_away": value("away")})
+    # Chosen first and parsed after, so that the choice is made once.
+    chosen = df.withColumns({"_home": value("home"), "_away": value("away")})
+    return chosen.withColumns(
+        {"pred_home": to_finite(F.col("_home")), "pred_away": to_finite(F.col("_away"))}
+    ).drop("_home", "_away")
 
 
 def normalize_summary(df: DataFrame) -> DataFrame:
@@ -94,7 +98,8 @@ def normalize_summary(df: DataFrame) -> DataFrame:
 
 def row_identity(df: DataFrame, *names: str) -> Column:
     """``team_id`` or whichever key stands in for it."""
-    return first_of(df, *(names or ("team_id", "teamId", "team_name"))).cast("string")
+    names = [n for n in names or ("team_id", "teamId", "team_name") if n in df.columns]
+    return F.coalesce(*[F.col(n).cast("string") for n in names])
 
 
 def league_union(*frames: DataFrame) -> DataFrame:

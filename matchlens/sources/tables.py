@@ -9,6 +9,8 @@ every query therefore grows with the tables.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlens.stages import observed
+
 TEAMS = 25
 
 
@@ -120,6 +122,9 @@ def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     total_json = F.concat(
         F.when(k % 2 == 0, '{"line":').otherwise('{"over":'), F.col("total_line").cast("string"), F.lit("}")
     )
+    # Texts are built once and encoded in the next step.
+    g = observed(g.withColumns({"_ml": ml_json, "_sp": spread_json, "_tt": total_json}), "raw_games", "_ml IS NOT NULL")
+    ml_json, spread_json, total_json = F.col("_ml"), F.col("_sp"), F.col("_tt")
     explicit = k % 7 == 0
     tail = _div(k, 3) % 3
     keyed = lambda n, x: F.when(tail == n, x.cast("string"))
