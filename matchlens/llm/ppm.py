@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from matchlens.llm.common import added, at_most, written
 
 ORDER = 4
-NODES = 1 << 20
+NODES = 1 << 19
+LEVEL_BITS = 8 * (ORDER + 1)
 SENT_WORDS = 1 << 17
 FLUSH_WORDS = 400_000
 FLUSH_GRAMS = 1_000_000
@@ -260,7 +261,7 @@ class Scorer:
 class Model:
     """What the tasks need: the trie, the most frequent words, and the sums over all words."""
 
-    def __init__(self, levels, words: dict[str, int], texts: int, tokens: int, distinct: int):
+    def __init__(self, levels, words: tuple, texts: int, tokens: int, distinct: int):
         self.levels, self.words = levels, words
         self.texts, self.tokens, self.distinct = texts, tokens, distinct
 
@@ -277,22 +278,22 @@ def counts(training: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
 
 def fit(training: DataFrame, text: str = "text", nodes: int = NODES) -> tuple[Model, DataFrame]:
     """The model, and the table ``word, n`` for the words it leaves out."""
-    import numpy as np
-
     words, grams = counts(training, text)
     order = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
     by_order = grams.select("gram", "n", order.alias("level")).select(
         "level", F.expr("gram & ((1L << (8 * (level + 1))) - 1)").alias("gram"), "n"
     )
     trie = written(by_order.groupBy("level", "gram").agg(F.sum("n").alias("n")), "trie")
-    kept = at_most(trie, "n", nodes).toPandas()  # nodes rows at most
-    levels = []
+    key = F.expr(f"shiftleft(CAST(level AS BIGINT), {LEVEL_BITS}) | gram").alias("key")
+    kept = at_most(trie, "n", nodes).select(key, "n").toArrow()  # nodes rows at most
+    keys, numbers = kept["key"].to_numpy(), kept["n"].to_numpy()
+    level, levels = keys >> LEVEL_BITS, []
     for k in range(ORDER + 1):
-        some = kept[kept["level"] == k]
-        levels.append((some["gram"].to_numpy(np.int64), some["n"].to_numpy(np.int64)))
+        levels.append((keys[level == k] & ((1 << LEVEL_BITS) - 1), numbers[level == k]))
     texts, total, distinct = training.count(), *words.agg(F.sum("n"), F.count("*")).first()
-    frequent = at_most(words, "n", SENT_WORDS).toPandas()  # SENT_WORDS rows at most
-    sent = dict(zip(frequent["word"], frequent["n"].tolist()))
+    frequent = at_most(words, "n", SENT_WORDS).toArrow()  # SENT_WORDS rows at most
+    # Words hold no line ends, so one string carries them all.
+    sent = "\n".join(frequent["word"].to_pylist()), frequent["n"].to_numpy()
     # The end of each text is one more token, and one more kind of it.
     return Model(levels, sent, texts, (total or 0) + texts, (distinct or 0) + (texts > 0)), words
 
@@ -364,7 +365,9 @@ def _loaded(shared) -> tuple[dict, Scorer]:
     if key not in _models:
         model = shared.value
         below = math.log10(model.tokens + model.distinct + 1)
-        logs = {w: math.log10(n + 1) - below for w, n in model.words.items()}
+        words, counts_ = model.words
+        pairs = zip(words.split("\n"), counts_.tolist())
+        logs = {w: math.log10(n + 1) - below for w, n in pairs}
         _models.clear()
         _models[key] = logs, Scorer(Trie(model.levels))
     return _models[key]
