@@ -65,39 +65,43 @@ def _counted(frames):
 
 
 class Model:
-    """Log frequencies by word and n-gram; one column for each language."""
+    """Counts by word and n-gram, compact enough to send; ``tables`` makes log frequencies of them."""
 
-    def __init__(self, counts: dict[str, list[tuple[str, str, int]]]):
+    def __init__(self, counts: dict[str, tuple]):
+        """``counts`` has, for "word" and "gram", three equally long lists: languages, terms, numbers."""
         import numpy as np
 
-        self.langs = sorted({lang for rows in counts.values() for lang, _, _ in rows})
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables, self.rows = [], {}
-        for kind, rows in counts.items():
-            terms = sorted({term for _, term, _ in rows})
-            at = {t: i for i, t in enumerate(terms)}
+        self.langs = sorted({lang for langs, _, _ in counts.values() for lang in langs})
+        column = {lang: i for i, lang in enumerate(self.langs)}
+        self.sparse = {}
+        for kind, (langs, terms, numbers) in counts.items():
+            distinct = sorted(set(terms))
+            row = {t: i for i, t in enumerate(distinct)}
+            self.sparse[kind] = (
+                "\n".join(distinct),  # letters and underscores only
+                np.array([row[t] for t in terms], dtype=np.int32),
+                np.array([column[lang] for lang in langs], dtype=np.int32),
+                np.array(numbers, dtype=np.int64),
+            )
+
+    def tables(self) -> dict[str, tuple]:
+        """For each kind the row of each term, and a table with a column for each language."""
+        import numpy as np
+
+        out = {}
+        for kind, (joined, rows, columns, numbers) in self.sparse.items():
+            terms = joined.split("\n") if joined else []
             table = np.zeros((len(terms), len(self.langs)))
-            for lang, term, n in rows:
-                table[at[term], place[lang]] = n
-            size = np.array([len(t) if kind == "gram" else 0 for t in terms])
+            table[rows, columns] = numbers
+            # Frequencies are taken among n-grams of one size.
+            size = np.array([len(t) if kind == "gram" else 0 for t in terms], dtype=np.int64)
             logs = np.zeros_like(table)
             for s in set(size.tolist()):
                 some = size == s
                 totals = table[some].sum(0)
                 logs[some] = np.log((table[some] + 0.5) / (totals + 0.5 * (some.sum() + 1)))
-            self.rows[kind] = (at, logs)
-
-    def word(self, word: str):
-        """The log score of one word in each language; None if nothing is known of it."""
-        at, logs = self.rows["word"]
-        if word in at:
-            return logs[at[word]]
-        at, logs = self.rows["gram"]
-        for size in range(LONGEST_GRAM, 0, -1):
-            known = [at[g] for g in grams_of(word, size) if g in at]
-            if known:
-                return logs[known].mean(0)
-        return None
+            out[kind] = {t: i for i, t in enumerate(terms)}, logs
+        return out
 
 
 class Scorer(dict):
@@ -106,16 +110,27 @@ class Scorer(dict):
     def __init__(self, model: Model):
         import numpy as np
 
-        self.model, self.langs = model, model.langs
-        at, logs = model.rows["word"]
+        self.langs = model.langs
+        tables = model.tables()
+        self.grams, self.gram_logs = tables["gram"]
+        at, logs = tables["word"]
         self.known = len(at)
         self.table = np.zeros((self.known + 1 + CACHED_WORDS, len(self.langs)))
         self.table[: self.known] = logs
         self.base, self.next = at, self.known + 1
         self.update(at)
 
+    def unseen(self, word: str):
+        """The mean over the word's longest known n-grams; None if none is known."""
+        at = self.grams
+        for size in range(LONGEST_GRAM, 0, -1):
+            known = [at[g] for g in grams_of(word, size) if g in at]
+            if known:
+                return self.gram_logs[known].mean(0)
+        return None
+
     def __missing__(self, word: str) -> int:
-        scores = self.model.word(word)
+        scores = self.unseen(word)
         if scores is None:
             place = self.known
         else:
@@ -171,8 +186,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     kept = {}
     for kind, limit in (("word", KEPT_WORDS), ("gram", KEPT_GRAMS)):
         some = at_most(counts.filter(F.col("kind") == kind), "n", limit)
-        frame = some.select("lang", "term", "n").toPandas()  # limit rows at most
-        kept[kind] = list(frame.itertuples(index=False, name=None))
+        found = some.select("lang", "term", "n").toArrow()  # limit rows at most
+        kept[kind] = tuple(found[c].to_pylist() for c in ("lang", "term", "n"))
     return Model(kept)
 
 
