@@ -24,8 +24,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 1 << 17
 KEPT_GRAMS = 1 << 17
 LONGEST_GRAM = 4
-FLUSH = 300_000
-CACHED_WORDS = 300_000
+FLUSH = 400_000
+CACHED_PARTS, CACHED_BYTES = 700_000, 64 << 20
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
 
@@ -43,25 +43,32 @@ def _counted(frames):
     """Words and n-grams by language, summed as far as one task sees them."""
     import pandas as pd
 
-    def flushed(counts):
-        grams = Counter()
-        for (lang, word), n in counts.items():
-            for size in range(1, LONGEST_GRAM + 1):
-                for gram in grams_of(word, size):
-                    grams[lang, gram] += n
-        for kind, some in (("word", counts), ("gram", grams)):
-            langs, terms = zip(*some) if some else ((), ())
-            yield pd.DataFrame({"kind": kind, "lang": langs, "term": terms, "n": list(some.values())})
-
-    counts, by_lang = Counter(), {}
+    def rows(kind, lang, counts):
+        return pd.DataFrame({"kind": kind, "lang": lang, "term": list(counts), "n": list(counts.values())})
+
+    def flushed(by_lang):
+        for lang, parts in by_lang.items():
+            words, grams = Counter(), Counter()
+            for part, n in parts.items():
+                for word in words_of(part):
+                    words[word] += n
+            for word, n in words.items():
+                padded = f"_{word}_"
+                for size in range(1, LONGEST_GRAM + 1):
+                    for i in range(len(padded) - size + 1):
+                        grams[padded[i : i + size]] += n
+            yield rows("word", lang, words)
+            yield rows("gram", lang, grams)
+
+    by_lang = {}
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"]):
-            by_lang.setdefault(lang, Counter()).update(words_of(text))
+            # Cut at white space first: far fewer distinct parts than words need the pattern.
+            by_lang.setdefault(lang, Counter()).update(text.split())
         if sum(map(len, by_lang.values())) > FLUSH:
-            counts = {(lang, w): n for lang, c in by_lang.items() for w, n in c.items()}
-            yield from flushed(counts)
+            yield from flushed(by_lang)
             by_lang = {}
-    yield from flushed({(lang, w): n for lang, c in by_lang.items() for w, n in c.items()})
+    yield from flushed(by_lang)
 
 
 class Model:
@@ -105,71 +112,76 @@ class Model:
 
 
 class Scorer(dict):
-    """Place of each word in one growing table of scores."""
+    """Row of each part between white space in one growing table of scores."""
 
     def __init__(self, model: Model):
         import numpy as np
 
         self.langs = model.langs
         tables = model.tables()
-        self.grams, self.gram_logs = tables["gram"]
-        at, logs = tables["word"]
-        self.known = len(at)
-        self.table = np.zeros((self.known + 1 + CACHED_WORDS, len(self.langs)))
-        self.table[: self.known] = logs
-        self.base, self.next = at, self.known + 1
-        self.update(at)
+        self.words, self.word_logs = tables["word"]
+        self.grams, gram_logs = tables["gram"]
+        self.gram_logs = list(map(tuple, gram_logs.tolist()))
+        rows = max(1000, min(CACHED_PARTS, CACHED_BYTES // (8 * max(1, len(self.langs)))))
+        self.table = np.zeros((rows, len(self.langs)))
 
     def unseen(self, word: str):
         """The mean over the word's longest known n-grams; None if none is known."""
-        at = self.grams
+        at, logs = self.grams, self.gram_logs
         for size in range(LONGEST_GRAM, 0, -1):
-            known = [at[g] for g in grams_of(word, size) if g in at]
+            known = [logs[at[g]] for g in grams_of(word, size) if g in at]
             if known:
-                return self.gram_logs[known].mean(0)
+                n = len(known)
+                return [sum(column) / n for column in zip(*known)]
         return None
 
-    def __missing__(self, word: str) -> int:
-        scores = self.unseen(word)
-        if scores is None:
-            place = self.known
-        else:
-            if self.next == len(self.table):
-                raise Full
-            place, self.next = self.next, self.next + 1
-            self.table[place] = scores
-        self[word] = place
-        return place
+    def scores(self, part: str):
+        """The sum over the words of one part, of which most have one."""
+        import numpy as np
 
-    def reset(self):
-        self.clear()
-        self.update(self.base)
-        self.next = self.known + 1
+        total = np.zeros(len(self.langs))
+        for word in words_of(part):
+            row = self.words.get(word)
+            one = self.unseen(word) if row is None else self.word_logs[row]
+            if one is not None:
+                total += one
+        return total
+
+    def __missing__(self, part: str) -> int:
+        place = len(self)
+        if place == len(self.table):
+            raise Full
+        self.table[place] = self.scores(part)
+        self[part] = place
+        return place
 
-    def total(self, words: list[str]):
+    def total(self, parts: list[str]):
         import numpy as np
 
-        if len(words) > CACHED_WORDS // 2:
-            half = len(words) // 2
-            return self.total(words[:half]) + self.total(words[half:])
+        if len(parts) > len(self.table) // 2:
+            half = len(parts) // 2
+            return self.total(parts[:half]) + self.total(parts[half:])
         try:
-            places = list(map(self.__getitem__, words))
+            places = list(map(self.__getitem__, parts))
         except Full:
-            self.reset()
-            places = list(map(self.__getitem__, words))
-        return self.table[np.array(places)].sum(0)
+            self.clear()
+            places = list(map(self.__getitem__, parts))
+        return self.table[np.array(places, dtype=np.int64)].sum(0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         import numpy as np
 
-        words = words_of(text) if text else []
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
+        if not self.langs or not text or not has_letter(text):
             return UNKNOWN, 0.0
-        scores = self.total(words)
+        scores = self.total(text.split())
         best = int(np.argmax(scores))
         return self.langs[best], float(1.0 / np.exp(scores - scores[best]).sum())
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in LETTERS.finditer(text) for c in m.group())
+
+
 class Full(Exception):
     """The table of scores has no place left."""
 
