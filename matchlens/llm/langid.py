@@ -39,26 +39,22 @@ def grams_of(word: str, size: int) -> list[str]:
     return [padded[i : i + size] for i in range(len(padded) - size + 1)]
 
 
-def _counted(frames):
-    """Words and n-grams by language, summed as far as one task sees them."""
+def _rows(lang, counts):
     import pandas as pd
 
-    def rows(kind, lang, counts):
-        return pd.DataFrame({"kind": kind, "lang": lang, "term": list(counts), "n": list(counts.values())})
+    return pd.DataFrame({"lang": lang, "term": list(counts), "n": list(counts.values())})
 
-    def flushed(by_lang):
+
+def _words(frames):
+    """Words by language, summed as far as one task sees them."""
+
+    def flushed():
         for lang, parts in by_lang.items():
-            words, grams = Counter(), Counter()
+            words = Counter()
             for part, n in parts.items():
                 for word in words_of(part):
                     words[word] += n
-            for word, n in words.items():
-                padded = f"_{word}_"
-                for size in range(1, LONGEST_GRAM + 1):
-                    for i in range(len(padded) - size + 1):
-                        grams[padded[i : i + size]] += n
-            yield rows("word", lang, words)
-            yield rows("gram", lang, grams)
+            yield _rows(lang, words)
 
     by_lang = {}
     for frame in frames:
@@ -66,9 +62,25 @@ def _counted(frames):
             # Cut at white space first: far fewer distinct parts than words need the pattern.
             by_lang.setdefault(lang, Counter()).update(text.split())
         if sum(map(len, by_lang.values())) > FLUSH:
-            yield from flushed(by_lang)
+            yield from flushed()
             by_lang = {}
-    yield from flushed(by_lang)
+    yield from flushed()
+
+
+def _grams(frames):
+    """N-grams of counted words by language, summed as far as one task sees them."""
+    by_lang = {}
+    for frame in frames:
+        for lang, word, n in zip(frame["lang"], frame["term"], frame["n"].tolist()):
+            grams = by_lang.setdefault(lang, Counter())
+            padded = f"_{word}_"
+            for size in range(1, LONGEST_GRAM + 1):
+                for i in range(len(padded) - size + 1):
+                    grams[padded[i : i + size]] += n
+        if sum(map(len, by_lang.values())) > FLUSH:
+            yield from (_rows(lang, grams) for lang, grams in by_lang.items())
+            by_lang = {}
+    yield from (_rows(lang, grams) for lang, grams in by_lang.items())
 
 
 class Model:
@@ -120,16 +132,16 @@ class Scorer(dict):
         self.langs = model.langs
         tables = model.tables()
         self.words, self.word_logs = tables["word"]
-        self.grams, gram_logs = tables["gram"]
-        self.gram_logs = list(map(tuple, gram_logs.tolist()))
+        at, logs = tables["gram"]
+        self.grams = dict(zip(at, map(tuple, logs.tolist())))
         rows = max(1000, min(CACHED_PARTS, CACHED_BYTES // (8 * max(1, len(self.langs)))))
         self.table = np.zeros((rows, len(self.langs)))
 
     def unseen(self, word: str):
         """The mean over the word's longest known n-grams; None if none is known."""
-        at, logs = self.grams, self.gram_logs
+        get = self.grams.get
         for size in range(LONGEST_GRAM, 0, -1):
-            known = [logs[at[g]] for g in grams_of(word, size) if g in at]
+            known = [logs for logs in map(get, grams_of(word, size)) if logs]
             if known:
                 n = len(known)
                 return [sum(column) / n for column in zip(*known)]
@@ -137,15 +149,15 @@ class Scorer(dict):
 
     def scores(self, part: str):
         """The sum over the words of one part, of which most have one."""
-        import numpy as np
-
-        total = np.zeros(len(self.langs))
+        found = []
         for word in words_of(part):
             row = self.words.get(word)
             one = self.unseen(word) if row is None else self.word_logs[row]
             if one is not None:
-                total += one
-        return total
+                found.append(one)
+        if len(found) == 1:
+            return found[0]
+        return [sum(column) for column in zip(*found)] if found else 0.0
 
     def __missing__(self, part: str) -> int:
         place = len(self)
@@ -189,15 +201,13 @@ class Full(Exception):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model from all rows with a text and a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    counts = (
-        rows.mapInPandas(_counted, "kind string, lang string, term string, n long")
-        .groupBy("kind", "lang", "term")
-        .agg(F.sum("n").alias("n"))
-    )
-    counts = written(counts, "counts")
+    schema = "lang string, term string, n long"
+    summed = lambda df: df.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    words = written(summed(rows.mapInPandas(_words, schema)), "words")
+    grams = written(summed(words.mapInPandas(_grams, schema)), "grams")
     kept = {}
-    for kind, limit in (("word", KEPT_WORDS), ("gram", KEPT_GRAMS)):
-        some = at_most(counts.filter(F.col("kind") == kind), "n", limit)
+    for kind, counts, limit in (("word", words, KEPT_WORDS), ("gram", grams, KEPT_GRAMS)):
+        some = at_most(counts, "n", limit)
         found = some.select("lang", "term", "n").toArrow()  # limit rows at most
         kept[kind] = tuple(found[c].to_pylist() for c in ("lang", "term", "n"))
     return Model(kept)

@@ -15,6 +15,7 @@ packed like any other. Extra columns stay; those named like a result give way.
 import bisect
 import functools
 import struct
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -25,30 +26,84 @@ from matchlens.llm.common import added, ranked
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 500_000
-CACHED_LENGTH = 64
+CACHED_WORDS = 700_000
+AT_ONCE = 200_000
 
 
 class WordIds(dict):
-    """Ids of the parts between spaces, packed; the tokenizer drops white space, so parts are free of context."""
+    """Ids of the parts between spaces, packed.
+
+    The tokenizer drops white space, so parts are free of context. It also cuts
+    between letters and full stops or commas, and lowers case letter by letter,
+    so one entry for the bare word serves the others.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[part] = packed
-        return packed
-
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        self.cores: dict[str, bytes] = {}
+
+    @staticmethod
+    def _core(part: str) -> tuple[str, str]:
+        core = part.rstrip(".,")
+        if not core[-1:].isalpha():
+            core = part
+        # Greek sigma alone has a lower form that depends on its place.
+        plain = core.lower() if "\u03a3" not in core else core
+        return plain, part[len(core) :]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """A composed word of lower-case letters is a piece of its own and goes straight to the merges."""
+        merge, table = self.tokenizer.model.tokenize, _byte_letters()
+        out, other = {}, []
+        for part in parts:
+            if part.isalpha() and "\u03a3" not in part and unicodedata.is_normalized("NFC", part):
+                out[part] = [t.id for t in merge(part.encode().decode("latin-1").translate(table))]
+            else:
+                other.append(part)
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        out.update((part, e.ids) for part, e in zip(other, found))
+        return [struct.pack(f"<{len(out[p])}I", *out[p]) for p in parts]
+
+    def learn(self, parts) -> None:
+        """Takes in the parts that are not known yet, at most ``CACHED_WORDS`` in all."""
+        new = [p for p in parts if p not in self]
+        if len(self) + len(new) > CACHED_WORDS:
+            self.clear()
+            new = list(parts)
+        if len(self.cores) > CACHED_WORDS:
+            self.cores.clear()
+        cores, split = self.cores, [self._core(p) for p in new]
+        missing = list({c for pair in split for c in pair if c not in cores})
+        cores.update(zip(missing, self._encoded(missing)))
+        self.update((p, cores[core] + cores[end]) for p, (core, end) in zip(new, split))
+
+    def ids(self, texts) -> list[bytes]:
+        """Packed ids of whole texts; null texts have none."""
+        out, some, size = [], [], 0
+        for text in texts:
+            parts = text.replace("\n", " ").split(" ") if text else []
+            some.append(parts)
+            size += len(parts)
+            if size > AT_ONCE:
+                out += self._joined(some)
+                some, size = [], 0
+        return out + self._joined(some)
+
+    def _joined(self, texts: list[list[str]]) -> list[bytes]:
+        self.learn(set().union(*texts))
+        get = self.__getitem__
+        return [b"".join(map(get, parts)) for parts in texts]
+
+
+@functools.lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable bytes stand for themselves, others follow from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: 256 + k for k, b in enumerate(others)}
 
 
 @functools.lru_cache(maxsize=2)
@@ -72,18 +127,19 @@ def pieces(
 
     @F.pandas_udf(f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
     def cut(texts):
-        words, end, step = word_ids(tokenizer), struct.pack("<I", end_id), 4 * capacity
+        end, step = struct.pack("<I", end_id), 4 * capacity
 
-        def one(t):
-            ids = words.ids(t) + end
-            out = []
+        def one(ids):
+            ids, out = ids + end, []
             for k, at in enumerate(range(0, len(ids), step)):
                 part = ids[at : at + step]
                 row = {"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
                 out.append(row | {"ids": part} if keep_ids else row)
             return out
 
-        return texts.map(one)
+        import pandas as pd
+
+        return pd.Series([one(ids) for ids in word_ids(tokenizer).ids(texts)], dtype=object)
 
     names = [f.split()[0] for f in fields.split(", ")]
     rows = docs.withColumn("_pieces", F.explode(cut(F.col(text)))).drop(text)

@@ -209,7 +209,8 @@ def with_spans(docs: DataFrame, text: str = "text", keep_text: bool = True) -> D
         .groupBy("_row")
         .agg(F.collect_list(F.struct(F.lit("id").alias("kind"), "start", "end")).alias("_new"))
     )
-    joined = rows.join(new, "_row", "left")
+    # Written, its size is known, and a small table does not make the texts move.
+    joined = rows.join(written(new, "found"), "_row", "left")
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     keyed = F.transform(
         F.concat("_base", F.coalesce("_new", F.array().cast(f"array<{SPAN}>"))),

@@ -21,7 +21,6 @@ without an id belong to training. Repeated rows count each time. Extra columns
 stay; those named like a result give way.
 """
 
-import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -35,14 +34,13 @@ LEVEL_BITS = 8 * (ORDER + 1)
 SENT_WORDS = 1 << 17
 FLUSH_WORDS = 400_000
 FLUSH_GRAMS = 1_000_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-CHUNK = 1 << 20
-SLOT_BITS = 22
+CHUNK, SCORED_CHUNK = 1 << 20, 1 << 18
+SLOT_BITS = 20
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.translate(LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    """Words in lower case; bytes know just the letters A to Z and just the white space meant."""
+    return text.encode().lower().split() if text else []
 
 
 def grams_of(data):
@@ -99,37 +97,77 @@ def _counted(frames):
     import pandas as pd
 
     def word_rows(words):
-        return pd.DataFrame({"word": list(words), "gram": 0, "n": list(words.values())})
+        texts = [w.decode() for w in words]
+        return pd.DataFrame({"word": texts, "gram": 0, "n": list(words.values())})
 
     def gram_rows(keys, counts):
         return pd.DataFrame({"word": None, "gram": keys, "n": counts})
 
-    def merged(keys, counts):
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        keys, place = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(place, weights=counts).astype(np.int64)
-
-    words, keys, counts = Counter(), [], []
+    words, grams = Counter(), GramCounts()
     for frame in frames:
         for text in frame["text"]:
-            words.update(words_of(text or ""))
+            words.update(words_of(text))
         for data, starts, ends in batches(frame["text"]):
-            k, c = np.unique(grams_of(data)[_inside(len(data), starts, ends)], return_counts=True)
-            keys.append(k)
-            counts.append(c)
+            grams.add(grams_of(data)[_inside(len(data), starts, ends)])
         if len(words) > FLUSH_WORDS:
             yield word_rows(words)
             words = Counter()
-        if sum(map(len, keys)) > FLUSH_GRAMS:
-            k, c = merged(keys, counts)
-            keys, counts = [k], [c]
-            if len(k) > FLUSH_GRAMS // 2:
-                yield gram_rows(k, c)
-                keys, counts = [], []
+        if grams.rest_size > FLUSH_GRAMS:
+            yield gram_rows(*grams.taken_rest())
     if words:
         yield word_rows(words)
-    if keys:
-        yield gram_rows(*merged(keys, counts))
+    yield gram_rows(*grams.taken_rest())
+    yield gram_rows(*grams.table())
+
+
+class GramCounts:
+    """Counts in a hash table; what meets a taken slot is kept aside and merged."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.keys = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
+        self.counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.rest, self.rest_size = [], 0
+
+    def add(self, grams):
+        import numpy as np
+
+        slots = slots_of(grams)
+        hit = self.keys[slots] == grams
+        self.counts += np.bincount(slots[hit], minlength=len(self.counts))
+        keys, counts = np.unique(grams[~hit], return_counts=True)
+        slots = slots_of(keys)
+        free = np.flatnonzero(self.keys[slots] == -1)
+        free = free[np.unique(slots[free], return_index=True)[1]]
+        self.keys[slots[free]] = keys[free]
+        self.counts[slots[free]] += counts[free]
+        left = np.ones(len(keys), dtype=bool)
+        left[free] = False
+        if left.any():
+            self.rest.append((keys[left], counts[left]))
+            self.rest_size += int(left.sum())
+
+    def taken_rest(self):
+        import numpy as np
+
+        if not self.rest:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        keys, counts = (np.concatenate(c) for c in zip(*self.rest))
+        self.rest, self.rest_size = [], 0
+        keys, place = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(place, weights=counts).astype(np.int64)
+
+    def table(self):
+        used = self.keys >= 0
+        return self.keys[used], self.counts[used]
+
+
+def slots_of(keys):
+    import numpy as np
+
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 class Trie:
@@ -223,29 +261,23 @@ class Scorer:
         import numpy as np
 
         self.trie = trie
-        keys, _ = trie.costs[ORDER]
+        keys, counts = trie.costs[ORDER]
+        # Of keys that meet in a slot the most frequent stays; the others take the long way.
+        keys = keys[np.argsort(counts, kind="stable")]
         self.keys = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
         self.values = np.zeros(1 << SLOT_BITS)
-        slots = self._slots(keys)
-        # Of keys that meet in a slot the last stays; the others take the long way.
+        slots = slots_of(keys)
         self.keys[slots] = keys
         self.values[slots] = trie.logs(keys)
 
-    @staticmethod
-    def _slots(keys):
-        import numpy as np
-
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
     def scores(self, texts) -> list[float]:
         """Log10 probability of each text."""
         import numpy as np
 
         out = []
-        for data, starts, ends in batches(texts):
+        for data, starts, ends in batches(texts, SCORED_CHUNK):
             grams = grams_of(data)
-            slots = self._slots(grams)
+            slots = slots_of(grams)
             logs = self.values[slots]
             inside = _inside(len(data), starts, ends)
             logs[~inside] = 0.0
@@ -315,16 +347,13 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text")
         costs, scorer = _loaded(shared)
         rows = []
         for t in texts:
-            tf = Counter(words_of(t or ""))
-            base, known, rest = 0.0, 0, []
-            for w, k in tf.items():
-                cost = costs.get(w)
-                if cost is None:
-                    rest.append({"word": w, "tf": k})
-                else:
-                    base += k * cost
-                    known += k
-            rows.append((sum(tf.values()) + 1, known, base, rest))
+            words = words_of(t)
+            logs = list(map(costs.get, words))
+            rest = Counter(w for w, cost in zip(words, logs) if cost is None) if None in logs else {}
+            left = [{"word": w.decode(), "tf": k} for w, k in rest.items()]
+            # A cost is never zero, as no word is the whole corpus.
+            known = len(words) - sum(rest.values())
+            rows.append((len(words) + 1, known, math.fsum(filter(None, logs)), left))
         frame = pd.DataFrame(rows, columns=["tokens", "known", "base", "rare"])
         frame["score"] = np.array(scorer.scores(texts), dtype=np.float64)
         return frame[["tokens", "known", "base", "score", "rare"]]
@@ -367,7 +396,7 @@ def _loaded(shared) -> tuple[dict, Scorer]:
         below = math.log10(model.tokens + model.distinct + 1)
         words, counts_ = model.words
         pairs = zip(words.split("\n"), counts_.tolist())
-        logs = {w: math.log10(n + 1) - below for w, n in pairs}
+        logs = {w.encode(): math.log10(n + 1) - below for w, n in pairs}
         _models.clear()
         _models[key] = logs, Scorer(Trie(model.levels))
     return _models[key]

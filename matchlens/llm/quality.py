@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import added, written
+from matchlens.stages import observed
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -161,10 +162,18 @@ def judged(
     source: str = "source",
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with counts, measures, ``base_failed`` and ``kept``; without the text if so asked."""
-    rows = measured(docs, text)
-    rows = written(rows if keep_text else rows.drop(text), "measured")
-    limits = written(fences(rows, lang, source), "fences")
+    """``docs`` with counts, measures, ``base_failed`` and ``kept``; without the text if so asked.
+
+    The measures are written once for the fences. With the text they are taken
+    anew for the verdicts, which costs less than a copy of all texts.
+    """
+    # The observation point keeps the verdict from being worked out anew for each use of a measure.
+    rows = observed(measured(docs, text), "measured", "base_failed")
+    if keep_text:
+        small = written(rows.select(lang, source, "base_failed", *SPREADS), "measures")
+    else:
+        small = rows = written(rows.drop(text), "measures")
+    limits = written(fences(small, lang, source), "fences")
     if limits.count() <= SENT_FENCES:
         limits = F.broadcast(limits)
     joined = rows.join(

@@ -16,16 +16,12 @@ a component's id is its smallest id, or null if none of its rows has one.
 Repeated rows stay. Extra columns stay; those named like a result give way.
 """
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import added, written
 from matchlens.llm.graph import components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SEED = 42
 BITS = 64
 ALL_PAIRS = 512
@@ -38,11 +34,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     import numpy as np
     import xxhash
 
-    words = WORD.findall((text or "").translate(LOWER))
+    # Bytes know just these letters and just this white space.
+    words = (text or "").encode().lower().split()
     if not words:
         return 0
-    sizes = [len(w.encode()) for w in words] if not text.isascii() else list(map(len, words))
-    joined = " ".join(words).encode()
+    joined, sizes = b" ".join(words), list(map(len, words))
     ends = np.cumsum(np.array(sizes) + 1).tolist()
     starts = [0, *ends[:-1]]
     stops = [e - 1 for e in ends[width - 1 :]] or [len(joined)]
