@@ -145,7 +145,7 @@ def unescaped(text: Column) -> Column:
 
 def formatted(rows: DataFrame, turns: str = "turns") -> DataFrame:
     """Adds ``formatted`` and ``loss_mask``: ranges ``[start, end)`` of the assistant texts in characters."""
-    role = lambda t: F.regexp_replace(escaped(t["role"]), "\n", "\\\\\\\\\n")
+    role = lambda t: F.regexp_replace(escaped(t["role"]), "\n", "\\\\\n")
     parts = F.transform(
         F.col(turns),
         lambda t: F.struct(

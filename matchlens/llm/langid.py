@@ -42,7 +42,9 @@ def grams_of(word: str, size: int) -> list[str]:
 def _rows(lang, counts):
     import pandas as pd
 
-    return pd.DataFrame({"lang": lang, "term": list(counts), "n": list(counts.values())})
+    langs = pd.Series([lang] * len(counts), dtype=object)
+    terms = pd.Series(list(counts), dtype=object)
+    return pd.DataFrame({"lang": langs, "term": terms, "n": pd.Series(counts.values(), dtype="int64")})
 
 
 def _words(frames):

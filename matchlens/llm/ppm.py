@@ -97,11 +97,11 @@ def _counted(frames):
     import pandas as pd
 
     def word_rows(words):
-        texts = [w.decode() for w in words]
+        texts = pd.Series([w.decode() for w in words], dtype=object)
         return pd.DataFrame({"word": texts, "gram": 0, "n": list(words.values())})
 
     def gram_rows(keys, counts):
-        return pd.DataFrame({"word": None, "gram": keys, "n": counts})
+        return pd.DataFrame({"word": pd.Series([None] * len(keys), dtype=object), "gram": keys, "n": counts})
 
     words, grams = Counter(), GramCounts()
     for frame in frames:
