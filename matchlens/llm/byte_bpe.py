@@ -19,7 +19,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added
+from matchlens.llm.common import added, held
 
 CACHED_STRINGS = 500_000
 CACHED_LENGTH = 64
@@ -192,15 +192,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-@functools.lru_cache(maxsize=2)
+def _tools(path: str) -> dict:
+    return held(("ranks", path), lambda: {"encoder": Encoder(read_ranks(path))})
+
+
 def loaded(path: str) -> Encoder:
     """One encoder for each process and file."""
-    return Encoder(read_ranks(path))
+    return _tools(path)["encoder"]
 
 
-@functools.lru_cache(maxsize=2)
 def packer(path: str, pattern: str) -> Packer:
-    return Packer(loaded(path), pattern, cut_at_spaces=pattern == SPACED_PATTERN)
+    tools = _tools(path)
+    if pattern not in tools:
+        tools[pattern] = Packer(tools["encoder"], pattern, cut_at_spaces=pattern == SPACED_PATTERN)
+    return tools[pattern]
 
 
 @functools.lru_cache(maxsize=4)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlens.session import tune, written
 
-__all__ = ["added", "at_most", "held_out", "numbered", "ranked", "ready", "table", "written"]
+__all__ = ["added", "at_most", "held", "held_out", "numbered", "ranked", "ready", "table", "written"]
 
 # Long texts travel to Python in small batches.
 BATCH_ROWS = 512
@@ -120,3 +120,17 @@ def held_out(doc_id: str, folds: int, fold: int):
     """Whether the row belongs to the given fold by its id; rows without an id do not."""
     crc = F.crc32(F.col(doc_id).cast("string").cast("binary"))
     return F.coalesce(crc % folds == fold, F.lit(False))
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept in this Python process until another operator needs its place.
+
+    Workers serve one operator after another; only the latest keeps its tables.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

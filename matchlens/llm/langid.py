@@ -13,19 +13,20 @@ like a result give way.
 """
 
 import re
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, at_most, written
+from matchlens.llm.common import added, at_most, held, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 1 << 17
 KEPT_GRAMS = 1 << 17
 LONGEST_GRAM = 4
 FLUSH = 400_000
-CACHED_PARTS, CACHED_BYTES = 700_000, 64 << 20
+CACHED_PARTS, CACHED_BYTES = 500_000, 64 << 20
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
 
@@ -92,6 +93,7 @@ class Model:
         """``counts`` has, for "word" and "gram", three equally long lists: languages, terms, numbers."""
         import numpy as np
 
+        self.key = uuid.uuid4().hex
         self.langs = sorted({lang for langs, _, _ in counts.values() for lang in langs})
         column = {lang: i for i, lang in enumerate(self.langs)}
         self.sparse = {}
@@ -223,7 +225,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def predicted(texts):
         import pandas as pd
 
-        scorer = _scorer(shared)
+        model = shared.value
+        scorer = held(("lang", model.key), lambda: Scorer(model))
         return pd.DataFrame(map(scorer.predict, texts), columns=["lang_pred", "score"])
 
     found = docs.withColumn("_found", predicted(F.col(text)))
@@ -232,18 +235,6 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ).drop("_found")
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
-    """One scorer for each process and model."""
-    key = id(shared.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
-
-
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose language is told with at least the given probability, with their own columns."""
     boxed = docs.select(

@@ -22,11 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, ranked
+from matchlens.llm.common import added, held, ranked
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 500_000
 AT_ONCE = 200_000
 
 
@@ -106,9 +106,8 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
-@functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("words", path), lambda: WordIds(path))
 
 
 def pieces(

@@ -21,12 +21,14 @@ without an id belong to training. Repeated rows count each time. Extra columns
 stay; those named like a result give way.
 """
 
+import math
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, at_most, written
+from matchlens.llm.common import added, at_most, held, written
 
 ORDER = 4
 NODES = 1 << 19
@@ -294,6 +296,7 @@ class Model:
     """What the tasks need: the trie, the most frequent words, and the sums over all words."""
 
     def __init__(self, levels, words: tuple, texts: int, tokens: int, distinct: int):
+        self.key = uuid.uuid4().hex
         self.levels, self.words = levels, words
         self.texts, self.tokens, self.distinct = texts, tokens, distinct
 
@@ -332,8 +335,6 @@ def fit(training: DataFrame, text: str = "text", nodes: int = NODES) -> tuple[Mo
 
 def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``n_tokens, n_known, train_tokens, base_score, score``."""
-    import math
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     below = math.log10(model.tokens + model.distinct + 1)
     end_cost = math.log10(model.texts + 1) - below
@@ -344,7 +345,8 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text")
         import numpy as np
         import pandas as pd
 
-        costs, scorer = _loaded(shared)
+        model_ = shared.value
+        costs, scorer = held(("lm", model_.key), lambda: _loaded(model_))
         rows = []
         for t in texts:
             words = words_of(t)
@@ -383,20 +385,10 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text")
     ).drop("_f", "_row", "_base", "_known")
 
 
-_models: dict[int, tuple] = {}
-
-
-def _loaded(shared) -> tuple[dict, Scorer]:
-    """Word costs and trie scorer, built once for each process and model."""
-    import math
-
-    key = id(shared.value)
-    if key not in _models:
-        model = shared.value
-        below = math.log10(model.tokens + model.distinct + 1)
-        words, counts_ = model.words
-        pairs = zip(words.split("\n"), counts_.tolist())
-        logs = {w.encode(): math.log10(n + 1) - below for w, n in pairs}
-        _models.clear()
-        _models[key] = logs, Scorer(Trie(model.levels))
-    return _models[key]
+def _loaded(model: Model) -> tuple[dict, Scorer]:
+    """Word costs and trie scorer."""
+    below = math.log10(model.tokens + model.distinct + 1)
+    words, counts_ = model.words
+    pairs = zip(words.split("\n"), counts_.tolist())
+    logs = {w.encode(): math.log10(n + 1) - below for w, n in pairs}
+    return logs, Scorer(Trie(model.levels))
