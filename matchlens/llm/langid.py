@@ -25,8 +25,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 1 << 17
 KEPT_GRAMS = 1 << 17
 LONGEST_GRAM = 4
-FLUSH = 400_000
-CACHED_PARTS, CACHED_BYTES = 500_000, 64 << 20
+FLUSH = 150_000
+CACHED_PARTS, CACHED_BYTES = 200_000, 64 << 20
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
 

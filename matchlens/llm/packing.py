@@ -26,7 +26,7 @@ from matchlens.llm.common import added, held, ranked
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 AT_ONCE = 200_000
 
 
