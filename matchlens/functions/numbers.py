@@ -40,7 +40,8 @@ def to_num(value: Column, text: bool = True) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    # Both functions pass over NULL, which has to stay NULL.
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def _scaled(x: Column, digits: int) -> tuple[Column, Column]:

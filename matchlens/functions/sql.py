@@ -30,7 +30,7 @@ DEFINITIONS = {
     "payout(o DOUBLE)": ("DOUBLE", "CASE WHEN o > 0 THEN o / 100 WHEN o < 0 THEN 100 / abs(o) END"),
     "devig(mine DOUBLE, other DOUBLE)": ("DOUBLE", "CASE WHEN mine + other > 0 THEN mine / (mine + other) END"),
     "std_norm_cdf(x DOUBLE)": ("DOUBLE", _cdf()),
-    "clamp(x DOUBLE, lo DOUBLE, hi DOUBLE)": ("DOUBLE", "greatest(lo, least(hi, x))"),
+    "clamp(x DOUBLE, lo DOUBLE, hi DOUBLE)": ("DOUBLE", "CASE WHEN x IS NOT NULL THEN greatest(lo, least(hi, x)) END"),
     "margin_sigma(sport STRING)": ("DOUBLE", _sigma()),
     "z_for_tiering(x DOUBLE)": ("DOUBLE", "0.75D * abs(x) + 0.25D * exp(-0.5D * x * x)"),
     "expected_margin(spread DOUBLE)": ("DOUBLE", "-spread"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlens.functions.numbers import format_cell
+from matchlens.functions.numbers import DASH, format_cell
 from matchlens.skew import positions
 from matchlens.stages import observed
 
@@ -153,6 +153,9 @@ def printed(df: DataFrame, league: str, kind: str, carry: list[str]) -> DataFram
     cells = []
     for key in headers(league, kind).values():
         names = [n for n in (key, ALIASES.get(key)) if n in df.columns]
+        if not names:  # a column the rows do not have prints as missing
+            cells.append(F.lit(DASH).alias(key))
+            continue
         value = F.coalesce(*[F.col(n) for n in names])
         cells.append(format_cell(value, key, _kind(df, names[0])).alias(key))
     return df.select(*carry, *cells)

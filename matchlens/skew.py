@@ -179,6 +179,8 @@ def salted_join(
     costly, ``sketch`` names cheaper rows to look for hot keys in: a wrong
     guess changes the number of salts, never the result.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("repeated dimension rows allow only inner and left joins")
     hot = hot_keys(facts if sketch is None else sketch, keys, share, min_rows)
     if not hot:
         return facts.join(dims, keys, how)

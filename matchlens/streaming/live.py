@@ -33,7 +33,10 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     An aggregation, so a key with very many updates is reduced before the shuffle.
     """
     payload = [c for c in df.columns if c not in keys and c not in order]
-    newest = F.max(F.struct(*order, *payload)).alias("_r")
+    # Maps and variants have no order; the other columns decide between equally new rows.
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    ordered = [c for c in payload if not any(k in kinds[c] for k in ("map<", "variant"))]
+    newest = F.max_by(F.struct(*order, *payload), F.struct(*order, *ordered)).alias("_r")
     return df.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 

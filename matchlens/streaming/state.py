@@ -23,18 +23,31 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class GameExpiry(StatefulProcessor):
-    """Sets a timer 3.5 hours after each start and reports the game when it fires."""
+    """Sets a timer 3.5 hours after each start and reports the game when it fires.
+
+    The newest row with a start counts; a game without any start never expires.
+    """
+
+    def __init__(self, event_time: str = "ts"):
+        self.event_time = event_time
 
     def init(self, handle):
         self.handle = handle
         self.expiry = handle.getValueState("expiry", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start = max(batch["start_ms"].max() for batch in rows)
-        if self.expiry.exists():
-            self.handle.deleteTimer(self.expiry.get()[0])
-        self.expiry.update((int(start) + GAME_MILLIS,))
-        self.handle.registerTimer(int(start) + GAME_MILLIS)
+        newest, start = None, None
+        for batch in rows:
+            known = batch.dropna(subset=["start_ms"])
+            if len(known):
+                row = known.loc[known[self.event_time].idxmax()]
+                if newest is None or row[self.event_time] >= newest:
+                    newest, start = row[self.event_time], int(row["start_ms"])
+        if start is not None:
+            if self.expiry.exists():
+                self.handle.deleteTimer(self.expiry.get()[0])
+            self.expiry.update((start + GAME_MILLIS,))
+            self.handle.registerTimer(start + GAME_MILLIS)
         yield pd.DataFrame({"game_id": pd.Series(dtype="int64"), "expired_ms": pd.Series(dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -54,7 +67,7 @@ def expiring_games(updates: DataFrame, event_time: str = "ts", delay: str = WATE
         updates.withWatermark(event_time, delay)
         .groupBy("game_id")
         .transformWithStateInPandas(
-            GameExpiry(), "game_id long, expired_ms long", outputMode="Append", timeMode="EventTime"
+            GameExpiry(event_time), "game_id long, expired_ms long", outputMode="Append", timeMode="EventTime"
         )
     )
 
