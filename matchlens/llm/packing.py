@@ -14,10 +14,12 @@ packed like any other. Extra columns stay; those named like a result give way.
 
 import bisect
 import functools
+import operator
 import struct
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from itertools import chain, filterfalse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,42 +45,55 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cores: dict[str, bytes] = {}
 
-    @staticmethod
-    def _core(part: str) -> tuple[str, str]:
-        core = part.rstrip(".,")
-        if not core[-1:].isalpha():
-            core = part
+    def _split(self, parts: list[str]) -> tuple[list[str], list[str]]:
+        """Lower-case cores of the parts, and the full stops and commas behind them."""
+        joined = "\n".join(parts)
+        lowered = joined.lower().split("\n")
         # Greek sigma alone has a lower form that depends on its place.
-        plain = core.lower() if "\u03a3" not in core else core
-        return plain, part[len(core) :]
-
-    def _encoded(self, parts: list[str]) -> list[bytes]:
+        if "\u03a3" in joined:
+            lowered = [p if "\u03a3" in p else low for p, low in zip(parts, lowered)]
+        cores, ends = [], []
+        for part in lowered:
+            core = part.rstrip(".,")
+            if len(core) < len(part) and not core[-1:].isalpha():
+                core = part
+            cores.append(core)
+            ends.append(part[len(core) :])
+        return cores, ends
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
         """A composed word of lower-case letters is a piece of its own and goes straight to the merges."""
-        merge, table = self.tokenizer.model.tokenize, _byte_letters()
-        out, other = {}, []
-        for part in parts:
-            if part.isalpha() and "\u03a3" not in part and unicodedata.is_normalized("NFC", part):
-                out[part] = [t.id for t in merge(part.encode().decode("latin-1").translate(table))]
-            else:
-                other.append(part)
-        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        out.update((part, e.ids) for part, e in zip(other, found))
-        return [struct.pack(f"<{len(out[p])}I", *out[p]) for p in parts]
-
-    def learn(self, parts) -> None:
-        """Takes in the parts that are not known yet, at most ``CACHED_WORDS`` in all."""
-        new = [p for p in parts if p not in self]
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(parts)
-        if len(self.cores) > CACHED_WORDS:
-            self.cores.clear()
-        cores, split = self.cores, [self._core(p) for p in new]
-        missing = list({c for pair in split for c in pair if c not in cores})
-        cores.update(zip(missing, self._encoded(missing)))
-        self.update((p, cores[core] + cores[end]) for p, (core, end) in zip(new, split))
+        import numpy as np
+
+        plain = [p for p in parts if p.isalpha() and "\u03a3" not in p]
+        if not unicodedata.is_normalized("NFC", "\n".join(plain)):
+            plain = [p for p in plain if unicodedata.is_normalized("NFC", p)]
+        out = {}
+        if plain:
+            table = _byte_letters()
+            data = np.frombuffer("\n".join(plain).encode(), dtype=np.uint8)
+            letters = table[data].tobytes().decode("utf-16-le").split(chr(table[ord("\n")]))
+            merge, number, ids, ends = self.tokenizer.model.tokenize, operator.attrgetter("id"), [], []
+            for word in letters:
+                ids.extend(map(number, merge(word)))
+                ends.append(4 * len(ids))
+            ids = np.array(ids, dtype="<u4").tobytes()
+            out = {p: ids[i:j] for p, i, j in zip(plain, [0, *ends], ends)}
+        other = [p for p in parts if p not in out]
+        more = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        out.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(other, more))
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Takes in parts that are not known yet; a bare core is a part as well."""
+        cores, ends = self._split(new)
+        missing = list(filterfalse(self.__contains__, {*cores, *ends}))
+        if missing:
+            self.update(self._encoded(missing))
+        for part, core, end in zip(new, cores, ends):
+            if part != core:
+                self[part] = self[core] + self[end]
 
     def ids(self, texts) -> list[bytes]:
         """Packed ids of whole texts; null texts have none."""
@@ -93,17 +108,29 @@ class WordIds(dict):
         return out + self._joined(some)
 
     def _joined(self, texts: list[list[str]]) -> list[bytes]:
-        self.learn(set().union(*texts))
+        new = self._unknown(texts)
+        if len(self) + len(new) > CACHED_WORDS:
+            self.clear()
+            new = self._unknown(texts)
+        if new:
+            self.learn(new)
         get = self.__getitem__
         return [b"".join(map(get, parts)) for parts in texts]
 
+    def _unknown(self, texts: list[list[str]]) -> list[str]:
+        return list(set(filterfalse(self.__contains__, chain.from_iterable(texts))))
+
 
 @functools.lru_cache(maxsize=1)
-def _byte_letters() -> dict[int, int]:
+def _byte_letters():
     """The public byte-level alphabet: printable bytes stand for themselves, others follow from 256."""
+    import numpy as np
+
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
-    return {b: 256 + k for k, b in enumerate(others)}
+    table = np.arange(256, dtype="<u2")
+    table[others] = 256 + np.arange(len(others))
+    return table
 
 
 def word_ids(path: str) -> WordIds:

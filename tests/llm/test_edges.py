@@ -196,3 +196,18 @@ def test_base_spans_of_a_text():
 def test_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_word_ids_equal_the_tokenizer():
+    import struct
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [
+        "ΣΑΣ. Σ, İ. İİ. ẞ ﬁn é, Ǆa.. ... , a., ª ⓐ Ⅷ. don't 12. x­. \r\x0b",
+        "中文。, ÀÉ.\n\n \t tab</s>[INST]",
+        "", None, "Word word, WORD. word", "été été.",
+    ]
+    found = packing.WordIds(path)
+    for got, text in zip(found.ids(texts), texts):
+        ids = found.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert got == struct.pack(f"<{len(ids)}I", *ids)
