@@ -90,8 +90,10 @@ def edge_fmt(x: Column) -> Column:
 
 
 def grouped(x: Column) -> Column:
-    """Thousands separators and at most three decimals."""
-    return F.call_function("format_number", x, F.lit("#,##0.###"))
+    """Thousands separators and at most three decimals, ties away from zero."""
+    # Only odd sixteenths end in a tie, which the format itself would round to even.
+    tie = (F.abs(x) * 16) % 2 == 1
+    return F.call_function("format_number", F.when(tie, F.round(x, 3)).otherwise(x), F.lit("#,##0.###"))
 
 
 # How each report column is printed.

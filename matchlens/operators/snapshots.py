@@ -23,8 +23,9 @@ def period_bars(lines: DataFrame, periods: int) -> DataFrame:
     """``bar_chart_data`` per game: points of both sides in each period.
 
     Fixed slots instead of a collected list, so the sums combine on the map side.
+    The last slot takes all later periods too.
     """
-    at = lambda p, home: (F.col("period") == p) & (F.col("is_home") if home else ~F.col("is_home"))
+    at = lambda p, home: (F.least("period", F.lit(periods)) == p) & (F.col("is_home") if home else ~F.col("is_home"))
     points = lambda p, home: F.sum(F.when(at(p, home), F.col("points")))
     sums = {(p, home): points(p, home).alias(f"p{p}_{home}") for p in range(1, periods + 1) for home in (True, False)}
     wide = lines.groupBy("game_id").agg(*sums.values())
@@ -145,16 +146,24 @@ def pie_label(sport: Column, name: Column, value: Column) -> Column:
 
 
 def period_averages(lines: DataFrame, games: DataFrame, periods: list[int]) -> DataFrame:
-    """Average points per period of each team."""
-    by_side = lines.groupBy("game_id", "is_home", "period").agg(F.sum("points").alias("points"))
+    """Average points per period of each team.
+
+    Later periods count together as overtime, over the games that had any.
+    """
+    overtime = max(periods) + 1
+    period = F.least("period", F.lit(overtime)).alias("period")
+    by_side = lines.groupBy("game_id", "is_home", period).agg(F.sum("points").alias("points"))
     names = games.select("game_id", "sport", "home_team", "away_team")
     team = F.when(F.col("is_home"), F.col("home_team")).otherwise(F.col("away_team"))
     return (
         by_side.join(names, "game_id")
         .groupBy("sport", team.alias("team"))
-        .pivot("period", periods)
+        .pivot("period", [*periods, overtime])
         .agg(F.avg("points"))
-        .select("sport", "team", *[F.col(str(p)).alias(f"q{p}_avg") for p in periods])
+        .select(
+            "sport", "team", *[F.col(str(p)).alias(f"q{p}_avg") for p in periods],
+            F.col(str(overtime)).alias("overtime_avg"),
+        )
     )
 
 

@@ -157,14 +157,15 @@ FROM games""")
 def period_scoring(spark, sf_dir):
     games = tables.games(spark, sf_dir).filter("sport <> 'MLB'")
     table = snapshots.period_averages(tables.box_lines(spark, sf_dir), games, [1, 2, 3, 4])
-    return fq.rounded(table, "q1_avg", "q2_avg", "q3_avg", "q4_avg")
+    return fq.rounded(table, "q1_avg", "q2_avg", "q3_avg", "q4_avg", "overtime_avg")
 
 
 QUERIES["period_scoring"] = period_scoring
 _q = ", ".join(f"round(avg(pts) FILTER (period = {p}), 6) AS q{p}_avg" for p in range(1, 5))
 CHECKS["period_scoring"] = check_sql(f"""
-SELECT sport, team, {_q} FROM (
-  SELECT game_id, sport, CASE WHEN is_home THEN home_team ELSE away_team END AS team, period, sum(points) AS pts
+SELECT sport, team, {_q}, round(avg(pts) FILTER (period = 5), 6) AS overtime_avg FROM (
+  SELECT game_id, sport, CASE WHEN is_home THEN home_team ELSE away_team END AS team,
+         least(period, 5) AS period, sum(points) AS pts
   FROM box JOIN games USING (game_id) WHERE sport <> 'MLB' GROUP BY ALL) GROUP BY sport, team""")
 
 

@@ -100,6 +100,7 @@ def test_percent_and_edge_text(spark):
     assert values(spark, [0.125, 0.704], "double", numbers.pct) == ["13%", "70%"]
     assert values(spark, [12.53, -0.04, 0.0], "double", numbers.edge_fmt) == ["+12.5%", "-0.0%", "+0.0%"]
     assert values(spark, [1234567.0, 1234.5678], "double", numbers.grouped) == ["1,234,567", "1,234.568"]
+    assert values(spark, [0.0625, 1234.5625, -0.0625], "double", numbers.grouped) == ["0.063", "1,234.563", "-0.063"]
 
 
 def test_names(spark):
