@@ -211,3 +211,37 @@ def test_word_ids_equal_the_tokenizer():
     for got, text in zip(found.ids(texts), texts):
         ids = found.tokenizer.encode(text or "", add_special_tokens=False).ids
         assert got == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_pieces_fill_sequences_without_gaps(docs):
+    rows = packing.packed(packing.pieces(docs, WORDS, capacity=64), 64).toPandas()
+    for _, group in rows.sort_values("offset").groupby("sequence_id"):
+        assert group["offset"].tolist() == [0, *group["length"].cumsum().tolist()[:-1]]
+        assert group["length"].sum() <= 64
+
+
+def test_base_score_equals_its_definition(spark, docs):
+    import math
+    from collections import Counter
+
+    training = docs.filter("doc_id IS NULL OR doc_id <> 1")
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    seen = Counter(w for r in training.collect() for w in tokens(r["text"]))
+    total = sum(seen.values())
+    model, words = ppm.fit(training)
+    found = ppm.scored(docs.withColumn("t", F.col("text")), model, words).collect()
+    for r in found:
+        mine = tokens(r["t"])
+        score = math.fsum(math.log10((seen[w] + 1) / (total + len(seen) + 1)) for w in mine)
+        assert r["base_score"] == pytest.approx(score)
+        assert (r["n_tokens"], r["train_tokens"]) == (len(mine), total)
+        assert r["n_known"] == sum(seen[w] > 0 for w in mine)
+
+
+def test_bytes_next_sum_to_one(docs):
+    """Over all 256 bytes, the probabilities after any context add up to one."""
+    model, _ = ppm.fit(docs)
+    trie = ppm.Trie(model.levels)
+    for context in (b"\0\0\0\0", b"the ", b"cat ", b"qqqq", b"q th"):
+        grams = [int.from_bytes(context, "big") << 8 | b for b in range(256)]
+        assert (10 ** trie.logs(np.array(grams, dtype=np.int64))).sum() == pytest.approx(1.0)
