@@ -71,14 +71,18 @@ def to_fixed(x: Column, digits: int) -> Column:
         scaled, error = _scaled(size, digits)
         part = scaled - F.floor(scaled)
         n = F.floor(scaled) + ((part > 0.5) | ((part == 0.5) & (error >= 0))).cast("int")
-        n = n.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-digits))
+        n = n.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))
     return F.concat(F.when(x < 0, "-").otherwise(""), n.cast("string"))
 
 
 def number_text(x: Column) -> Column:
-    """Shortest text of a number: whole numbers carry no decimal point."""
+    """Shortest text of a number: whole numbers carry no decimal point, and exponents
+    stand only below a millionth and from 1e19 on."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    shortest = x.cast("string")
+    plain = F.rtrim(shortest.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
+    plain = F.when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e19), F.rtrim(plain, F.lit(".")))
+    return F.when(whole, x.cast("long").cast("string")).otherwise(F.coalesce(plain, shortest))
 
 
 def pct(x: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.functions.numbers import to_num
+from matchlens.functions.numbers import number_text, to_num
 from matchlens.functions.texts import canonical
 from matchlens.operators.reconcile import first_of
 from matchlens.skew import salted_join
@@ -99,7 +99,13 @@ def with_weather(games: DataFrame, weather: DataFrame) -> DataFrame:
 
 def weather_detail(df: DataFrame) -> DataFrame:
     """Display text of a reading, with stand-ins for whatever is missing."""
-    text = lambda name, fallback: F.coalesce(first_of(df, name).cast("string"), F.lit(fallback))
+    kinds = dict(df.dtypes)
+
+    def text(name, fallback):
+        shown = first_of(df, name)
+        shown = number_text(shown) if kinds.get(name) == "double" else shown.cast("string")
+        return F.coalesce(shown, F.lit(fallback))
+
     unit = lambda name, mark, fallback="–": F.concat(text(name, fallback), F.lit(mark))
     return df.withColumns(
         {

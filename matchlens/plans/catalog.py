@@ -3,6 +3,7 @@
 from matchlens.plans import (
     edge_queries,
     feature_queries,
+    feed_queries,
     injury_queries,
     model_queries,
     report_queries,
@@ -20,6 +21,7 @@ _MODULES = (
     snapshot_queries,
     stream_queries,
     model_queries,
+    feed_queries,
 )
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}

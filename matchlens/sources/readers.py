@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions.times import parse_instant
 from matchlens.operators.injuries import project_injuries
-from matchlens.operators.reconcile import normalize_summary, tag_sport, with_game_time_et
+from matchlens.operators.reconcile import first_of, normalize_summary, tag_sport, with_game_time_et
 from matchlens.operators.reports import search_players
 from matchlens.sources.schemas import TABLES
 
@@ -17,6 +17,20 @@ from matchlens.sources.schemas import TABLES
 OUTDOOR = ("MLB", "NFL")
 ADVANCED = ("MLB", "NBA", "NFL")
 
+# Column of the operators: keys it may arrive under, best first.
+GAME_KEYS = {
+    "home_team": ("homeTeam", "home_team", "homeTeamName"),
+    "away_team": ("awayTeam", "away_team", "awayTeamName"),
+    "status_state": ("statusState",),
+    "data_type": ("dataType",),
+    "home_final": ("home_final_score",),
+    "away_final": ("away_final_score",),
+}
+WEATHER_KEYS = {
+    "windSpeed": "wind_speed", "windDirection": "wind_direction", "ballparkWindText": "wind_text",
+    "ballparkWindAngle": "wind_angle", "isIndoor": "is_indoor",
+}
+
 
 def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet", **filters) -> DataFrame:
     """A dataset filtered on the given columns; a filter of ``None`` leaves no rows."""
@@ -26,31 +40,63 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
     return df
 
 
-def _started(df: DataFrame, *names: str) -> DataFrame:
-    start = F.coalesce(*[parse_instant(F.col(n)) for n in names])
-    return with_game_time_et(df.withColumn("start_ts", start), "start_ts")
+def canonical_games(df: DataFrame) -> DataFrame:
+    """Game rows of the feeds with the columns the operators use; the feed's own columns stay.
+
+    ``start_ts`` is the instant of ``gameTimeUTC``, by which games are live,
+    stale or over; without it they cannot be judged. ``scheduled_ts`` is the
+    instant shown as Eastern time: ``scheduled_time``, for football also its
+    other names. The first key present counts, even if it cannot be read.
+    """
+    scheduled = F.when(
+        F.col("sport") == "NFL", first_of(df, "scheduled_time", "gameTimeUTC", "game_time_utc")
+    ).otherwise(first_of(df, "scheduled_time"))
+    named = df.withColumns(
+        {
+            **{name: first_of(df, *keys) for name, keys in GAME_KEYS.items()},
+            "start_ts": parse_instant(F.col("gameTimeUTC")),
+            "scheduled_ts": parse_instant(scheduled),
+        }
+    )
+    return with_game_time_et(named, "scheduled_ts")
+
+
+def canonical_weather(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed(WEATHER_KEYS)
+
+
+def read_games(spark, root: str, name: str = "schedule", fmt: str = "parquet", **filters) -> DataFrame:
+    """Games of all leagues and days, or those that match the filters."""
+    return canonical_games(read_table(spark, root, name, fmt, **filters))
 
 
 def read_schedule(spark, root: str, sport: str, day, fmt: str = "parquet") -> DataFrame:
     """One league's games of a day with start time and Eastern clock time."""
-    games = tag_sport(read_table(spark, root, "schedule", fmt, sport=sport, game_date=day), sport)
-    # Football feeds may name the start differently.
-    names = ("scheduled_time", "gameTimeUTC") if sport == "NFL" else ("scheduled_time",)
-    return _started(games, *names)
+    return tag_sport(read_games(spark, root, fmt=fmt, sport=sport, game_date=day), sport)
 
 
 def read_payloads(spark, path: str, row_ddl: str) -> DataFrame:
-    """Rows of JSON response files: a bare array or ``{"data": [...]}``; anything else is empty."""
+    """Rows of JSON response files: a bare array or ``{"data": [...]}``; anything else is empty.
+
+    If the row type has an ``extra`` map, it holds the keys that the type does not list.
+    """
     text = spark.read.text(path, wholetext=True)
     bare = F.ltrim("value").startswith("[")
-    rows = F.when(bare, F.from_json("value", f"array<struct<{row_ddl}>>")).otherwise(
-        F.from_json("value", f"struct<data: array<struct<{row_ddl}>>>")["data"]
+    # Rows stay texts at first, so that each can be read with its type and for its other keys.
+    texts = F.when(bare, F.from_json("value", "array<string>")).otherwise(
+        F.from_json("value", "struct<data: array<string>>")["data"]
     )
-    return text.select(F.explode(rows).alias("row")).select("row.*")
+    rows = text.select(F.explode(texts).alias("text")).filter(F.ltrim("text").startswith("{"))
+    typed = rows.select(F.from_json("text", row_ddl).alias("row"), "text")
+    listed = typed.schema["row"].dataType.names
+    if "extra" not in listed:
+        return typed.select("row.*")
+    others = F.map_filter(F.from_json("text", "map<string, string>"), lambda k, v: ~k.isin(listed))
+    return typed.select(*[F.col(f"row.`{c}`") for c in listed if c != "extra"], others.alias("extra"))
 
 
 def read_historical(spark, root: str, day, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, root, "historical", fmt, game_date=day)
+    return read_games(spark, root, "historical", fmt, game_date=day)
 
 
 def read_team_stats(spark, root: str, sport: str, season: int, fmt: str = "parquet") -> DataFrame:
@@ -72,8 +118,14 @@ def read_nfl_summary(spark, root: str, season: int | None, fmt: str = "parquet")
     return normalize_summary(rows)
 
 
+def read_injury_reports(spark, root: str, fmt: str = "parquet", **filters) -> DataFrame:
+    """Reports with the league and day that they are joined to games by."""
+    rows = read_table(spark, root, "injuries", fmt, **filters)
+    return rows.select("league", "report_date", *project_injuries(rows).columns)
+
+
 def read_injuries(spark, root: str, league: str, day, fmt: str = "parquet") -> DataFrame:
-    return project_injuries(read_table(spark, root, "injuries", fmt, league=league, report_date=day))
+    return project_injuries(read_injury_reports(spark, root, fmt, league=league, report_date=day))
 
 
 def read_snapshot(spark, root: str, game_id: str, sport: str, fmt: str = "parquet") -> DataFrame:
@@ -82,7 +134,8 @@ def read_snapshot(spark, root: str, game_id: str, sport: str, fmt: str = "parque
 
 def read_weather(spark, root: str, sport: str, team: str, fmt: str = "parquet") -> DataFrame:
     """Outdoor leagues only; others have no rows."""
-    return read_table(spark, root, "weather", fmt, sport=sport if sport in OUTDOOR else None, home_team=team)
+    outdoor = sport if sport in OUTDOOR else None
+    return canonical_weather(read_table(spark, root, "weather", fmt, sport=outdoor, home_team=team))
 
 
 def read_game_features(spark, root: str, game_id: str, fmt: str = "parquet") -> DataFrame:

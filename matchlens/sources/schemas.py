@@ -1,14 +1,20 @@
 """Row types of the league datasets. Unlisted keys are kept in ``extra`` maps."""
 
+# Odds and predictions come under several keys, predictions as numbers or text.
 GAMES = """
-game_id STRING, sport STRING, game_date DATE, scheduled_time STRING, gameTimeUTC STRING,
-homeTeamName STRING, awayTeamName STRING, statusState STRING, dataType STRING,
+game_id STRING, sport STRING, game_date DATE, scheduled_time STRING, scheduled_time_utc STRING,
+gameTimeUTC STRING, game_time_utc STRING, tipoff STRING,
+homeTeam STRING, awayTeam STRING, home_team STRING, away_team STRING, homeTeamName STRING, awayTeamName STRING,
+statusState STRING, dataType STRING,
 homePitcher STRING, awayPitcher STRING, homePitcherHand STRING, awayPitcherHand STRING,
-moneylineHome STRING, moneylineAway STRING, moneyline_clean STRING, spread_clean STRING, total_clean STRING,
-moneyline MAP<STRING, STRING>, spreadLine DOUBLE, totalLine DOUBLE,
-predictionHome DOUBLE, predictionAway DOUBLE, predicted_home_runs DOUBLE, predicted_away_runs DOUBLE,
-predicted_home_score DOUBLE, predicted_away_score DOUBLE, home_final_score DOUBLE, away_final_score DOUBLE,
-venueLocation STRUCT<latitude: DOUBLE, longitude: DOUBLE>"""
+moneylineHome STRING, moneylineAway STRING, moneyline MAP<STRING, STRING>,
+moneyline_clean STRING, moneylineClean STRING, spread_clean STRING, spreadClean STRING,
+total_clean STRING, totalClean STRING, spreadLine DOUBLE, totalLine DOUBLE, spread DOUBLE, total DOUBLE,
+predictionHome STRING, predictionAway STRING, predHome STRING, predAway STRING,
+predicted_home_runs STRING, predicted_away_runs STRING, predictedHomeRuns STRING, predictedAwayRuns STRING,
+predicted_home_score STRING, predicted_away_score STRING, predictedHomeScore STRING, predictedAwayScore STRING,
+home_final_score DOUBLE, away_final_score DOUBLE,
+venueLocation STRUCT<latitude: DOUBLE, longitude: DOUBLE>, extra MAP<STRING, STRING>"""
 
 TEAM_STATS = """
 team_id STRING, team_name STRING, sport STRING, season INT, wins_all_percentage DOUBLE, current_form STRING,
@@ -44,7 +50,7 @@ injury_type STRING, league STRING, report_date DATE"""
 
 WEATHER = """
 sport STRING, home_team STRING, temperature DOUBLE, feels_like DOUBLE, humidity DOUBLE, windSpeed DOUBLE,
-windDirection STRING, description STRING, icon STRING, city STRING, ballparkWindText STRING,
+windDirection STRING, description STRING, icon STRING, city STRING, stadium STRING, ballparkWindText STRING,
 ballparkWindAngle DOUBLE, isIndoor BOOLEAN"""
 
 SNAPSHOTS = """
@@ -53,7 +59,8 @@ headline_stats ARRAY<STRUCT<label: STRING, value: STRING>>,
 bar_chart_data ARRAY<STRUCT<category: STRING, Home: DOUBLE, Away: DOUBLE>>,
 radar_chart_data ARRAY<STRUCT<metric: STRING, home_raw: DOUBLE, away_raw: DOUBLE, home_idx: DOUBLE, away_idx: DOUBLE>>,
 key_metrics_data ARRAY<STRUCT<category: STRING, Home: DOUBLE, Away: DOUBLE>>,
-pie_chart_data ARRAY<STRUCT<category: STRING, value: DOUBLE, color: STRING>>,
+pie_chart_data ARRAY<STRUCT<category: STRING, value: DOUBLE, color: STRING,
+  title: STRING, data: ARRAY<STRUCT<category: STRING, value: DOUBLE, color: STRING>>>>,
 is_historical BOOLEAN, stage STRING"""
 
 FEATURES = "game_id STRING, features MAP<STRING, DOUBLE>, data STRUCT<features: MAP<STRING, DOUBLE>>"

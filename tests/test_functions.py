@@ -172,3 +172,10 @@ def test_weather_precedence(spark):
     )
     got = [r[0] for r in df.select(texts.weather_label(F.col("i"), F.col("t"), F.col("w"))).collect()]
     assert got == ["Indoor", "70°F / 5mph", "N/A"]
+
+
+def test_number_text_is_plain(spark):
+    rows = [12345678.5, 0.0005, -0.25, 3.0, 0.0, 1e16, 1e-9, None]
+    want = ["12345678.5", "0.0005", "-0.25", "3", "0", "10000000000000000", "1.0E-9", None]
+    assert values(spark, rows, "double", numbers.number_text) == want
+    assert values(spark, [1.5e17], "double", lambda c: numbers.to_fixed(c, 1)) == ["150000000000000000.0"]

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from matchlens.operators import reconcile, slate, snapshots
 from matchlens.sources import readers, sinks
 from matchlens.sources.schemas import TABLES
 
@@ -122,3 +123,38 @@ def test_upsert_leaves_other_partitions_alone(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "at", "p").collect())
     assert got == [("a", 1, 1, 0), ("b", 1, 1, 1), ("c", 6, 2, 0)]
     assert untouched <= set(spark.read.parquet(path).inputFiles())
+
+
+def test_schedule_rows_fit_the_operators(spark, tmp_path):
+    """Aliases, starts and unlisted keys of a payload arrive in the columns the operators read."""
+    rows = [
+        {"game_id": "1", "sport": "NFL", "homeTeamName": "A", "awayTeamName": "B", "game_time_utc": "2024-07-01T17:00:00Z",
+         "predictedHomeScore": 21, "predictedAwayScore": "17.5", "moneylineClean": '{"home":-120,"away":"+100"}',
+         "statusState": "Scheduled", "dataType": "schedule", "referee": "R", "seats": {"n": 3}},
+        {"game_id": "2", "sport": "MLB", "scheduled_time": "2024-07-01T23:05:00Z", "gameTimeUTC": "2024-07-01T23:10:00Z"},
+        {"game_id": "3", "sport": "NBA", "gameTimeUTC": "soon"},
+    ]
+    (tmp_path / "games.json").write_text(json.dumps({"data": rows}))
+    games = readers.canonical_games(readers.read_payloads(spark, str(tmp_path), TABLES["schedule"]))
+    scored = reconcile.pred_scores(reconcile.derive_odds(games))
+    one, two, three = scored.orderBy("game_id").collect()
+    assert (one["home_team"], one["away_team"], one["status_state"], one["data_type"]) == ("A", "B", "Scheduled", "schedule")
+    assert (one["pred_home"], one["pred_away"]) == (21.0, 17.5)
+    assert (one["ml_home_text"], one["ml_away_text"]) == ("-120", "+100")
+    assert one["extra"] == {"referee": "R", "seats": '{"n":3}'}
+    assert (one["game_time_et"], one["start_ts"]) == ("1:00 PM", None)
+    assert (two["game_time_et"], str(two["start_ts"])) == ("7:05 PM", "2024-07-01 23:10:00")
+    assert (three["game_time_et"], three["start_ts"], three["extra"]) == ("", None, {})
+    flags = games.select("game_id", slate.is_stale("2024-07-01 23:59:00").alias("s"), slate.is_final().alias("f"))
+    assert [(r["s"], r["f"]) for r in flags.collect()] == [(False, False)] * 3
+
+
+def test_reports_and_snapshots_fit_the_operators(spark, root):
+    reports = readers.read_injury_reports(spark, root, league="NFL")
+    assert reports.columns[:2] == ["league", "report_date"] and reports.count() == 1
+    nested = '[{"category":"x","data":[{"category":"y","value":1}]}]'
+    flat = '[{"category":"x","value":2}]'
+    rows = "\n".join('{"sport":"NBA","pie_chart_data":%s}' % p for p in (nested, flat, "[]")).split("\n")
+    df = spark.createDataFrame([(r,) for r in rows], "v string").select(F.from_json("v", TABLES["snapshots"]).alias("r")).select("r.*")
+    flags = snapshots.section_flags(df).select("has_pie", "is_multi_pie").collect()
+    assert [tuple(r) for r in flags] == [(True, True), (True, False), (False, False)]
