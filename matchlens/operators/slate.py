@@ -8,7 +8,9 @@ puts live games before finished ones, the card shows finished first.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlens.functions.times import display_date, game_length, instant, local_date
+from matchlens.functions.numbers import number_text
+from matchlens.functions.odds import predicted_score
+from matchlens.functions.times import clock, display_date, game_length, instant, local_date
 from matchlens.skew import positions
 
 # Parts of a status that mean the game is over, or not worth a suffix.
@@ -106,32 +108,39 @@ def slate_order(games: DataFrame, as_of, tz: str = "UTC") -> DataFrame:
     return positions(ranked, ["sport", "game_date"], order).drop("_start")
 
 
-def first_upcoming(games: DataFrame, as_of, tz: str = "UTC") -> DataFrame:
-    """First game by input order (not slate order) that is neither live nor over."""
+def first_upcoming(games: DataFrame, as_of, tz: str = "UTC", position: str = "game_id") -> DataFrame:
+    """First game by input order (not slate order) that is neither live nor over.
+
+    ``position`` is the column that holds the input order; the id decides ties.
+    """
     coming = start_or_date().isNotNull() & ~is_in_progress(as_of) & ~is_final()
     return (
         visible(games, as_of, tz).filter(coming)
-        .groupBy("sport", "game_date").agg(F.min("game_id").alias("first_game_id"))
+        .groupBy("sport", "game_date").agg(F.min_by("game_id", F.struct(position, "game_id")).alias("first_game_id"))
     )
 
 
-def slate_flags(games: DataFrame, as_of, tz: str = "UTC") -> DataFrame:
-    """Counts and messages per slate; a slate without games has no row."""
-    kept = F.count_if(is_unexpired(as_of, tz))
-    return (
-        games.groupBy("sport", "game_date")
-        .agg(
-            F.count("*").alias("raw_count"),
-            kept.alias("kept_count"),
-            F.count_if(~is_stale(as_of, tz)).alias("visible_count"),
-        )
-        .withColumns(
-            {
-                "none_scheduled": F.col("raw_count") == 0,
-                "all_filtered": (F.col("raw_count") > 0) & (F.col("kept_count") == 0),
-                "is_past": is_past(as_of, tz),
-            }
-        )
+def slate_flags(games: DataFrame, as_of, tz: str = "UTC", asked: DataFrame | None = None) -> DataFrame:
+    """Counts and messages per slate.
+
+    ``asked`` lists the slates (``sport``, ``game_date``) to answer for, also
+    those without games; without it every slate that has games is listed.
+    """
+    keys = ["sport", "game_date"]
+    counts = games.groupBy(*keys).agg(
+        F.count("*").alias("raw_count"),
+        F.count_if(is_unexpired(as_of, tz)).alias("kept_count"),
+        F.count_if(~is_stale(as_of, tz)).alias("visible_count"),
+    )
+    if asked is not None:
+        counts = asked.select(*keys).distinct().join(counts, keys, "left")
+        counts = counts.fillna(0, ["raw_count", "kept_count", "visible_count"])
+    return counts.withColumns(
+        {
+            "none_scheduled": F.col("raw_count") == 0,
+            "all_filtered": (F.col("raw_count") > 0) & (F.col("kept_count") == 0),
+            "is_past": is_past(as_of, tz),
+        }
     )
 
 
@@ -171,3 +180,30 @@ def next_date_after(games: DataFrame, sport: str, day) -> DataFrame:
 
 def game_by_id(games: DataFrame, game_id) -> DataFrame:
     return games.filter(F.col("game_id") == game_id).limit(1)
+
+
+def headers(games: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Title, time, market and score at the head of each game's page.
+
+    The date stands in for an unknown start. The market is NULL if neither
+    spread nor total is known. A prediction is shown if it has both sides.
+    """
+    known = lambda *names: [F.col(c).isNotNull() for c in names]
+    number = lambda c: number_text(F.col(c).cast("double"))
+    shown = lambda c: F.coalesce(number(c), F.lit("N/A"))
+    day = F.col("game_date").cast("string")
+    spread, total = known("spread_home_line", "total_line")
+    home, away = known("pred_home", "pred_away")
+    final = F.concat(number("away_final"), F.lit(" – "), number("home_final"))
+    return games.select(
+        "game_id",
+        F.concat_ws(" @ ", "away_team", "home_team").alias("title"),
+        F.concat(day, F.lit(" / "), F.coalesce(clock(F.col("start_ts"), tz), day)).alias("at"),
+        F.when(
+            spread | total,
+            F.concat(F.lit("Spread "), shown("spread_home_line"), F.lit(", Total "), shown("total_line")),
+        ).alias("lines"),
+        F.when(has_finals(), final)
+        .when(home & away, predicted_score(F.col("pred_away"), F.col("pred_home")))
+        .otherwise("—").alias("score"),
+    )

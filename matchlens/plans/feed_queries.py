@@ -8,6 +8,7 @@ from matchlens.functions import odds, texts
 from matchlens.functions.numbers import number_text
 from matchlens.operators import edge, injuries, joins
 from matchlens.plans import injury_queries, slate_queries
+from matchlens.plans.views import check_sql
 from matchlens.session import shared_dir
 from matchlens.sources import readers, sinks, tables
 
@@ -91,3 +92,21 @@ def read_weather_labels(spark, sf_dir):
 
 QUERIES["read_weather_labels"] = read_weather_labels
 CHECKS["read_weather_labels"] = slate_queries.CHECKS["weather_labels"]
+
+
+def view_upsert(spark, sf_dir):
+    """Stored games, of which every third is stored again for the next day: each stands once."""
+    path = f"{new_root(spark)}/games"
+    rows = tables.games(spark, sf_dir).select("game_id", "sport", "game_date", F.lit(1).alias("version"))
+    moved = rows.filter("game_id % 3 = 0").withColumns(
+        {"game_date": F.date_add("game_date", 1), "version": F.lit(2)}
+    )
+    for batch in (rows, moved):
+        sinks.upsert_keyed(batch, path, ["game_id"], ["version"], buckets=8)
+    return spark.read.parquet(path).drop(sinks.KEY_BUCKET)
+
+
+QUERIES["view_upsert"] = view_upsert
+CHECKS["view_upsert"] = check_sql("""
+SELECT game_id, sport, CASE WHEN game_id % 3 = 0 THEN game_date + 1 ELSE game_date END AS game_date,
+       CASE WHEN game_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM games""")

@@ -158,3 +158,28 @@ def test_reports_and_snapshots_fit_the_operators(spark, root):
     df = spark.createDataFrame([(r,) for r in rows], "v string").select(F.from_json("v", TABLES["snapshots"]).alias("r")).select("r.*")
     flags = snapshots.section_flags(df).select("has_pie", "is_multi_pie").collect()
     assert [tuple(r) for r in flags] == [(True, True), (True, False), (False, False)]
+
+
+def test_upsert_scans_touched_partitions_only(spark, tmp_path, plan_of, monkeypatch):
+    path = str(tmp_path / "state")
+    make = lambda rows: spark.createDataFrame(rows, "k string, at int, p int")
+    sinks.upsert(make([("a", 1, 0), ("b", 1, 1), ("c", 1, None)]), path, ["k"], ["at"], ["p"])
+    current, news = spark.read.parquet(path), make([("x", 1, 1), ("y", 1, None)])
+    some = sinks.touched(current, news, ["p"])
+    pruned = next(line for line in plan_of(some).splitlines() if "PartitionFilters" in line)
+    assert "<=> 1" in pruned
+    assert sorted(r["k"] for r in some.collect()) == ["b", "c"]
+    assert sinks.touched(current, news.limit(0), ["p"]).count() == 0
+    monkeypatch.setattr(sinks, "NAMED_PARTITIONS", 1)
+    assert sorted(r["k"] for r in sinks.touched(current, news, ["p"]).collect()) == ["b", "c"]
+
+
+def test_moved_rows_leave_no_copy(spark, tmp_path):
+    path = str(tmp_path / "games")
+    make = lambda rows: spark.createDataFrame(rows, "k string, day date, at int")
+    one, two = date(2024, 1, 1), date(2024, 1, 2)
+    sinks.upsert_keyed(make([("a", one, 1), ("b", one, 1)]), path, ["k"], ["at"], 4)
+    for _ in range(2):
+        sinks.upsert_keyed(make([("a", two, 2), ("b", two, 0)]), path, ["k"], ["at"], 4)
+    got = spark.read.parquet(path).select("k", "day", "at").collect()
+    assert sorted(map(tuple, got)) == [("a", two, 2), ("b", one, 1)]
