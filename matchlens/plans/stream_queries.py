@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from matchlens.plans.feed_queries import new_root
 from matchlens.plans.slate_queries import AS_OF, AT, OVER
 from matchlens.plans.views import check_sql
-from matchlens.sources import tables
+from matchlens.sources import sinks, tables
 from matchlens.streaming import live
 
 QUERIES, CHECKS = {}, {}
@@ -115,3 +116,55 @@ QUERIES["freshness"] = freshness
 CHECKS["freshness"] = """
 SELECT event_id, e < ts + INTERVAL 60 SECOND AS schedule, e < ts + INTERVAL 15 MINUTE AS weather, e < ts + INTERVAL 1 HOUR AS adv_nba
 FROM (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS e FROM events)"""
+
+
+def stored_stream(spark, rows, root, time):
+    """``rows`` as files that a stream reads; event time is an instant there."""
+    rows.write.parquet(f"{root}/feed")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/feed")
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
+def live_latest(spark, sf_dir):
+    """The newest quote of each game, kept in a table by a running stream."""
+    root = new_root(spark)
+    quotes = stored_stream(spark, tables.quotes(spark, sf_dir), root, "quote_ts")
+    keep = sinks.keyed_batches(f"{root}/latest", ["game_id"], ["quote_ts", "quote_id"], buckets=8)
+    sinks.finish(quotes.writeStream.foreachBatch(keep), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/latest").select("game_id", "quote_id", "ml_home", "ml_away")
+
+
+QUERIES["live_latest"] = live_latest
+CHECKS["live_latest"] = CHECKS["stream_latest"]
+
+
+def live_dedupe(spark, sf_dir):
+    """Quotes that arrive twice, appended to a table once."""
+    root = new_root(spark)
+    quotes = tables.quotes(spark, sf_dir)
+    stream = stored_stream(spark, quotes.unionByName(quotes), root, "quote_ts")
+    once = live.deduplicated_quotes(stream).select("quote_id", "game_id", "ml_home")
+    sinks.finish(once.writeStream.format("parquet").option("path", f"{root}/once"), f"{root}/checkpoint")
+    return spark.read.schema(once.schema).parquet(f"{root}/once")
+
+
+QUERIES["live_dedupe"] = live_dedupe
+CHECKS["live_dedupe"] = CHECKS["stream_dedupe"]
+
+
+def live_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed, appended to a table as they end."""
+    root = new_root(spark)
+    events = tables.events(spark, sf_dir).select("user_id", "ts")
+    stream = stored_stream(spark, events, root, "ts").withWatermark("ts", live.WATERMARK)
+    ended = live.session_counts(stream).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    )
+    sinks.finish(ended.writeStream.format("parquet").option("path", f"{root}/sessions"), f"{root}/checkpoint")
+    return spark.read.schema(ended.schema).parquet(f"{root}/sessions")
+
+
+QUERIES["live_sessions"] = live_sessions
+CHECKS["live_sessions"] = f"""
+SELECT * FROM ({CHECKS["stream_session"]})
+WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""

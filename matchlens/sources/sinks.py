@@ -95,3 +95,21 @@ def upsert_batches(path: str, keys: list[str], order: list[str], partitions: lis
         upsert(batch, path, keys, order, partitions)
 
     return run
+
+
+def keyed_batches(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable:
+    """``upsert_keyed`` as a ``foreachBatch`` function."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        upsert_keyed(batch, path, keys, order, buckets)
+
+    return run
+
+
+def finish(writer, checkpoint: str) -> None:
+    """Run a stream over everything that has arrived, then stop.
+
+    Called again with the same checkpoint, it goes on with what arrived since.
+    """
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
