@@ -189,12 +189,12 @@ def headers(games: DataFrame, tz: str = "UTC") -> DataFrame:
     spread nor total is known. A prediction is shown if it has both sides.
     """
     known = lambda *names: [F.col(c).isNotNull() for c in names]
-    number = lambda c: number_text(F.col(c).cast("double"))
-    shown = lambda c: F.coalesce(number(c), F.lit("N/A"))
+    shown = lambda c: F.coalesce(number_text(F.col(c)), F.lit("N/A"))
+    whole = lambda c: F.col(c).cast("long").cast("string")
     day = F.col("game_date").cast("string")
     spread, total = known("spread_home_line", "total_line")
     home, away = known("pred_home", "pred_away")
-    final = F.concat(number("away_final"), F.lit(" – "), number("home_final"))
+    final = F.concat(whole("away_final"), F.lit(" – "), whole("home_final"))
     return games.select(
         "game_id",
         F.concat_ws(" @ ", "away_team", "home_team").alias("title"),
