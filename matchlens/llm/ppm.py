@@ -10,8 +10,11 @@ all costs can be worked out once for each context. Behind the last escape, the
 remaining of the 256 bytes are equally likely. Texts start in a context of zero
 bytes.
 
-All training text is counted. The trie keeps the contexts and followers that
-occur most, up to ``NODES``; what is dropped still counts in the orders below.
+All training text is counted, and every context counts. A trie of up to
+``NODES`` contexts and followers is sent to the tasks whole. Of a larger one
+they get the finished costs of its ``NODES`` most frequent five-byte sequences;
+those of the others are worked out from the written table, once for each
+sequence the documents hold, and joined.
 
 The base score is an add-one unigram over words, with every word counted: the
 most frequent ones are sent to the tasks, the others are joined.
@@ -24,6 +27,7 @@ stay; those named like a result give way.
 import math
 import uuid
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ FLUSH_WORDS = 400_000
 FLUSH_GRAMS = 1_000_000
 CHUNK, SCORED_CHUNK = 1 << 20, 1 << 18
 SLOT_BITS = 20
+# Rows of the trie that one task takes at a time, as far as two-byte endings of contexts allow.
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -257,50 +263,67 @@ def _find(keys, wanted):
 
 
 class Scorer:
-    """A trie with a hash table in front: the finished cost of every gram of the highest order."""
+    """A hash table of finished costs of five-byte sequences, and a longer way for the others.
 
-    def __init__(self, trie: Trie):
+    ``logs`` gives the costs of sequences without a place in the table; NaN: unknown here.
+    """
+
+    def __init__(self, keys, values, logs):
         import numpy as np
 
-        self.trie = trie
-        keys, counts = trie.costs[ORDER]
-        # Of keys that meet in a slot the most frequent stays; the others take the long way.
-        keys = keys[np.argsort(counts, kind="stable")]
+        # Of keys that meet in a slot the last stays; the others take the long way.
         self.keys = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
         self.values = np.zeros(1 << SLOT_BITS)
         slots = slots_of(keys)
         self.keys[slots] = keys
-        self.values[slots] = trie.logs(keys)
+        self.values[slots] = values
+        self.logs = logs
 
-    def scores(self, texts) -> list[float]:
-        """Log10 probability of each text."""
+    def scores(self, texts) -> tuple[list[float], list[list]]:
+        """Log10 probability of each text as far as known here, and its unknown sequences with counts."""
         import numpy as np
 
-        out = []
+        out, rest = [], []
         for data, starts, ends in batches(texts, SCORED_CHUNK):
             grams = grams_of(data)
             slots = slots_of(grams)
             logs = self.values[slots]
             inside = _inside(len(data), starts, ends)
             logs[~inside] = 0.0
+            left = [[] for _ in starts]
             slow = np.flatnonzero((self.keys[slots] != grams) & inside)
             if len(slow):
                 distinct, back = np.unique(grams[slow], return_inverse=True)
-                logs[slow] = self.trie.logs(distinct)[back]
+                found = self.logs(distinct)[back]
+                unknown = slow[np.isnan(found)]
+                logs[slow] = np.nan_to_num(found)
+                cuts = np.searchsorted(unknown, starts).tolist()
+                for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(unknown)])):
+                    if b > a:
+                        pairs = np.unique(grams[unknown[a:b]], return_counts=True)
+                        left[i] = [{"gram": g, "tf": k} for g, k in zip(*(x.tolist() for x in pairs))]
             sums = np.add.reduceat(logs, starts)
             out += np.where(ends > starts, sums, 0.0).tolist()
-        return out
+            rest += left
+        return out, rest
 
 
 class Model:
-    """What the tasks need: the trie, the most frequent words, and the sums over all words."""
+    """What the tasks need: the trie or its most frequent costs, the most frequent words, the sums over all words."""
 
-    def __init__(self, levels, words: tuple, texts: int, tokens: int, distinct: int):
+    def __init__(self, levels, costs, words: tuple, texts: int, tokens: int, distinct: int):
         self.key = uuid.uuid4().hex
-        self.levels, self.words = levels, words
+        self.levels, self.costs, self.words = levels, costs, words
         self.texts, self.tokens, self.distinct = texts, tokens, distinct
 
 
+class Tables(NamedTuple):
+    """``word, n`` of all words, and ``level, gram, n`` of the trie if it is not sent whole."""
+
+    words: DataFrame
+    trie: DataFrame | None
+
+
 def counts(training: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``word, n`` of all words and ``gram, n`` of all five-byte sequences, written."""
     parts = training.select(F.col(text).alias("text")).mapInPandas(
@@ -311,36 +334,71 @@ def counts(training: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     return words, both.filter("word IS NULL").select("gram", "n")
 
 
-def fit(training: DataFrame, text: str = "text", nodes: int = NODES) -> tuple[Model, DataFrame]:
-    """The model, and the table ``word, n`` for the words it leaves out."""
+def _by_level(rows) -> list:
+    """Keys and counts by order, of an Arrow table ``level, gram, n``."""
+    level, grams, numbers = (rows[c].to_numpy() for c in ("level", "gram", "n"))
+    return [(grams[level == k], numbers[level == k]) for k in range(ORDER + 1)]
+
+
+def costs_of(trie: DataFrame, grams: DataFrame, size: int) -> DataFrame:
+    """``gram, cost`` for distinct ``grams`` by the whole ``trie`` of ``size`` rows.
+
+    All that decides on a sequence lies under the last two bytes of its context,
+    apart from the orders 0 and 1, which have 65,792 rows at most and are sent.
+    """
+    short = trie.filter("level < 2").select("level", "gram", "n").toArrow()
+    shared = trie.sparkSession.sparkContext.broadcast(_by_level(short))
+
+    def costed(frame):
+        import pandas as pd
+
+        levels = list(shared.value)
+        for k in range(2, ORDER + 1):
+            some = frame[frame["level"] == k]
+            levels[k] = some["gram"].to_numpy(), some["n"].to_numpy()
+        asked = frame.loc[frame["level"] < 0, "gram"].to_numpy()
+        return pd.DataFrame({"gram": asked, "cost": Trie(levels).logs(asked) if len(asked) else []})
+
+    long_ = trie.filter("level >= 2").select("level", "gram", "n")
+    asked = grams.select(F.lit(-1).alias("level"), "gram", F.lit(0).cast("long").alias("n"))
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_ROWS))
+    ending = F.expr("(gram >> 8) & 65535")
+    rows = long_.unionByName(asked).withColumn("bucket", F.pmod(F.xxhash64(ending), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandas(costed, "gram long, cost double")
+
+
+def fit(training: DataFrame, text: str = "text", nodes: int = NODES) -> tuple[Model, Tables]:
+    """The model, and the tables for what it leaves out."""
     words, grams = counts(training, text)
     order = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
     by_order = grams.select("gram", "n", order.alias("level")).select(
         "level", F.expr("gram & ((1L << (8 * (level + 1))) - 1)").alias("gram"), "n"
     )
     trie = written(by_order.groupBy("level", "gram").agg(F.sum("n").alias("n")), "trie")
-    key = F.expr(f"shiftleft(CAST(level AS BIGINT), {LEVEL_BITS}) | gram").alias("key")
-    kept = at_most(trie, "n", nodes).select(key, "n").toArrow()  # nodes rows at most
-    keys, numbers = kept["key"].to_numpy(), kept["n"].to_numpy()
-    level, levels = keys >> LEVEL_BITS, []
-    for k in range(ORDER + 1):
-        levels.append((keys[level == k] & ((1 << LEVEL_BITS) - 1), numbers[level == k]))
+    size, levels, costs = trie.count(), None, None
+    if size <= nodes:
+        levels = _by_level(trie.toArrow())  # nodes rows at most
+    else:
+        frequent = at_most(trie.filter(F.col("level") == ORDER), "n", nodes)
+        found = costs_of(trie, frequent, size).toArrow()  # nodes rows at most
+        costs = found["gram"].to_numpy(), found["cost"].to_numpy()
     texts, total, distinct = training.count(), *words.agg(F.sum("n"), F.count("*")).first()
     frequent = at_most(words, "n", SENT_WORDS).toArrow()  # SENT_WORDS rows at most
     # Words hold no line ends, so one string carries them all.
     sent = "\n".join(frequent["word"].to_pylist()), frequent["n"].to_numpy()
     # The end of each text is one more token, and one more kind of it.
-    return Model(levels, sent, texts, (total or 0) + texts, (distinct or 0) + (texts > 0)), words
+    model = Model(levels, costs, sent, texts, (total or 0) + texts, (distinct or 0) + (texts > 0))
+    return model, Tables(words, None if costs is None else trie)
 
 
-def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, tables: Tables, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``n_tokens, n_known, train_tokens, base_score, score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     below = math.log10(model.tokens + model.distinct + 1)
     end_cost = math.log10(model.texts + 1) - below
-    rare = "array<struct<word:string,tf:long>>"
+    rare, grams = "array<struct<word:string,tf:long>>", "array<struct<gram:long,tf:long>>"
 
-    @F.pandas_udf(f"struct<tokens:long,known:long,base:double,score:double,rare:{rare}>")
+    @F.pandas_udf(f"struct<tokens:long,known:long,base:double,score:double,rare:{rare},grams:{grams}>")
     def first(texts):
         import numpy as np
         import pandas as pd
@@ -357,8 +415,10 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text")
             known = len(words) - sum(rest.values())
             rows.append((len(words) + 1, known, math.fsum(filter(None, logs)), left))
         frame = pd.DataFrame(rows, columns=["tokens", "known", "base", "rare"])
-        frame["score"] = np.array(scorer.scores(texts), dtype=np.float64)
-        return frame[["tokens", "known", "base", "score", "rare"]]
+        scores, grams = scorer.scores(texts)
+        frame["score"] = np.array(scores, dtype=np.float64)
+        frame["grams"] = pd.Series(grams, dtype=object)
+        return frame[["tokens", "known", "base", "score", "rare", "grams"]]
 
     found = docs.withColumn("_f", first(F.col(text))).drop(text)
     rows = written(added(found, {"_row": F.monotonically_increasing_id()}), "scored")
@@ -366,29 +426,50 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, text: str = "text")
     # Words in the model never come here; the others are few in any one text.
     cost = F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(below))
     sums = (
-        left.join(words, "word", "left")
+        left.join(tables.words, "word", "left")
         .groupBy("_row")
         .agg(
             F.sum(cost).alias("_base"),
             F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("_known"),
         )
     )
+    joined, score = rows.join(sums, "_row", "left"), F.col("_f.score")
+    if tables.trie is not None:
+        left = rows.select("_row", F.explode("_f.grams").alias("g")).select("_row", "g.gram", "g.tf")
+        costs = written(costs_of(tables.trie, left.select("gram").distinct(), tables.trie.count()), "costs")
+        more = left.join(costs, "gram").groupBy("_row").agg(F.sum(F.col("tf") * F.col("cost")).alias("_more"))
+        joined, score = joined.join(more, "_row", "left"), score + F.coalesce("_more", F.lit(0.0))
     return added(
-        rows.join(sums, "_row", "left"),
+        joined,
         {
             "n_tokens": F.col("_f.tokens"),
             "n_known": F.col("_f.known") + F.coalesce("_known", F.lit(0)) + F.lit(int(model.texts > 0)),
             "train_tokens": F.lit(model.tokens).cast("long"),
             "base_score": F.col("_f.base") + F.coalesce("_base", F.lit(0.0)) + F.lit(end_cost),
-            "score": F.col("_f.score"),
+            "score": score,
         },
-    ).drop("_f", "_row", "_base", "_known")
+    ).drop("_f", "_row", "_base", "_known", "_more")
 
 
 def _loaded(model: Model) -> tuple[dict, Scorer]:
-    """Word costs and trie scorer."""
+    """Word costs, and the scorer of bytes."""
+    import numpy as np
+
     below = math.log10(model.tokens + model.distinct + 1)
     words, counts_ = model.words
     pairs = zip(words.split("\n"), counts_.tolist())
     logs = {w.encode(): math.log10(n + 1) - below for w, n in pairs}
-    return logs, Scorer(Trie(model.levels))
+    if model.costs is None:
+        trie = Trie(model.levels)
+        keys, numbers = trie.costs[ORDER]
+        keys = keys[np.argsort(numbers, kind="stable")]
+        return logs, Scorer(keys, trie.logs(keys), trie.logs)
+    keys, values = model.costs
+    sort = np.argsort(keys)
+    keys, values = keys[sort], values[sort]
+
+    def sent(grams):
+        at = _find(keys, grams)
+        return np.where(at >= 0, values[at], np.nan) if len(keys) else np.full(len(grams), np.nan)
+
+    return logs, Scorer(keys, values, sent)

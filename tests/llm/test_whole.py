@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import shingles
+from matchlens.llm import ppm, shingles
 from matchlens.llm.common import ready, table
 
 
@@ -48,3 +48,14 @@ def test_near_copies_equal_brute_force(spark, block):
     if block == shingles.BLOCK_CHARS:
         stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
         assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == want
+
+
+def test_byte_scores_do_not_depend_on_what_is_sent(spark, sf_dir):
+    """A trie too large to send whole scores every text as the whole one does."""
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text").limit(80)
+    training = docs.filter("doc_id % 3 > 0")
+    whole = {r.doc_id: r.score for r in ppm.scored(docs, *ppm.fit(training)).collect()}
+    for nodes in (0, 3000):
+        cut = {r.doc_id: r.score for r in ppm.scored(docs, *ppm.fit(training, nodes=nodes)).collect()}
+        assert cut == pytest.approx(whole, rel=1e-9)
+    assert len(set(whole.values())) > 20
