@@ -2,9 +2,12 @@
 
 A word the model knows adds its log frequency in each language. An unseen word
 adds the mean over its character n-grams of the longest size of which the model
-knows any. Training counts every word of every labelled text; the model keeps
-the most frequent words and n-grams up to a fixed number, so it stays small
-enough to send to every task.
+knows any. Training counts every word of every labelled text, and every count
+has its part in the scores. Tables of up to a fixed number of rows are sent to
+the tasks whole. Of larger ones they get the most frequent words of all
+languages together, each with its counts in every language, and the totals of
+all words; the other words of the documents are looked up once for each, in the
+written tables of words and n-grams, and joined.
 
 Texts that are null or have no letter are ``und`` with score 0, and so is every
 text if there was nothing to learn from. Of equally likely languages the first
@@ -87,14 +90,21 @@ def _grams(frames):
 
 
 class Model:
-    """Counts by word and n-gram, compact enough to send; ``tables`` makes log frequencies of them."""
+    """Counts by word and n-gram, compact enough to send; ``tables`` makes log frequencies of them.
 
-    def __init__(self, counts: dict[str, tuple]):
-        """``counts`` has, for "word" and "gram", three equally long lists: languages, terms, numbers."""
+    ``whole`` tells whether all counts are here; if not, ``left`` has the tables of words and n-grams.
+    """
+
+    def __init__(self, counts: dict[str, tuple], langs: list[str], sizes: dict, whole: bool, left=None):
+        """``counts`` has, for "word" and "gram", three equally long lists: languages, terms, numbers.
+
+        ``sizes`` has for 0 (words) and each n-gram size the number of different
+        terms and the total of each language, over all counts.
+        """
         import numpy as np
 
         self.key = uuid.uuid4().hex
-        self.langs = sorted({lang for langs, _, _ in counts.values() for lang in langs})
+        self.langs, self.sizes, self.whole, self.left = langs, sizes, whole, left
         column = {lang: i for i, lang in enumerate(self.langs)}
         self.sparse = {}
         for kind, (langs, terms, numbers) in counts.items():
@@ -107,6 +117,16 @@ class Model:
                 np.array(numbers, dtype=np.int64),
             )
 
+    def __getstate__(self):
+        return self.__dict__ | {"left": None}
+
+    def logs(self, table, size: int):
+        """Log frequencies of rows of counts, among all words (0) or n-grams of one size."""
+        import numpy as np
+
+        distinct, totals = self.sizes[size]
+        return np.log((table + 0.5) / (np.array(totals) + 0.5 * (distinct + 1)))
+
     def tables(self) -> dict[str, tuple]:
         """For each kind the row of each term, and a table with a column for each language."""
         import numpy as np
@@ -118,12 +138,9 @@ class Model:
             table[rows, columns] = numbers
             # Frequencies are taken among n-grams of one size.
             size = np.array([len(t) if kind == "gram" else 0 for t in terms], dtype=np.int64)
-            logs = np.zeros_like(table)
             for s in set(size.tolist()):
-                some = size == s
-                totals = table[some].sum(0)
-                logs[some] = np.log((table[some] + 0.5) / (totals + 0.5 * (some.sum() + 1)))
-            out[kind] = {t: i for i, t in enumerate(terms)}, logs
+                table[size == s] = self.logs(table[size == s], s)
+            out[kind] = {t: i for i, t in enumerate(terms)}, table
         return out
 
 
@@ -133,7 +150,9 @@ class Scorer(dict):
     def __init__(self, model: Model):
         import numpy as np
 
-        self.langs = model.langs
+        self.langs, self.whole = model.langs, model.whole
+        # Words to be looked up, of the parts that have any.
+        self.asked = {}
         tables = model.tables()
         self.words, self.word_logs = tables["word"]
         at, logs = tables["gram"]
@@ -153,12 +172,17 @@ class Scorer(dict):
 
     def scores(self, part: str):
         """The sum over the words of one part, of which most have one."""
-        found = []
+        found, asked = [], []
         for word in words_of(part):
             row = self.words.get(word)
+            if row is None and not self.whole:
+                asked.append(word)
+                continue
             one = self.unseen(word) if row is None else self.word_logs[row]
             if one is not None:
                 found.append(one)
+        if asked:
+            self.asked[part] = asked
         if len(found) == 1:
             return found[0]
         return [sum(column) for column in zip(*found)] if found else 0.0
@@ -171,27 +195,42 @@ class Scorer(dict):
         self[part] = place
         return place
 
-    def total(self, parts: list[str]):
+    def total(self, parts: list[str], asked: Counter):
+        """The sum over the words known here; ``asked`` gets the others."""
         import numpy as np
 
         if len(parts) > len(self.table) // 2:
             half = len(parts) // 2
-            return self.total(parts[:half]) + self.total(parts[half:])
+            return self.total(parts[:half], asked) + self.total(parts[half:], asked)
         try:
             places = list(map(self.__getitem__, parts))
         except Full:
             self.clear()
+            self.asked.clear()
             places = list(map(self.__getitem__, parts))
+        if self.asked:
+            for part in filter(self.asked.__contains__, parts):
+                asked.update(self.asked[part])
         return self.table[np.array(places, dtype=np.int64)].sum(0)
 
+    def partly(self, text: str | None) -> tuple:
+        """The sums as far as known here, and the words to be looked up; None: no language to tell."""
+        if not self.langs or not text or not has_letter(text):
+            return None, {}
+        asked = Counter()
+        return self.total(text.split(), asked), asked
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        import numpy as np
+        return best(self.langs, self.partly(text)[0])
 
-        if not self.langs or not text or not has_letter(text):
-            return UNKNOWN, 0.0
-        scores = self.total(text.split())
-        best = int(np.argmax(scores))
-        return self.langs[best], float(1.0 / np.exp(scores - scores[best]).sum())
+
+def best(langs: list[str], scores) -> tuple[str, float]:
+    import numpy as np
+
+    if scores is None:
+        return UNKNOWN, 0.0
+    place = int(np.argmax(scores))
+    return langs[place], float(1.0 / np.exp(scores - scores[place]).sum())
 
 
 def has_letter(text: str) -> bool:
@@ -202,24 +241,90 @@ class Full(Exception):
     """The table of scores has no place left."""
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def fit(
+    docs: DataFrame, text: str = "text", lang: str = "lang", kept_words: int = KEPT_WORDS, kept_grams: int = KEPT_GRAMS
+) -> Model:
     """A model from all rows with a text and a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
     schema = "lang string, term string, n long"
     summed = lambda df: df.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     words = written(summed(rows.mapInPandas(_words, schema)), "words")
     grams = written(summed(words.mapInPandas(_grams, schema)), "grams")
-    kept = {}
-    for kind, counts, limit in (("word", words, KEPT_WORDS), ("gram", grams, KEPT_GRAMS)):
-        some = at_most(counts, "n", limit)
-        found = some.select("lang", "term", "n").toArrow()  # limit rows at most
+    size = lambda kind: F.lit(0) if kind == "word" else F.length("term")
+    kept, sizes, langs, whole = {}, {}, set(), True
+    for kind, counts, limit in (("word", words, kept_words), ("gram", grams, kept_grams)):
+        # A row for each n-gram size and language.
+        totals = counts.groupBy(size(kind).alias("size"), "lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        by_lang = totals.collect()
+        terms = counts.groupBy(size(kind).alias("size"), "term").agg(F.lit(1)).groupBy("size").count().collect()
+        langs |= {r["lang"] for r in by_lang}
+        for r in terms:
+            sizes[r["size"]] = r["count"], {t["lang"]: t["n"] for t in by_lang if t["size"] == r["size"]}
+        whole = whole and sum(r["rows"] for r in by_lang) <= limit
+    langs = sorted(langs)
+    sizes = {s: (n, [of.get(lang, 0) for lang in langs]) for s, (n, of) in sizes.items()}
+    chosen = {"word": words, "gram": grams}
+    if not whole:
+        # A word goes or stays with its counts in all languages.
+        of = F.collect_list(F.struct("lang", "n")).alias("of")
+        common = words.groupBy("term").agg(F.sum("n").alias("all"), of)
+        common = common.select("term", "all", F.explode("of").alias("of")).select("term", "all", "of.*")
+        chosen = {"word": at_most(common, "all", kept_words), "gram": grams.limit(0)}
+    for kind, some in chosen.items():
+        found = some.select("lang", "term", "n").toArrow()  # the limit's rows at most
         kept[kind] = tuple(found[c].to_pylist() for c in ("lang", "term", "n"))
-    return Model(kept)
+    return Model(kept, langs, sizes, whole, None if whole else (words, grams))
+
+
+def looked_up(asked: DataFrame, model: Model) -> DataFrame:
+    """``word, logs`` (a number for each language) for the distinct words ``asked`` the tables can tell of."""
+    words, grams = model.left
+    pair = F.collect_list(F.struct("lang", "n")).alias("counts")
+    known = asked.join(words.withColumnRenamed("term", "word"), "word").groupBy("word").agg(pair)
+    known = written(known, "known_words")
+    # N-grams of the words no language has: their places count, as one may stand twice.
+    new = asked.join(known, "word", "left_anti")
+    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_GRAM), F.length(padded)))).alias("size")
+    cut = new.select("word", padded.alias("p"), sizes).select(
+        "word", "size", F.explode(F.expr("transform(sequence(1, length(p) - size + 1), i -> substring(p, i, size))")).alias("term")
+    )
+    times = cut.groupBy("word", "size", "term").agg(F.count("*").alias("times"))
+    by_gram = grams.groupBy("term").agg(pair)
+    met = times.join(by_gram, "term").select("word", "size", F.struct("times", "counts").alias("g"))
+    by_word = met.groupBy("word").agg(F.max("size").alias("size"), F.collect_list(F.struct("size", "g")).alias("gs"))
+    longest = F.transform(F.filter("gs", lambda x: x["size"] == F.col("size")), lambda x: x["g"])
+    one = F.array(F.struct(F.lit(1).cast("long").alias("times"), "counts"))
+    both = known.select("word", F.lit(0).alias("size"), one.alias("gs")).unionByName(
+        by_word.select("word", "size", longest.alias("gs"))
+    )
+    sent = Model({}, model.langs, model.sizes, True)
+
+    @F.pandas_udf("array<double>")
+    def logs(sizes, found):
+        import numpy as np
+        import pandas as pd
 
+        column, out = {lang: i for i, lang in enumerate(sent.langs)}, []
+        for size, gs in zip(sizes, found):
+            table, times = np.zeros((len(gs), len(column))), np.array([g["times"] for g in gs])
+            for row, g in zip(table, gs):
+                for c in g["counts"]:
+                    row[column[c["lang"]]] = c["n"]
+            out.append(times @ sent.logs(table, size) / times.sum())
+        return pd.Series(out)
 
-def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the probability of that language (0 to 1)."""
+    return both.select("word", logs("size", "gs").alias("logs"))
+
+
+def identified(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the probability of that language (0 to 1).
+
+    Without the text if so asked, which then is not written.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.whole:
+        return _joined(docs, model, shared, text, keep_text)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predicted(texts):
@@ -231,16 +336,55 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     found = docs.withColumn("_found", predicted(F.col(text)))
     return added(
-        found, {"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}
+        found if keep_text else found.drop(text), {"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}
     ).drop("_found")
 
 
+def _joined(docs: DataFrame, model: Model, shared, text: str, keep_text: bool) -> DataFrame:
+    langs = model.langs
+
+    @F.pandas_udf("struct<sums:array<double>,asked:array<struct<word:string,tf:long>>>")
+    def first(texts):
+        import pandas as pd
+
+        model = shared.value
+        scorer, rows = held(("lang", model.key), lambda: Scorer(model)), []
+        for t in texts:
+            sums, asked = scorer.partly(t)
+            rows.append((sums, [{"word": w, "tf": k} for w, k in asked.items()]))
+        return pd.DataFrame(rows, columns=["sums", "asked"])
+
+    numbered = added(docs, {"_row": F.monotonically_increasing_id()})
+    rows = numbered.withColumn("_f", first(F.col(text)))
+    rows = written(rows if keep_text else rows.drop(text), "partly")
+    left = rows.select("_row", F.explode("_f.asked").alias("a")).select("_row", "a.word", "a.tf")
+    logs = written(looked_up(left.select("word").distinct(), model), "looked_up")
+    one = F.struct("tf", "logs")
+    more = left.join(logs, "word").groupBy("_row").agg(F.collect_list(one).alias("_more"))
+
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def summed(sums, more):
+        import pandas as pd
+
+        rows = []
+        for some, others in zip(sums, more):
+            if some is not None and others is not None:
+                some = some + sum(o["tf"] * o["logs"] for o in others)
+            rows.append(best(langs, some))
+        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+
+    found = rows.join(more, "_row", "left").withColumn("_found", summed("_f.sums", "_more"))
+    return added(
+        found, {"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}
+    ).drop("_found", "_f", "_row", "_more")
+
+
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose language is told with at least the given probability, with their own columns."""
     boxed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text")
     )
-    kept = identified(boxed, model, "_text").filter(
+    kept = identified(boxed, model, "_text", keep_text=False).filter(
         (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     )
     return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

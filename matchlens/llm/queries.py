@@ -92,7 +92,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lang", held_out("doc_id", LANG_FOLDS, LANG_FOLD).alias("held_out")
     )
     model = langid.fit(docs.filter("not held_out"))
-    return langid.identified(docs.drop("lang"), model).drop("text")
+    return langid.identified(docs.drop("lang"), model, keep_text=False)
 
 
 def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

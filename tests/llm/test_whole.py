@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import ppm, shingles
+from matchlens.llm import langid, ppm, shingles
 from matchlens.llm.common import ready, table
 
 
@@ -59,3 +59,22 @@ def test_byte_scores_do_not_depend_on_what_is_sent(spark, sf_dir):
         cut = {r.doc_id: r.score for r in ppm.scored(docs, *ppm.fit(training, nodes=nodes)).collect()}
         assert cut == pytest.approx(whole, rel=1e-9)
     assert len(set(whole.values())) > 20
+
+
+def test_languages_do_not_depend_on_what_is_sent(spark):
+    """A language whose words are all rare keeps its words, n-grams and totals."""
+    ready(spark)
+    rows = [("the thing is here and the dog is there", "en")] * 40
+    rows += [("der schatz ist schwarz und der hund", "de"), ("kissa istuu talossa", "fi")]
+    training = spark.createDataFrame(rows, "text string, lang string")
+    asked = ["kissa talossa", "kissat", "schatzer und the", "the dog istuu", "aaaa kisskiss", "qqq", "12", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "id long, text string")
+    found = {}
+    for words, grams in ((1 << 17, 1 << 17), (6, 10), (0, 0)):
+        model = langid.fit(training, kept_words=words, kept_grams=grams)
+        assert model.langs == ["de", "en", "fi"]
+        found[words] = sorted(langid.identified(docs, model).drop("text").collect())
+    for few in (6, 0):
+        for one, other in zip(found[1 << 17], found[few]):
+            assert one[:2] == other[:2] and one["score"] == pytest.approx(other["score"], rel=1e-9)
+    assert [r["lang_pred"] for r in found[0]][:2] == ["fi", "fi"]
