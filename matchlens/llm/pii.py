@@ -73,7 +73,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     spans = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(p) <= 255 if len(p) < 9 else not p.strip("0") for p in m.group().split(".")):
+            parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
+            if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                 spans.append(("ip", m.start(), m.end()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import langid, ppm, shingles
+from matchlens.llm import langid, pii, ppm, shingles
 from matchlens.llm.common import ready, table
 
 
@@ -78,3 +78,10 @@ def test_languages_do_not_depend_on_what_is_sent(spark):
         for one, other in zip(found[1 << 17], found[few]):
             assert one[:2] == other[:2] and one["score"] == pytest.approx(other["score"], rel=1e-9)
     assert [r["lang_pred"] for r in found[0]][:2] == ["fi", "fi"]
+
+
+def test_addresses_with_leading_zeros():
+    text = "000000001.2.3.000000255 000000256.1.1.1 0000000000.0.0.0 1.2.3.1000"
+    assert [text[a:b] for kind, a, b in pii.base_spans(text) if kind == "ip"] == [
+        "000000001.2.3.000000255", "0000000000.0.0.0",
+    ]
