@@ -224,14 +224,15 @@ def records_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         F.coalesce(F.col(text), F.lit("")).alias("content"),
     )
     grouped = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("m"))
-    roles = F.array_join(F.transform("m", lambda x: x["role"]), ",")
+    roles = F.transform("m", lambda x: x["role"])
+    are = lambda *names: roles == F.array(*map(F.lit, names))
     at = lambda k: F.get("m", F.lit(k))["content"]
     prompt = F.to_json(F.struct(at(0).alias("prompt"), at(1).alias("response")))
     system = F.to_json(F.struct(at(0).alias("system"), at(1).alias("prompt"), at(2).alias("response")))
     messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     record = (
-        F.when(roles == "user,assistant", prompt)
-        .when(roles == "system,user,assistant", system)
+        F.when(are("user", "assistant"), prompt)
+        .when(are("system", "user", "assistant"), system)
         .otherwise(F.to_json(F.struct(messages.alias("messages"))))
     )
     return grouped.select("conv_id", record.alias("record"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import langid, pii, ppm, shingles
+from matchlens.llm import chat, langid, pii, ppm, shingles
 from matchlens.llm.common import ready, table
 
 
@@ -85,3 +85,12 @@ def test_addresses_with_leading_zeros():
     assert [text[a:b] for kind, a, b in pii.base_spans(text) if kind == "ip"] == [
         "000000001.2.3.000000255", "0000000000.0.0.0",
     ]
+
+
+def test_roles_with_commas_are_no_exchange(spark):
+    ready(spark)
+    rows = [(1, 0, "user,assistant", "a"), (2, 0, "system,user", "b"), (2, 1, "assistant", "c"), (3, 0, "user", "d"), (3, 1, "assistant", "e")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    made = {r.conv_id: r for r in chat.canonical(chat.records_of(df)).collect()}
+    assert [made[i].layout for i in (1, 2, 3)] == ["messages", "messages", "prompt"]
+    assert [[tuple(t) for t in made[i].turns] for i in (1, 2)] == [[("user,assistant", "a")], [("system,user", "b"), ("assistant", "c")]]
