@@ -3,7 +3,9 @@
 Each text is measured with column functions. Two measures have fixed base
 rules (too few words, too much repetition). The rest are held against fences:
 quartiles of their group plus a multiple of the distance between the quartiles.
-The quartiles come from KLL sketches of every language and source, built next
+Shares that are zero in most texts have equal quartiles; they also are held
+against their group's tail: a high quantile plus its distance to a lower one.
+The quantiles come from KLL sketches of every language and source, built next
 to the data and merged, also into sketches by language and of everything; a
 group too small to speak for itself uses the sketch above it. Documents are
 joined with the fences of their group and kept if no measure lies outside.
@@ -35,6 +37,9 @@ SPREADS = {
     "repeat_share": 0.08,
     "word_length": 0.5,
 }
+# Measures with a fence from the tail, and the least room beyond the high quantile.
+TAILS = {"symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.05}
+TAIL, TAIL_FROM = 0.95, 0.75
 
 
 def _hashes(words: Column) -> Column:
@@ -113,7 +118,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fences(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``lang, source`` with ``<measure>_low`` and ``<measure>_high`` for every group of ``rows``.
+    """``lang, source`` with ``<measure>_low``, ``_high`` and for some ``_tail`` for every group of ``rows``.
 
     Rows that failed the base rules do not shape the fences.
     """
@@ -138,6 +143,9 @@ def fences(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataF
             at = lambda q: F.expr(f"kll_sketch_get_quantile_double(`{m}`, {q})")  # noqa: B023, E731
             room = REACH * F.greatest(at(0.75) - at(0.25), F.lit(least))
             out += [(at(0.25) - room).alias(f"{m}_low"), (at(0.75) + room).alias(f"{m}_high")]
+            if m in TAILS:
+                room = F.greatest(at(TAIL) - at(TAIL_FROM), F.lit(TAILS[m]))
+                out.append((at(TAIL) + room).alias(f"{m}_tail"))
         keyed = [c for c in ("_lang", "_source") if c in sketches.columns]
         enough = sketches.filter(F.col("n") >= (MIN_GROUP if level != "all" else 1))
         return enough.select(*keyed, F.struct(*out).alias(level))
@@ -188,8 +196,10 @@ def _verdicts(joined: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for m in SPREADS:
         inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
+    for m in TAILS:
+        inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_tail"), F.lit(True))
     inside = inside & F.coalesce(F.col("word_length") >= F.col("word_length_low"), F.lit(True))
-    ends = [f"{m}_{end}" for m in SPREADS for end in ("low", "high")]
+    ends = [f"{m}_{end}" for m in SPREADS for end in ("low", "high")] + [f"{m}_tail" for m in TAILS]
     return added(joined, {"kept": ~F.col("base_failed") & inside}).drop("_lang", "_source", *ends)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import chat, langid, pii, ppm, shingles
+from matchlens.llm import chat, langid, pii, ppm, quality, shingles
 from matchlens.llm.common import ready, table
 
 
@@ -80,6 +80,22 @@ def test_languages_do_not_depend_on_what_is_sent(spark):
     assert [r["lang_pred"] for r in found[0]][:2] == ["fi", "fi"]
 
 
+def test_fences_follow_the_tail_of_a_group(spark):
+    """A third of repeated lines is out of line among clean texts, and usual where many have them."""
+    ready(spark)
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        source = "forum" if i % 2 else "book"
+        lines = [" ".join(f"w{j}" for j in draw.integers(0, 10**6, 8)) for _ in range(12)]
+        if source == "forum" and i % 5 == 1 or i == 100:
+            lines += ["reply to this"] * 7
+        rows.append((i, "\n".join(lines), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    gone = [r.doc_id for r in quality.judged(docs).filter("not kept").collect()]
+    assert gone == [100]
+
+
 def test_addresses_with_leading_zeros():
     text = "000000001.2.3.000000255 000000256.1.1.1 0000000000.0.0.0 1.2.3.1000"
     assert [text[a:b] for kind, a, b in pii.base_spans(text) if kind == "ip"] == [
