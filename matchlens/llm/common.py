@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlens.session import tune, written
 
-__all__ = ["added", "at_most", "held", "held_out", "numbered", "ranked", "ready", "table", "written"]
+__all__ = ["added", "at_most", "fresh", "held", "held_out", "numbered", "ranked", "ready", "table", "written"]
 
 # Long texts travel to Python in small batches.
 BATCH_ROWS = 512
@@ -52,6 +52,14 @@ def added(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def at_most(counts: DataFrame, count: str, limit: int) -> DataFrame:
     """The most frequent rows, ``limit`` at most, without a sort.
 

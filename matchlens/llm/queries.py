@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import byte_bpe, chat, covertree, langid, packing, pii, ppm, quality, sharding, simhash
+from matchlens.llm import byte_bpe, chat, covertree, divergence, fingerprints, langid, packing, pii, ppm, quality
+from matchlens.llm import runs, sharding, simhash
 from matchlens.llm.common import held_out, ready, table
 
 LANG_FOLDS, LANG_FOLD = 5, 0
@@ -107,6 +108,96 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of every tenth id from some place on replaced by a repeated stretch."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("g", F.floor(h / 10)).withColumn("chosen", F.coalesce(h % 10 == 0, F.lit(False)))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    # Only chosen texts are cut into words here.
+    rows = docs.withColumn("words", F.when(F.col("chosen"), words)).withColumn("n", F.size("words"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    rows = rows.withColumn("a", a.cast("int"))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    stretch = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    made = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), stretch), F.lit(1), F.col("n"))
+    text = F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(made, " ")).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    found = runs.with_runs(planted(docs)).drop("text").withColumn("best", runs.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("text", "lang", "source")
+    found = divergence.divergence(divergence.term_counts(docs))
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        coalesce(text, '') AS text FROM documents
+), words AS (
+    SELECT d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs
+), vocabulary AS (
+    SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+), sizes AS (
+    SELECT lang, count(*) AS v, sum(n) AS total FROM vocabulary GROUP BY lang
+), sources AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN vocabulary USING (lang, term)
+    GROUP BY lang, source, term
+), totals AS (
+    SELECT s.lang, s.source, coalesce(sum(n), 0) AS total FROM sources s LEFT JOIN counts USING (lang, source)
+    GROUP BY s.lang, s.source
+), shares AS (
+    SELECT t.lang, t.source, o.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * z.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (o.n + 5)) // (z.total + 5 * z.v)::HUGEINT AS q
+    FROM totals t JOIN vocabulary o ON t.lang = o.lang JOIN sizes z ON t.lang = z.lang
+    LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = o.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+), every AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    found = fingerprints.near_duplicates(docs, keep_text=False)
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", digits("fingerprint"), digits("edited_fingerprint"),
+        "near_edited", "near_next", "class_id",
+    )
+
+
 QUERIES = {
     "op1_quality_rules": quality_rules,
     "op2_personal_data": personal_data,
@@ -118,5 +209,9 @@ QUERIES = {
     "op8_ppm": ppm_scores,
     "op9_language_id": language_id,
     "op10_byte_bpe": byte_bpe_round_trip,
+    "op11_periodic_runs": periodic_runs,
+    "op12_source_divergence": source_divergence,
+    "op13_minhash": document_fingerprints,
 }
-CHECKS: dict[str, str] = {}
+# The others are learned, hashed or tokenized: tests hold them against definitions.
+CHECKS: dict[str, str] = {"op12_source_divergence": SOURCE_DIVERGENCE}

@@ -195,7 +195,7 @@ def test_base_spans_of_a_text():
 
 def test_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_word_ids_equal_the_tokenizer():
