@@ -38,6 +38,8 @@ SEED = 42
 SHINGLES_AT_ONCE = 1 << 11
 KNOWN_WORDS = 1 << 17
 BLOCK_CHARS = 4 << 20
+# Tables of a few numbers a row are sent to tasks up to so many rows (some dozen MB).
+SENT_ROWS = 1 << 21
 
 
 class Hasher:
@@ -244,11 +246,11 @@ def with_fingerprints(
 
     The edited text has its last quarter replaced by as much of the start of the
     next row, by ascending id; the first row follows the last one. Also adds
-    ``n_chars``, ``edited_sha256``, ``text_key`` (a hash of the text) and ``node``, which texts of the same words share.
+    ``n_chars``, ``edited_sha256``, ``row_key`` (a hash of id and text) and ``node``, which texts of the same words share.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = added(docs, {"text_key": F.xxhash64(text)})
+    docs = added(docs, {"row_key": F.xxhash64(doc_id, text)})
     taken = {name.lower() for name in PRINTED}
     names = [c for c in docs.columns if c.lower() not in taken and (keep_text or c != text)]
     edge = [fresh(docs, name) for name in ("edge_kind", "edge_task", "edge_text")]
@@ -340,13 +342,14 @@ def _linked(frame):
     return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype="int64")
 
 
-def links(members: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
-    """``a, b``: verified links inside the candidate groups ``root`` of ``node, text``."""
-    sizes = members.groupBy("root").agg(F.ceil(F.sum(F.length("text")) / block).alias("n"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("n", F.lit(1)) - 1))
+def links(members: DataFrame) -> DataFrame:
+    """``a, b``: verified links inside the candidate groups ``root`` of ``root, node, blocks, text``.
+
+    A group is cut into ``blocks`` and every two of them meet in a task of their own.
+    """
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     paired = (
-        members.join(sizes, "root")
-        .withColumn("m", F.pmod(F.xxhash64("node"), F.greatest("n", F.lit(1))))
+        members.withColumn("m", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .select("root", "node", "text", "m", other.alias("o"))
         .select("root", "node", "text", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
     )
@@ -357,35 +360,42 @@ def links(members: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
 def near_classes(
     docs: DataFrame, prints: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK_CHARS
 ) -> DataFrame:
-    """``node, class_id``: the smallest id reachable by links, for every node; null if no row there has an id.
+    """``node, class_id, members``: the smallest id reachable by links (null if no row there has one) and the rows that do.
 
     ``prints`` is ``with_fingerprints(docs)``. Only the texts of candidates are read again.
     """
-    # Ids before nulls; the text's key finds the row that speaks for the node.
-    head = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("text_key").alias("key"))
-    nodes = written(
-        prints.groupBy("node").agg(F.min(head).alias("head"), F.first("fingerprint").alias("fingerprint")), "nodes"
+    ident = F.col(doc_id)
+    # Ids before nulls; the row's key finds the row that speaks for the node.
+    head = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col("row_key").alias("key"), "n_chars")
+    nodes = prints.groupBy("node").agg(
+        F.min(head).alias("head"), F.first("fingerprint").alias("fingerprint"), F.count("*").alias("rows")
     )
     groups = components(ties(nodes))
-    asked = written(nodes.join(groups, "node").select("node", "root", "head.id", "head.key"), "asked")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("text"))
+    heads = written(nodes.select("node", "head", "rows"), "nodes")
+    asked = heads.join(groups, "node").select("root", "node", "head.key", "head.n_chars")
+    sizes = asked.groupBy("root").agg(F.sum("n_chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("chars") / block), F.lit(1)).cast("long").alias("blocks")
+    asked = written(asked.join(sizes, "root").select("root", "node", "key", blocks), "asked")
+    rows = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
     # Repeated rows give the same text.
-    members = (
-        rows.join(asked, rows["_id"].eqNullSafe(asked["id"]) & (rows["_key"] == asked["key"]))
-        .groupBy("node", "root")
-        .agg(F.first("text").alias("text"))
-    )
-    roots = components(links(members, block))
-    placed = nodes.select("node", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = placed.groupBy("root").agg(F.min("head").alias("first"))
-    return placed.join(firsts, "root").select("node", F.col("first.id").alias("class_id"))
+    members = rows.join(_sent(asked), "key").groupBy("root", "node", "blocks").agg(F.first("text").alias("text"))
+    roots = components(links(members))
+    placed = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = placed.groupBy("root").agg(F.min("head").alias("first"), F.sum("rows").alias("members"))
+    return placed.join(firsts, "root").select("node", F.col("first.id").alias("class_id"), "members")
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, sent to every task if it has few rows; else Spark moves both sides."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``with_fingerprints`` and ``class_id``, the smallest id among a row's near copies, itself included."""
     prints = written(with_fingerprints(docs, doc_id, text, keep_text), "fingerprints")
-    # Most nodes are one row that speaks for itself; only the others are joined.
-    found = near_classes(docs, prints, doc_id, text).withColumnRenamed("node", "class_node")
-    return added(
-        prints.join(found, prints["node"] == found["class_node"], "left"), {"class_id": F.col("class_id")}
-    ).drop("class_node")
+    found = near_classes(docs, prints, doc_id, text).filter("members > 1")
+    # Most rows are alone in their class.
+    found = _sent(written(found.select(F.col("node").alias("class_node"), "class_id"), "classes"))
+    joined = prints.join(found, prints["node"] == found["class_node"], "left")
+    class_id = F.when(F.col("class_node").isNull(), F.col(doc_id)).otherwise(F.col("class_id"))
+    return added(joined, {"class_id": class_id}).drop("class_node")
