@@ -1,15 +1,17 @@
 """Helpers shared by the operators of this folder."""
 
+import functools
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlens.session import tune, written
-
-__all__ = ["added", "at_most", "fresh", "held", "held_out", "numbered", "ranked", "ready", "table", "written"]
+from matchlens import session
+from matchlens.session import shared_dir, tune
 
 # Long texts travel to Python in small batches.
 BATCH_ROWS = 512
@@ -41,6 +43,49 @@ def _archive() -> str:
     return str(path)
 
 
+# The folder of the stage that is being built, and those of built stages by their place in the order.
+_building: list[str] = []
+_built: list[tuple[int, str]] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder, inside a stage in the stage's own, and read back."""
+    return session.written(df, "/".join([*_building[-1:], name]))
+
+
+def stage(place: int, function: Callable) -> Callable:
+    """``function(spark, docs, sf_dir)`` as the stage with that place, its intermediates in one folder.
+
+    The output of a stage is written before the next one reads it, so a stage
+    removes the folders of earlier ones, but none that its own input reads from.
+    """
+
+    @functools.wraps(function)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(ready(spark), docs, place)
+        folder = f"{function.__name__}-{uuid.uuid4().hex}"
+        _built.append((place, folder))
+        _building.append(folder)
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            _building.pop()
+
+    return staged
+
+
+def removed(spark: SparkSession, docs: DataFrame, place: int) -> None:
+    """Delete the folders of the stages before ``place``, except those that ``docs`` reads from."""
+    if not any(at < place for at, _ in _built):
+        return
+    read = docs.inputFiles()
+    for at, folder in list(_built):
+        if at < place and not any(f"/{folder}/" in file for file in read):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{folder}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _built.remove((at, folder))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,10 +4,12 @@ A word the model knows adds its log frequency in each language. An unseen word
 adds the mean over its character n-grams of the longest size of which the model
 knows any. Training counts every word of every labelled text, and every count
 has its part in the scores. Tables of up to a fixed number of rows are sent to
-the tasks whole. Of larger ones they get the most frequent words of all
-languages together, each with its counts in every language, and the totals of
-all words; the other words of the documents are looked up once for each, in the
-written tables of words and n-grams, and joined.
+the tasks whole. Of a larger table of words they get the most frequent ones of
+all languages together, each with its counts in every language, and the totals
+of all words; the other words of the documents are looked up once for each in
+the written table and joined. A larger table of n-grams is not sent; words no
+language has are then looked up by their longest n-grams first, and only those
+of which none is known go on to the next shorter ones.
 
 Texts that are null or have no letter are ``und`` with score 0, and so is every
 text if there was nothing to learn from. Of equally likely languages the first
@@ -18,6 +20,7 @@ like a result give way.
 import re
 import uuid
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from matchlens.llm.common import added, at_most, held, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 1 << 17
-KEPT_GRAMS = 1 << 17
+KEPT_WORDS = 1 << 18
+KEPT_GRAMS = 1 << 20
+# Rejected texts are sent to tasks up to so many keys.
+SENT_KEYS = 1 << 21
 LONGEST_GRAM = 4
 FLUSH = 150_000
 CACHED_PARTS, CACHED_BYTES = 200_000, 64 << 20
@@ -92,10 +97,11 @@ def _grams(frames):
 class Model:
     """Counts by word and n-gram, compact enough to send; ``tables`` makes log frequencies of them.
 
-    ``whole`` tells whether all counts are here; if not, ``left`` has the tables of words and n-grams.
+    ``whole`` and ``gram_whole`` tell whether all counts, or those of n-grams, are here; if not all, ``left``
+    has the tables of words and n-grams.
     """
 
-    def __init__(self, counts: dict[str, tuple], langs: list[str], sizes: dict, whole: bool, left=None):
+    def __init__(self, counts: dict, langs: list[str], sizes: dict, whole: bool, gram_whole: bool, left=None):
         """``counts`` has, for "word" and "gram", three equally long lists: languages, terms, numbers.
 
         ``sizes`` has for 0 (words) and each n-gram size the number of different
@@ -104,7 +110,8 @@ class Model:
         import numpy as np
 
         self.key = uuid.uuid4().hex
-        self.langs, self.sizes, self.whole, self.left = langs, sizes, whole, left
+        self.langs, self.sizes, self.left = langs, sizes, left
+        self.whole, self.gram_whole = whole, gram_whole
         column = {lang: i for i, lang in enumerate(self.langs)}
         self.sparse = {}
         for kind, (langs, terms, numbers) in counts.items():
@@ -251,7 +258,7 @@ def fit(
     words = written(summed(rows.mapInPandas(_words, schema)), "words")
     grams = written(summed(words.mapInPandas(_grams, schema)), "grams")
     size = lambda kind: F.lit(0) if kind == "word" else F.length("term")
-    kept, sizes, langs, whole = {}, {}, set(), True
+    kept, sizes, langs, fits = {}, {}, set(), {}
     for kind, counts, limit in (("word", words, kept_words), ("gram", grams, kept_grams)):
         # A row for each n-gram size and language.
         totals = counts.groupBy(size(kind).alias("size"), "lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
@@ -260,45 +267,49 @@ def fit(
         langs |= {r["lang"] for r in by_lang}
         for r in terms:
             sizes[r["size"]] = r["count"], {t["lang"]: t["n"] for t in by_lang if t["size"] == r["size"]}
-        whole = whole and sum(r["rows"] for r in by_lang) <= limit
+        fits[kind] = sum(r["rows"] for r in by_lang) <= limit
     langs = sorted(langs)
     sizes = {s: (n, [of.get(lang, 0) for lang in langs]) for s, (n, of) in sizes.items()}
-    chosen = {"word": words, "gram": grams}
-    if not whole:
+    chosen = {"word": words, "gram": grams if fits["gram"] else grams.limit(0)}
+    if not fits["word"]:
         # A word goes or stays with its counts in all languages.
         of = F.collect_list(F.struct("lang", "n")).alias("of")
         common = words.groupBy("term").agg(F.sum("n").alias("all"), of)
         common = common.select("term", "all", F.explode("of").alias("of")).select("term", "all", "of.*")
-        chosen = {"word": at_most(common, "all", kept_words), "gram": grams.limit(0)}
+        chosen["word"] = at_most(common, "all", kept_words)
     for kind, some in chosen.items():
         found = some.select("lang", "term", "n").toArrow()  # the limit's rows at most
         kept[kind] = tuple(found[c].to_pylist() for c in ("lang", "term", "n"))
-    return Model(kept, langs, sizes, whole, None if whole else (words, grams))
+    whole = fits["word"] and fits["gram"]
+    return Model(kept, langs, sizes, whole, fits["gram"], None if whole else (words, grams))
 
 
-def looked_up(asked: DataFrame, model: Model) -> DataFrame:
+def looked_up(asked: DataFrame, model: Model, shared) -> DataFrame:
     """``word, logs`` (a number for each language) for the distinct words ``asked`` the tables can tell of."""
     words, grams = model.left
     pair = F.collect_list(F.struct("lang", "n")).alias("counts")
     known = asked.join(words.withColumnRenamed("term", "word"), "word").groupBy("word").agg(pair)
     known = written(known, "known_words")
-    # N-grams of the words no language has: their places count, as one may stand twice.
-    new = asked.join(known, "word", "left_anti")
-    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_GRAM), F.length(padded)))).alias("size")
-    cut = new.select("word", padded.alias("p"), sizes).select(
-        "word", "size", F.explode(F.expr("transform(sequence(1, length(p) - size + 1), i -> substring(p, i, size))")).alias("term")
-    )
-    times = cut.groupBy("word", "size", "term").agg(F.count("*").alias("times"))
-    by_gram = grams.groupBy("term").agg(pair)
-    met = times.join(by_gram, "term").select("word", "size", F.struct("times", "counts").alias("g"))
-    by_word = met.groupBy("word").agg(F.max("size").alias("size"), F.collect_list(F.struct("size", "g")).alias("gs"))
-    longest = F.transform(F.filter("gs", lambda x: x["size"] == F.col("size")), lambda x: x["g"])
     one = F.array(F.struct(F.lit(1).cast("long").alias("times"), "counts"))
-    both = known.select("word", F.lit(0).alias("size"), one.alias("gs")).unionByName(
-        by_word.select("word", "size", longest.alias("gs"))
-    )
-    sent = Model({}, model.langs, model.sizes, True)
+    found = known.select("word", _logs_of(model)(F.lit(0), one).alias("logs"))
+    new = asked.join(known, "word", "left_anti")
+    if not model.gram_whole:
+        return found.unionByName(_by_longest(new, grams, model))
+
+    @F.pandas_udf("array<double>")
+    def unseen(words):
+        import pandas as pd
+
+        model = shared.value
+        scorer = held(("lang", model.key), lambda: Scorer(model))
+        return pd.Series(list(map(scorer.unseen, words)), dtype=object)
+
+    return found.unionByName(new.select("word", unseen("word").alias("logs")).filter("logs IS NOT NULL"))
+
+
+def _logs_of(model: Model):
+    """Mean log frequencies of terms of one size, from their counts and how often each one stands."""
+    sent = Model({}, model.langs, model.sizes, True, True)
 
     @F.pandas_udf("array<double>")
     def logs(sizes, found):
@@ -314,7 +325,26 @@ def looked_up(asked: DataFrame, model: Model) -> DataFrame:
             out.append(times @ sent.logs(table, size) / times.sum())
         return pd.Series(out)
 
-    return both.select("word", logs("size", "gs").alias("logs"))
+    return logs
+
+
+def _by_longest(new: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
+    """``word, logs`` from the longest known n-grams; each size is only asked for the words no longer one tells of."""
+    pair = F.collect_list(F.struct("lang", "n")).alias("counts")
+    logs, out = _logs_of(model), []
+    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
+    left = new.select("word", padded.alias("p"))
+    for size in range(LONGEST_GRAM, 0, -1):
+        places = F.expr(f"transform(sequence(1, length(p) - {size - 1}), i -> substring(p, i, {size}))")
+        cut = left.filter(F.length("p") >= size).select("word", F.explode(places).alias("term"))
+        # Places count, as one n-gram may stand twice.
+        times = cut.groupBy("word", "term").agg(F.count("*").alias("times"))
+        by_gram = grams.filter(F.length("term") == size).groupBy("term").agg(pair)
+        met = times.join(by_gram, "term").groupBy("word").agg(F.collect_list(F.struct("times", "counts")).alias("gs"))
+        found = written(met.select("word", logs(F.lit(size), "gs").alias("logs")), f"grams_{size}")
+        out.append(found)
+        left = left.join(found, "word", "left_anti")
+    return reduce(DataFrame.unionByName, out)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -358,9 +388,10 @@ def _joined(docs: DataFrame, model: Model, shared, text: str, keep_text: bool) -
     rows = numbered.withColumn("_f", first(F.col(text)))
     rows = written(rows if keep_text else rows.drop(text), "partly")
     left = rows.select("_row", F.explode("_f.asked").alias("a")).select("_row", "a.word", "a.tf")
-    logs = written(looked_up(left.select("word").distinct(), model), "looked_up")
-    one = F.struct("tf", "logs")
-    more = left.join(logs, "word").groupBy("_row").agg(F.collect_list(one).alias("_more"))
+    logs = written(looked_up(left.select("word").distinct(), model, shared), "looked_up")
+    # One sum for each language.
+    sums = [F.sum(F.col("tf") * F.get("logs", F.lit(i))) for i in range(len(langs))]
+    more = left.join(logs, "word").groupBy("_row").agg(F.array(*sums).alias("_more"))
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def summed(sums, more):
@@ -369,7 +400,7 @@ def _joined(docs: DataFrame, model: Model, shared, text: str, keep_text: bool) -
         rows = []
         for some, others in zip(sums, more):
             if some is not None and others is not None:
-                some = some + sum(o["tf"] * o["logs"] for o in others)
+                some = some + others
             rows.append(best(langs, some))
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
@@ -380,11 +411,15 @@ def _joined(docs: DataFrame, model: Model, shared, text: str, keep_text: bool) -
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose language is told with at least the given probability, with their own columns."""
-    boxed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text")
-    )
-    kept = identified(boxed, model, "_text", keep_text=False).filter(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    )
-    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    """The rows whose language is told with at least the given probability, with their own columns.
+
+    The verdict depends on the text alone, so it is the keys of rejected texts that are joined, not the texts.
+    """
+    content = F.col(text)
+    key = F.coalesce(F.md5(content.cast("binary")), F.lit(""))  # null is a text of its own
+    told = identified(docs.select(key.alias("key"), content.alias("text")), model, keep_text=False)
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    gone = written(told.filter(~sure).select(F.col("key").alias("rejected")).distinct(), "rejected")
+    if gone.count() <= SENT_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, key == gone["rejected"], "left_anti")

@@ -250,8 +250,8 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     boxed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_text")
     )
-    found = with_spans(boxed, "_text")
-    found = found.withColumn("_clean", F.when(F.size("spans") > 0, cut("_text", "spans")).otherwise(F.col("_text")))
+    found, content = with_spans(boxed, "_text", keep_text=False), F.col(f"_doc.`{text}`")
+    found = found.withColumn("_clean", F.when(F.size("spans") > 0, cut(content, "spans")).otherwise(content))
     return found.select(
         *[F.col("_clean" if c == text else f"_doc.`{c}`").alias(c) for c in columns]
     )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import chat, langid, pii, ppm, quality, shingles
+from matchlens.llm import chat, common, langid, pii, ppm, quality, shingles
 from matchlens.llm.common import ready, table
 
 
@@ -70,11 +70,11 @@ def test_languages_do_not_depend_on_what_is_sent(spark):
     asked = ["kissa talossa", "kissat", "schatzer und the", "the dog istuu", "aaaa kisskiss", "qqq", "12", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "id long, text string")
     found = {}
-    for words, grams in ((1 << 17, 1 << 17), (6, 10), (0, 0)):
+    for words, grams in ((1 << 17, 1 << 17), (7, 1 << 17), (6, 10), (0, 0)):
         model = langid.fit(training, kept_words=words, kept_grams=grams)
         assert model.langs == ["de", "en", "fi"]
         found[words] = sorted(langid.identified(docs, model).drop("text").collect())
-    for few in (6, 0):
+    for few in (7, 6, 0):
         for one, other in zip(found[1 << 17], found[few]):
             assert one[:2] == other[:2] and one["score"] == pytest.approx(other["score"], rel=1e-9)
     assert [r["lang_pred"] for r in found[0]][:2] == ["fi", "fi"]
@@ -110,3 +110,23 @@ def test_roles_with_commas_are_no_exchange(spark):
     made = {r.conv_id: r for r in chat.canonical(chat.records_of(df)).collect()}
     assert [made[i].layout for i in (1, 2, 3)] == ["messages", "messages", "prompt"]
     assert [[tuple(t) for t in made[i].turns] for i in (1, 2)] == [[("user,assistant", "a")], [("system,user", "b"), ("assistant", "c")]]
+
+
+def test_intermediates_of_a_stage_go_with_the_next(spark, tmp_path):
+    """They stay while an output still reads from them."""
+    from pathlib import Path
+
+    ready(spark)
+    docs = spark.createDataFrame([(i, f"the cat number {i} " * 20, "en", "a") for i in range(40)], "doc_id long, text string, lang string, source string")
+    shared = Path(common.shared_dir(spark))
+    mine = lambda name: [p for p in shared.glob(f"{name}-*") if p.is_dir()]
+    stages = [function for _, function in corpus_pipeline.STAGES]
+    common._built.clear()
+    before = {name: len(mine(name)) for name in ("language", "quality_rules")}
+    told = stages[0](spark, docs, "")
+    stages[1](spark, told, "")
+    assert len(mine("language")) == before["language"] + 1  # not evaluated yet
+    told.write.parquet(str(tmp_path / "told"))
+    stages[1](spark, spark.read.parquet(str(tmp_path / "told")), "").collect()
+    assert len(mine("language")) == before["language"]
+    assert len(mine("quality_rules")) == before["quality_rules"] + 2
