@@ -22,7 +22,7 @@ import uuid
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import added, at_most, held, written
@@ -253,48 +253,51 @@ def fit(
 ) -> Model:
     """A model from all rows with a text and a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
-    schema = "lang string, term string, n long"
-    summed = lambda df: df.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    words = written(summed(rows.mapInPandas(_words, schema)), "words")
-    grams = written(summed(words.mapInPandas(_grams, schema)), "grams")
+    words = written(_summed(rows, _words), "words")
+    by_lang = words.select("term", F.explode("counts").alias("c")).select("c.lang", "term", "c.n")
+    grams = written(_summed(by_lang, _grams), "grams")
     size = lambda kind: F.lit(0) if kind == "word" else F.length("term")
     kept, sizes, langs, fits = {}, {}, set(), {}
-    for kind, counts, limit in (("word", words, kept_words), ("gram", grams, kept_grams)):
+    for kind, table, limit in (("word", words, kept_words), ("gram", grams, kept_grams)):
         # A row for each n-gram size and language.
-        totals = counts.groupBy(size(kind).alias("size"), "lang").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-        by_lang = totals.collect()
-        terms = counts.groupBy(size(kind).alias("size"), "term").agg(F.lit(1)).groupBy("size").count().collect()
-        langs |= {r["lang"] for r in by_lang}
+        each = table.select(size(kind).alias("size"), F.explode("counts").alias("c"))
+        totals = each.groupBy("size", "c.lang").agg(F.sum("c.n").alias("n")).collect()
+        terms = table.groupBy(size(kind).alias("size")).count().collect()
+        langs |= {r["lang"] for r in totals}
         for r in terms:
-            sizes[r["size"]] = r["count"], {t["lang"]: t["n"] for t in by_lang if t["size"] == r["size"]}
-        fits[kind] = sum(r["rows"] for r in by_lang) <= limit
+            sizes[r["size"]] = r["count"], {t["lang"]: t["n"] for t in totals if t["size"] == r["size"]}
+        fits[kind] = sum(r["count"] for r in terms) <= limit
     langs = sorted(langs)
     sizes = {s: (n, [of.get(lang, 0) for lang in langs]) for s, (n, of) in sizes.items()}
-    chosen = {"word": words, "gram": grams if fits["gram"] else grams.limit(0)}
-    if not fits["word"]:
-        # A word goes or stays with its counts in all languages.
-        of = F.collect_list(F.struct("lang", "n")).alias("of")
-        common = words.groupBy("term").agg(F.sum("n").alias("all"), of)
-        common = common.select("term", "all", F.explode("of").alias("of")).select("term", "all", "of.*")
-        chosen["word"] = at_most(common, "all", kept_words)
+    # A word goes or stays with its counts in all languages.
+    chosen = {
+        "word": words if fits["word"] else at_most(words, "n", kept_words),
+        "gram": grams if fits["gram"] else grams.limit(0),
+    }
     for kind, some in chosen.items():
-        found = some.select("lang", "term", "n").toArrow()  # the limit's rows at most
+        found = some.select("term", F.explode("counts").alias("c")).select("c.lang", "term", "c.n")
+        found = found.toArrow()  # the limit's terms at most
         kept[kind] = tuple(found[c].to_pylist() for c in ("lang", "term", "n"))
     whole = fits["word"] and fits["gram"]
     return Model(kept, langs, sizes, whole, fits["gram"], None if whole else (words, grams))
 
 
+def _summed(rows: DataFrame, count) -> DataFrame:
+    """``term, n, counts``: one row for each term, with its count in all languages and in each."""
+    found = rows.mapInPandas(count, "lang string, term string, n long")
+    # Dealt by the term, both sums stay where they are.
+    by_lang = found.repartition("term").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    return by_lang.groupBy("term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("counts"))
+
+
 def looked_up(asked: DataFrame, model: Model, shared) -> DataFrame:
     """``word, logs`` (a number for each language) for the distinct words ``asked`` the tables can tell of."""
     words, grams = model.left
-    pair = F.collect_list(F.struct("lang", "n")).alias("counts")
-    known = asked.join(words.withColumnRenamed("term", "word"), "word").groupBy("word").agg(pair)
-    known = written(known, "known_words")
-    one = F.array(F.struct(F.lit(1).cast("long").alias("times"), "counts"))
-    found = known.select("word", _logs_of(model)(F.lit(0), one).alias("logs"))
-    new = asked.join(known, "word", "left_anti")
+    met = asked.join(words.select(F.col("term").alias("word"), "counts"), "word", "left")
     if not model.gram_whole:
-        return found.unionByName(_by_longest(new, grams, model))
+        met = written(met, "asked_words")
+        known = met.filter("counts IS NOT NULL").select("word", _logs_of(model, F.col("counts"), 0).alias("logs"))
+        return known.unionByName(_by_longest(met.filter("counts IS NULL").select("word"), grams, model))
 
     @F.pandas_udf("array<double>")
     def unseen(words):
@@ -302,49 +305,42 @@ def looked_up(asked: DataFrame, model: Model, shared) -> DataFrame:
 
         model = shared.value
         scorer = held(("lang", model.key), lambda: Scorer(model))
-        return pd.Series(list(map(scorer.unseen, words)), dtype=object)
-
-    return found.unionByName(new.select("word", unseen("word").alias("logs")).filter("logs IS NOT NULL"))
-
+        return pd.Series([None if w is None else scorer.unseen(w) for w in words], dtype=object)
 
-def _logs_of(model: Model):
-    """Mean log frequencies of terms of one size, from their counts and how often each one stands."""
-    sent = Model({}, model.langs, model.sizes, True, True)
-
-    @F.pandas_udf("array<double>")
-    def logs(sizes, found):
-        import numpy as np
-        import pandas as pd
+    new = unseen(F.when(F.col("counts").isNull(), F.col("word")))
+    found = met.select("word", "counts", new.alias("new"))
+    logs = F.coalesce("new", F.when(F.col("counts").isNotNull(), _logs_of(model, F.col("counts"), 0)))
+    return found.select("word", logs.alias("logs")).filter("logs IS NOT NULL")
 
-        column, out = {lang: i for i, lang in enumerate(sent.langs)}, []
-        for size, gs in zip(sizes, found):
-            table, times = np.zeros((len(gs), len(column))), np.array([g["times"] for g in gs])
-            for row, g in zip(table, gs):
-                for c in g["counts"]:
-                    row[column[c["lang"]]] = c["n"]
-            out.append(times @ sent.logs(table, size) / times.sum())
-        return pd.Series(out)
 
-    return logs
+def _logs_of(model: Model, counts: Column, size: int) -> Column:
+    """Log frequencies of a term of one size in each language, from its counts."""
+    distinct, totals = model.sizes[size]
+    langs = F.array(
+        *[F.struct(F.lit(lang).alias("lang"), F.lit(n + 0.5 * (distinct + 1)).alias("all")) for lang, n in zip(model.langs, totals)]
+    )
+    mine = lambda of: F.aggregate(
+        F.filter(counts, lambda c: c["lang"] == of["lang"]), F.lit(0.5), lambda n, c: n + c["n"]
+    )
+    return F.transform(langs, lambda of: F.log(mine(of) / of["all"]))
 
 
 def _by_longest(new: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
     """``word, logs`` from the longest known n-grams; each size is only asked for the words no longer one tells of."""
-    pair = F.collect_list(F.struct("lang", "n")).alias("counts")
-    logs, out = _logs_of(model), []
-    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
-    left = new.select("word", padded.alias("p"))
+    out = []
+    left = new.select("word", F.concat(F.lit("_"), F.col("word"), F.lit("_")).alias("p"))
     for size in range(LONGEST_GRAM, 0, -1):
+        if size not in model.sizes:
+            continue
         places = F.expr(f"transform(sequence(1, length(p) - {size - 1}), i -> substring(p, i, {size}))")
         cut = left.filter(F.length("p") >= size).select("word", F.explode(places).alias("term"))
-        # Places count, as one n-gram may stand twice.
-        times = cut.groupBy("word", "term").agg(F.count("*").alias("times"))
-        by_gram = grams.filter(F.length("term") == size).groupBy("term").agg(pair)
-        met = times.join(by_gram, "term").groupBy("word").agg(F.collect_list(F.struct("times", "counts")).alias("gs"))
-        found = written(met.select("word", logs(F.lit(size), "gs").alias("logs")), f"grams_{size}")
+        known = grams.filter(F.length("term") == size).select("term", _logs_of(model, F.col("counts"), size).alias("logs"))
+        # The mean over the places, as one n-gram may stand twice.
+        means = F.array(*[F.avg(F.get("logs", F.lit(i))) for i in range(len(model.langs))])
+        found = written(cut.join(known, "term").groupBy("word").agg(means.alias("logs")), f"grams_{size}")
         out.append(found)
         left = left.join(found, "word", "left_anti")
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out, new.select("word", F.lit(None).cast("array<double>").alias("logs")).limit(0))
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
