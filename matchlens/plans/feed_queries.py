@@ -10,7 +10,7 @@ from matchlens.operators import edge, injuries, joins
 from matchlens.plans import injury_queries, slate_queries
 from matchlens.plans.views import check_sql
 from matchlens.session import shared_dir
-from matchlens.sources import readers, sinks, tables
+from matchlens.sources import deltas, readers, sinks, tables
 
 QUERIES, CHECKS = {}, {}
 
@@ -110,3 +110,59 @@ QUERIES["view_upsert"] = view_upsert
 CHECKS["view_upsert"] = check_sql("""
 SELECT game_id, sport, CASE WHEN game_id % 3 = 0 THEN game_date + 1 ELSE game_date END AS game_date,
        CASE WHEN game_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM games""")
+
+
+def game_batches(spark, sf_dir):
+    """Stored games, then moved ones, then corrected scores together with rows that come too late."""
+    rows = tables.games(spark, sf_dir).select(
+        "game_id", "sport", "game_date", "home_final", "away_final", F.lit(1).alias("version")
+    )
+    moved = rows.filter("game_id % 3 = 0").withColumns({"game_date": F.date_add("game_date", 1), "version": F.lit(2)})
+    corrected = rows.filter("game_id % 5 = 0").withColumns(
+        {"home_final": F.col("home_final") + 1, "version": F.lit(3)}
+    )
+    late = rows.filter("game_id % 7 = 0").withColumns({"away_final": F.lit(99).cast("long"), "version": F.lit(0)})
+    return [rows, moved, corrected.unionByName(late)]
+
+
+def view_merge_on_read(spark, sf_dir):
+    """Three batches appended as deltas and merged by the reader, with a new base on the way."""
+    batches = game_batches(spark, sf_dir)
+    table = deltas.KeyedTable(spark, f"{new_root(spark)}/games", batches[0].schema, ["game_id"], ["version"])
+    for seq, batch in enumerate(batches):
+        table.append(batch, seq)
+        table.compact(share=0.4)
+    return table.read()
+
+
+GAME_VERSIONS = """
+SELECT game_id, sport, CASE WHEN game_id % 5 <> 0 AND game_id % 3 = 0 THEN game_date + 1 ELSE game_date END AS game_date,
+       CASE WHEN game_id % 5 = 0 THEN home_final + 1 ELSE home_final END AS home_final, away_final,
+       CASE WHEN game_id % 5 = 0 THEN 3 WHEN game_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM games"""
+
+QUERIES["view_merge_on_read"] = view_merge_on_read
+CHECKS["view_merge_on_read"] = check_sql(GAME_VERSIONS)
+
+
+def refresh_incremental(spark, sf_dir):
+    """Games and points by league and day, kept current from the changes of each batch."""
+    batches, root = game_batches(spark, sf_dir), new_root(spark)
+    table = deltas.KeyedTable(spark, f"{root}/games", batches[0].schema, ["game_id"], ["version"])
+    groups = batches[0].select("sport", "game_date").schema
+    view = deltas.AdditiveView(spark, f"{root}/by_day", groups, ["home_final", "away_final"])
+    for seq, batch in enumerate(batches):
+        view.apply(table.changes(batch), seq)
+        table.append(batch, seq)
+    rows = view.read()
+    points = {c: F.col(f"{c}_sum").cast("long") for c in ("home_final", "away_final")}
+    return rows.select(
+        "sport", "game_date", F.col("n").alias("games"), F.col("home_final_n").alias("finished"),
+        points["home_final"].alias("home_points"), points["away_final"].alias("away_points"),
+    )
+
+
+QUERIES["refresh_incremental"] = refresh_incremental
+CHECKS["refresh_incremental"] = check_sql(f"""
+SELECT sport, game_date, count(*) AS games, count(home_final) AS finished,
+       CAST(sum(home_final) AS BIGINT) AS home_points, CAST(sum(away_final) AS BIGINT) AS away_points
+FROM ({GAME_VERSIONS}) GROUP BY sport, game_date""")

@@ -33,13 +33,18 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     An aggregation, so a key with very many updates is reduced before the shuffle.
     """
     payload = [c for c in df.columns if c not in keys and c not in order]
-    # Maps and variants have no order; the other columns decide between equally new rows.
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    ordered = [c for c in payload if not any(k in kinds[c] for k in ("map<", "variant"))]
+    # The other columns decide between equally new rows.
+    ordered = [c for c in orderable(df) if c in payload]
     newest = F.max_by(F.struct(*order, *payload), F.struct(*order, *ordered)).alias("_r")
     return df.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 
+def orderable(df: DataFrame) -> list[str]:
+    """The columns that can be compared: maps and variants have no order."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    return [name for name, kind in kinds if not any(k in kind for k in ("map<", "variant"))]
+
+
 def deduplicated_quotes(stream: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Each quote once, as long as its copies arrive within the watermark."""
     return stream.withWatermark("quote_ts", delay).dropDuplicatesWithinWatermark(["quote_id"])
