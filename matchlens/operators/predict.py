@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.operators import gram
 from matchlens.operators.features import head_to_head, team_games, team_history, with_density
 from matchlens.session import written
 
@@ -22,11 +23,12 @@ FEATURE_GROUPS = {
     "rest": ["home_rest_days", "away_rest_days", "home_recent_games", "away_recent_games"],
     "meetings": ["meetings", "home_margin_avg"],
 }
+SCORES = ["home_final", "away_final"]
 ALL_FEATURES = [name for names in FEATURE_GROUPS.values() for name in names]
 
 
 def training_rows(games: DataFrame, form_games: int = 5) -> DataFrame:
-    """Finished games with what was known before their start, and the home margin.
+    """Finished games with what was known before their start, the home margin and both scores.
 
     Missing history counts as 0. Written once, because every fit reads it again.
     """
@@ -44,11 +46,12 @@ def training_rows(games: DataFrame, form_games: int = 5) -> DataFrame:
     met = head_to_head(games).select("game_id", "meetings", "home_margin_avg")
     label = (F.col("home_final") - F.col("away_final")).cast("double").alias("label")
     played = games.filter("home_final IS NOT NULL AND away_final IS NOT NULL")
-    base = played.select("game_id", "sport", "game_date", "home_team", "away_team", label)
+    scores = [F.col(c).cast("double").alias(c) for c in SCORES]
+    base = played.select("game_id", "sport", "game_date", "home_team", "away_team", label, *scores)
     joined = base.join(view("home"), ["game_id", "home_team"]).join(view("away"), ["game_id", "away_team"])
     joined = joined.join(met, "game_id")
     features = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ALL_FEATURES]
-    return written(joined.select("game_id", "sport", "game_date", "label", *features), "training")
+    return written(joined.select("game_id", "sport", "game_date", "label", *SCORES, *features), "training")
 
 
 MEMBERS = {
@@ -133,3 +136,40 @@ def ablation(
         errors = evaluate(rows, kept, folds, members).filter("model = 'ensemble'")
         reports.append(errors.groupBy(F.lit(left_out or "none").alias("left_out")).agg(F.avg("rmse").alias("rmse")))
     return reduce(DataFrame.unionByName, reports)
+
+
+def score_slices(rows: DataFrame, folds: int = FOLDS) -> dict:
+    """Sums of products of features and both scores for each slice of days, in one pass."""
+    return gram.gram_sums(with_folds(rows, folds), ALL_FEATURES, SCORES, "fold")
+
+
+def ridge_errors(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Error of ridge on both scores by fold, beside that of the training mean; one pass over the rows."""
+    found = gram.fold_errors(score_slices(rows, folds), folds, ALL_FEATURES)
+    # One row per fold and score.
+    return rows.sparkSession.createDataFrame(found, "fold int, score string, rmse double, mean_rmse double")
+
+
+def ridge_ablation(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Mean error over the folds on each score, with each feature group left out; the same one pass."""
+    slices, out = score_slices(rows, folds), []
+    for left_out in [None, *FEATURE_GROUPS]:
+        kept = [f for g, names in FEATURE_GROUPS.items() if g != left_out for f in names]
+        found = gram.fold_errors(slices, folds, kept)
+        for score in SCORES:
+            of = [rmse for _, s, rmse, _ in found if s == score]
+            out.append((left_out or "none", score, sum(of) / len(of) if of else None))
+    return rows.sparkSession.createDataFrame(out, "left_out string, score string, rmse double")
+
+
+def predicted_scores(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """``game_id, pred_home, pred_away`` for the last slice, by ridge on all earlier ones."""
+    sliced = with_folds(rows, folds)
+    slices = gram.gram_sums(sliced, ALL_FEATURES, SCORES, "fold")
+    earlier = [slices[s] for s in slices if s < folds]
+    last = sliced.filter(F.col("fold") == folds)
+    if not earlier:
+        return last.select("game_id", *[F.lit(None).cast("double").alias(c) for c in ("pred_home", "pred_away")])
+    model = gram.fit(sum(earlier[1:], earlier[0]))
+    home, away = (model.column(c) for c in SCORES)
+    return last.select("game_id", home.alias("pred_home"), away.alias("pred_away"))
