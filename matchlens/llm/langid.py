@@ -40,7 +40,8 @@ LEAST_SCORE = 0.5
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    lower = text.lower()
+    return [lower] if lower.isalpha() else LETTERS.findall(lower)
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -157,9 +158,9 @@ class Scorer(dict):
     def __init__(self, model: Model):
         import numpy as np
 
-        self.langs, self.whole = model.langs, model.whole
-        # Words to be looked up, of the parts that have any.
-        self.asked = {}
+        self.langs, self.whole, self.array = model.langs, model.whole, np.asarray
+        # Of the text at hand: the words to be looked up, and scores beside the table.
+        self.asked, self.beside = [], []
         tables = model.tables()
         self.words, self.word_logs = tables["word"]
         at, logs = tables["gram"]
@@ -177,8 +178,7 @@ class Scorer(dict):
                 return [sum(column) / n for column in zip(*known)]
         return None
 
-    def scores(self, part: str):
-        """The sum over the words of one part, of which most have one."""
+    def __missing__(self, part: str) -> int:
         found, asked = [], []
         for word in words_of(part):
             row = self.words.get(word)
@@ -189,43 +189,41 @@ class Scorer(dict):
             if one is not None:
                 found.append(one)
         if asked:
-            self.asked[part] = asked
-        if len(found) == 1:
-            return found[0]
-        return [sum(column) for column in zip(*found)] if found else 0.0
-
-    def __missing__(self, part: str) -> int:
-        place = len(self)
+            # Most such parts never come again, so they take no place; the first row is empty.
+            self.asked += asked
+            self.beside += found
+            return 0
+        place = len(self) + 1
         if place == len(self.table):
             raise Full
-        self.table[place] = self.scores(part)
+        # Most parts have one word.
+        self.table[place] = found[0] if len(found) == 1 else sum(map(self.array, found), 0.0)
         self[part] = place
         return place
 
-    def total(self, parts: list[str], asked: Counter):
-        """The sum over the words known here; ``asked`` gets the others."""
+    def total(self, parts: list[str]):
+        """The sum over the words known here; ``asked`` grows by the others."""
         import numpy as np
 
         if len(parts) > len(self.table) // 2:
             half = len(parts) // 2
-            return self.total(parts[:half], asked) + self.total(parts[half:], asked)
+            return self.total(parts[:half]) + self.total(parts[half:])
+        before = len(self.asked), len(self.beside)
         try:
             places = list(map(self.__getitem__, parts))
         except Full:
             self.clear()
-            self.asked.clear()
+            del self.asked[before[0] :], self.beside[before[1] :]
             places = list(map(self.__getitem__, parts))
-        if self.asked:
-            for part in filter(self.asked.__contains__, parts):
-                asked.update(self.asked[part])
         return self.table[np.array(places, dtype=np.int64)].sum(0)
 
     def partly(self, text: str | None) -> tuple:
         """The sums as far as known here, and the words to be looked up; None: no language to tell."""
         if not self.langs or not text or not has_letter(text):
             return None, {}
-        asked = Counter()
-        return self.total(text.split(), asked), asked
+        self.asked, self.beside = [], []
+        sums = self.total(text.split())
+        return sum(map(self.array, self.beside), sums), Counter(self.asked)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return best(self.langs, self.partly(text)[0])
