@@ -223,7 +223,9 @@ def links(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame
         .select("bit", "rest", "fp", mine.alias("m"), other.alias("o"))
         .select("bit", "rest", "fp", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
     )
-    far = paired.groupBy("bit", "rest", "i", "j").applyInPandas(_blocks_linked(distance), "a long, b long")
+    # Dealt by all four, so the blocks of one entry do not share a task.
+    dealt = paired.repartition("bit", "rest", "i", "j").groupBy("bit", "rest", "i", "j")
+    far = dealt.applyInPandas(_blocks_linked(distance), "a long, b long")
     return met.filter("bit < 0").select("a", "b").unionByName(far)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchlens.llm import byte_bpe, chat, covertree, graph, langid, packing, pii, ppm, quality
-from matchlens.llm import queries, sharding, simhash
+from matchlens.llm import queries, sharding, shingles, simhash
 from matchlens.llm.common import ready
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, Kept int"
@@ -245,3 +245,20 @@ def test_bytes_next_sum_to_one(docs):
     for context in (b"\0\0\0\0", b"the ", b"cat ", b"qqqq", b"q th"):
         grams = [int.from_bytes(context, "big") << 8 | b for b in range(256)]
         assert (10 ** trie.logs(np.array(grams, dtype=np.int64))).sum() == pytest.approx(1.0)
+
+
+def test_blocks_of_a_hot_group_are_dealt_apart(spark, plan_of):
+    """Also where the table of sizes is joined by sorting, not sent."""
+    ready(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = spark.createDataFrame([(1, i, "w " * 30) for i in range(40)], "root long, node long, text string")
+        plan = plan_of(shingles.links(members, block=200), "simple")
+        first = next(line for line in plan.splitlines() if "hashpartitioning(root" in line)
+        assert "i#" in first and "j#" in first
+        prints = spark.createDataFrame([(i,) for i in range(40)], "fp long")
+        plan = plan_of(simhash.links(prints, block=4), "simple")
+        first = next(line for line in plan.splitlines() if "hashpartitioning(bit" in line)
+        assert "i#" in first and "j#" in first
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
