@@ -4,7 +4,7 @@ Reports stay rows under their group key; they are never gathered into one
 list, because a single team may hold a large share of them.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions.texts import team_key
@@ -43,7 +43,7 @@ def injuries_of_playing(injuries: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def injuries_by_team(injuries: DataFrame, games: DataFrame) -> DataFrame:
-    """Report counts per team as spelled, ordered by code unit."""
+    """Report counts per team as spelled; ``listed_teams`` gives their order."""
     return (
         injuries_of_playing(injuries, games)
         .groupBy("league", "report_date", "team")
@@ -51,6 +51,16 @@ def injuries_by_team(injuries: DataFrame, games: DataFrame) -> DataFrame:
     )
 
 
+def listed_teams(by_team: DataFrame) -> DataFrame:
+    """Adds ``position``, each team's place from 1 in the list of its slate, by code unit.
+
+    The window holds one row for each team of a slate.
+    """
+    units = F.encode("team", "UTF-16BE")
+    slate = Window.partitionBy("league", "report_date").orderBy(units)
+    return by_team.withColumn("position", F.row_number().over(slate))
+
+
 def injuries_of_games(injuries: DataFrame, games: DataFrame) -> DataFrame:
     """Reports of both sides of each game, matched by exact team name and day."""
     sides = games.select(

@@ -42,6 +42,15 @@ QUERIES["injuries_by_team"] = injuries_by_team
 CHECKS["injuries_by_team"] = check_sql("SELECT * FROM by_team", **VIEWS)
 
 
+def injury_team_order(spark, sf_dir):
+    return ops.listed_teams(ops.injuries_by_team(*inputs(spark, sf_dir)))
+
+
+QUERIES["injury_team_order"] = injury_team_order
+CHECKS["injury_team_order"] = check_sql("""
+SELECT *, CAST(row_number() OVER (PARTITION BY league, report_date ORDER BY team) AS INTEGER) AS position FROM by_team""", **VIEWS)
+
+
 def injuries_by_game(spark, sf_dir):
     df = ops.injuries_of_games(*inputs(spark, sf_dir))
     return df.select(

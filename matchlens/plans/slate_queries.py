@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from matchlens.functions import odds, texts, times
-from matchlens.operators import edge, joins, reconcile, slate
+from matchlens.operators import asof, edge, joins, reconcile, slate
 from matchlens.plans.views import check_sql, fixed
 from matchlens.sources import tables
 from matchlens.stages import observed
@@ -386,6 +386,17 @@ SELECT g.game_id, quote_id, l.ml_home, l.ml_away, quotes_seen FROM games g LEFT
 ON g.game_id = l.game_id AND l.rn = 1""")
 
 
+def odds_asof_merge(spark, sf_dir):
+    """The same by one sort of quotes and starts together."""
+    games = tables.replayed_starts(tables.games(spark, sf_dir)).select("game_id", "start_ts")
+    last = asof.last_before(tables.quotes(spark, sf_dir), games)
+    return last.select("game_id", "quote_id", "ml_home", "ml_away", "quotes_seen")
+
+
+QUERIES["odds_asof_merge"] = odds_asof_merge
+CHECKS["odds_asof_merge"] = CHECKS["odds_asof"]
+
+
 def features_explode(spark, sf_dir):
     return reconcile.feature_rows(tables.part_features(spark, sf_dir))
 
