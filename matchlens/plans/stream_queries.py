@@ -6,7 +6,7 @@ from matchlens.plans.feed_queries import new_root
 from matchlens.plans.slate_queries import AS_OF, AT, OVER
 from matchlens.plans.views import check_sql
 from matchlens.sources import sinks, tables
-from matchlens.streaming import live
+from matchlens.streaming import live, state
 
 QUERIES, CHECKS = {}, {}
 
@@ -168,3 +168,36 @@ QUERIES["live_sessions"] = live_sessions
 CHECKS["live_sessions"] = f"""
 SELECT * FROM ({CHECKS["stream_session"]})
 WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+
+
+def start_updates(spark, sf_dir):
+    """Each game a day before its start; every third one moves, every fifth one later loses its start."""
+    games = tables.replayed_starts(tables.games(spark, sf_dir))
+    first = games.select("game_id", (F.col("start_ts") - F.expr("INTERVAL 1 DAY")).alias("ts"), "start_ts")
+    hour = F.expr("INTERVAL 1 HOUR")
+    moved = first.filter("game_id % 3 = 0").withColumns({"ts": F.col("ts") + hour, "start_ts": F.col("start_ts") + hour * 2})
+    lost = first.filter("game_id % 5 = 0").withColumns({"ts": F.col("ts") + hour * 3, "start_ts": F.lit(None).cast("timestamp_ntz")})
+    return first.unionByName(moved).unionByName(lost)
+
+
+def live_expiry(spark, sf_dir):
+    """Games that a timer has reported as over, appended to a table as event time passes their end."""
+    root = new_root(spark)
+    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', start_ts)")
+    updates = start_updates(spark, sf_dir).select("game_id", "ts", millis.alias("start_ms"))
+    before = state.use_rocksdb(spark)
+    try:
+        over = state.expiring_games(stored_stream(spark, updates, root, "ts"))
+        sinks.finish(over.writeStream.format("parquet").option("path", f"{root}/over"), f"{root}/checkpoint")
+    finally:
+        state.use_store(spark, before)
+    at = F.timestamp_millis("expired_ms").cast("timestamp_ntz")
+    return spark.read.schema(over.schema).parquet(f"{root}/over").select("game_id", at.alias("expired_at"))
+
+
+QUERIES["live_expiry"] = live_expiry
+CHECKS["live_expiry"] = check_sql("""
+SELECT game_id, start_ts + INTERVAL 210 MINUTE AS expired_at
+FROM (SELECT game_id, start_ts + CASE WHEN game_id % 3 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS start_ts FROM replayed)
+WHERE start_ts + INTERVAL 210 MINUTE <= (SELECT max(start_ts - INTERVAL 1 DAY + CASE WHEN game_id % 5 = 0 THEN INTERVAL 3 HOUR
+    WHEN game_id % 3 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END) - INTERVAL 10 MINUTE FROM replayed)""")

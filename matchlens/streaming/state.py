@@ -15,11 +15,22 @@ from matchlens.streaming.live import FAILURES, GRACE_SECONDS, WATERMARK
 GAME_MILLIS = int(3.5 * 3600 * 1000)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> str | None:
+    """Keep the state of new streams in RocksDB; returns what was set before."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    return before
+
+
+def use_store(spark: SparkSession, provider: str | None) -> None:
+    if provider is None:
+        spark.conf.unset(STORE)
+    else:
+        spark.conf.set(STORE, provider)
 
 
 class GameExpiry(StatefulProcessor):
