@@ -187,7 +187,7 @@ def live_expiry(spark, sf_dir):
     updates = start_updates(spark, sf_dir).select("game_id", "ts", millis.alias("start_ms"))
     before = state.use_rocksdb(spark)
     try:
-        over = state.expiring_games(stored_stream(spark, updates, root, "ts"))
+        over = state.expiring_in_buckets(stored_stream(spark, updates, root, "ts"), buckets=32)
         sinks.finish(over.writeStream.format("parquet").option("path", f"{root}/over"), f"{root}/checkpoint")
     finally:
         state.use_store(spark, before)

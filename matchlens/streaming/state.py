@@ -4,14 +4,21 @@ Both need the RocksDB state store (``use_rocksdb``). State is a few numbers
 per key, whatever the number of rows.
 """
 
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from matchlens.streaming.live import FAILURES, GRACE_SECONDS, WATERMARK
 
+# Workers get these classes whole, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GAME_MILLIS = int(3.5 * 3600 * 1000)
 
 
@@ -49,17 +56,19 @@ class GameExpiry(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest, start = None, None
         for batch in rows:
-            known = batch.dropna(subset=["start_ms"])
+            # Plain arrays: most games have a row or two.
+            starts, times = batch["start_ms"].to_numpy(), batch[self.event_time].to_numpy()
+            known = np.flatnonzero(~pd.isna(starts))
             if len(known):
-                row = known.loc[known[self.event_time].idxmax()]
-                if newest is None or row[self.event_time] >= newest:
-                    newest, start = row[self.event_time], int(row["start_ms"])
+                last = known[times[known].argmax()]
+                if newest is None or times[last] >= newest:
+                    newest, start = times[last], int(starts[last])
         if start is not None:
             if self.expiry.exists():
                 self.handle.deleteTimer(self.expiry.get()[0])
             self.expiry.update((start + GAME_MILLIS,))
             self.handle.registerTimer(start + GAME_MILLIS)
-        yield pd.DataFrame({"game_id": pd.Series(dtype="int64"), "expired_ms": pd.Series(dtype="int64")})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.expiry.clear()
@@ -83,6 +92,79 @@ def expiring_games(updates: DataFrame, event_time: str = "ts", delay: str = WATE
     )
 
 
+class BucketExpiry(StatefulProcessor):
+    """``GameExpiry`` for all games of a bucket at once: one state and one timer for many games.
+
+    The state holds the games that are still open, with the event time of their
+    newest start and the moment they end; the timer stands at the earliest one.
+    """
+
+    def __init__(self, event_time: str = "ts"):
+        self.event_time = event_time
+
+    def init(self, handle):
+        self.handle = handle
+        self.open = handle.getValueState("open", "games array<long>, times array<long>, ends array<long>")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _games(self) -> pd.DataFrame:
+        found = self.open.get() if self.open.exists() else ([], [], [])
+        return pd.DataFrame(dict(zip(("game_id", "time", "end"), found)), dtype="int64")
+
+    def _keep(self, games: pd.DataFrame) -> None:
+        at = int(games["end"].min()) if len(games) else None
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is not None and before != at:
+            self.handle.deleteTimer(before)
+            self.timer.clear()
+        if at is None:
+            self.open.clear()
+            return
+        self.open.update(tuple(games[c].tolist() for c in ("game_id", "time", "end")))
+        if before != at:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [self._games()]
+        for batch in rows:
+            known = batch.dropna(subset=["start_ms"])
+            time = known[self.event_time].astype("datetime64[us]").astype("int64")
+            end = known["start_ms"].astype("int64") + GAME_MILLIS
+            parts.append(pd.DataFrame({"game_id": known["game_id"], "time": time, "end": end}))
+        games = pd.concat(parts, ignore_index=True).sort_values("time", kind="stable")
+        self._keep(games.drop_duplicates("game_id", keep="last"))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        games = self._games()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = games["end"] <= now
+        # This timer has fired; another one follows for the games that are left.
+        self.timer.clear()
+        self._keep(games[~over])
+        done = games[over]
+        yield pd.DataFrame({"game_id": done["game_id"], "expired_ms": done["end"]})
+
+    def close(self):
+        pass
+
+
+def expiring_in_buckets(
+    updates: DataFrame, buckets: int = 256, event_time: str = "ts", delay: str = WATERMARK
+) -> DataFrame:
+    """``expiring_games`` with the games dealt into ``buckets``; choose them for some thousand open games each."""
+    bucket = F.pmod(F.xxhash64("game_id"), F.lit(buckets)).cast("int").alias("bucket")
+    return (
+        updates.withWatermark(event_time, delay)
+        .select(bucket, "game_id", "start_ms", event_time)
+        .groupBy("bucket")
+        .transformWithStateInPandas(
+            BucketExpiry(event_time), "game_id long, expired_ms long", outputMode="Append", timeMode="EventTime"
+        )
+    )
+
+
 class FailureCounter(StatefulProcessor):
     """Counts failures in a row; see ``live.connectivity`` for the rules."""
 

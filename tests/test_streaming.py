@@ -104,12 +104,13 @@ def test_connectivity(spark, sf_dir, stream):
     assert batch.filter("down").count() > 0
 
 
-def test_game_expiry(spark, sf_dir, stream):
+@pytest.mark.parametrize("form", [state.expiring_games, state.expiring_in_buckets])
+def test_game_expiry(spark, sf_dir, stream, form):
     """Timers report exactly the games that ended before the watermark."""
     state.use_rocksdb(spark)
     start = F.unix_millis("ts") - 3 * 3600 * 1000
     updates = stream.select(F.col("event_id").alias("game_id"), start.alias("start_ms"), "ts")
-    got = {r["game_id"]: r["expired_ms"] for r in drain(state.expiring_games(updates), "append").collect()}
+    got = {r["game_id"]: r["expired_ms"] for r in drain(form(updates), "append").collect()}
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     events = tables.events(spark, sf_dir).select("event_id", millis).collect()
     half_hour = 30 * 60 * 1000
@@ -118,6 +119,33 @@ def test_game_expiry(spark, sf_dir, stream):
     assert got
 
 
+@pytest.mark.parametrize("form", [state.expiring_games, lambda df: state.expiring_in_buckets(df, 2)])
+def test_expiry_follows_moved_and_lost_starts(spark, tmp_path, form):
+    """Batch after batch: a start moves, another gets lost, a third one never was known."""
+    state.use_rocksdb(spark)
+    hour, day = 3600_000, 24 * 3600_000  # event time starts after the first watermark
+    batches = [
+        [(1, 0, 0), (2, 0, 0), (3, 0, None), (4, 0, 1)],
+        [(1, 1, 9), (2, 1, None)],  # the first game starts nine hours later
+        [(9, 6, 100)],  # event time passes the ends of 2 and 4
+        [(9, 20, 100)],  # and that of 1
+    ]
+    feed = str(tmp_path / "feed")
+    for i, rows in enumerate(batches):
+        rows = [(g, day + at * hour, None if s is None else day + s * hour) for g, at, s in rows]
+        df = spark.createDataFrame(rows, "game_id long, at long, start_ms long")
+        df.select("game_id", F.timestamp_millis("at").alias("ts"), "start_ms").coalesce(1).write.mode("append").parquet(feed)
+        # The file source goes by modification time.
+        newest = max(Path(feed).glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + i * 60,) * 2)
+    stream = spark.readStream.schema("game_id long, ts timestamp, start_ms long").option("maxFilesPerTrigger", 1).parquet(feed)
+    target = str(tmp_path / "over")
+    sinks.finish(form(stream).writeStream.format("parquet").option("path", target), str(tmp_path / "checkpoint"))
+    got = sorted(tuple(r) for r in spark.read.schema("game_id long, expired_ms long").parquet(target).collect())
+    end = day + state.GAME_MILLIS
+    assert got == [(1, end + 9 * hour), (2, end), (4, end + hour)]
+
+
 def test_upsert_keeps_the_newest_row(spark, sf_dir, stream, tmp_path):
     target = str(tmp_path / "state")
     quotes = stream_quotes(stream).withColumn("part", F.col("game_id") % 3)
