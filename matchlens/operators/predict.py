@@ -164,7 +164,7 @@ def ridge_ablation(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
 
 def predicted_scores(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     """``game_id, pred_home, pred_away`` for the last slice, by ridge on all earlier ones."""
-    sliced = with_folds(rows, folds)
+    sliced = written(with_folds(rows, folds), "slices")  # read for the sums and for the last slice
     slices = gram.gram_sums(sliced, ALL_FEATURES, SCORES, "fold")
     earlier = [slices[s] for s in slices if s < folds]
     last = sliced.filter(F.col("fold") == folds)
