@@ -1,4 +1,6 @@
-"""Batch forms of the streaming operators."""
+"""Streaming operators in their batch form, and as streams running to a table (``live_``)."""
+
+import time
 
 from pyspark.sql import functions as F
 
@@ -170,6 +172,99 @@ SELECT * FROM ({CHECKS["stream_session"]})
 WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
 
 
+def finished(stream, root, out):
+    """The rows that a stream has appended to a table by its end."""
+    sinks.finish(stream.writeStream.format("parquet").option("path", f"{root}/{out}"), f"{root}/checkpoint_{out}")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/{out}")
+
+
+def closed_windows(windows):
+    return windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def live_tumbling(spark, sf_dir):
+    """Hours that the watermark has closed."""
+    root = new_root(spark)
+    events = tables.events(spark, sf_dir).select("ts", "event_type")
+    stream = stored_stream(spark, events, root, "ts").withWatermark("ts", live.WATERMARK)
+    return closed_windows(finished(live.tumbling_counts(stream), root, "hours"))
+
+
+QUERIES["live_tumbling"] = live_tumbling
+CHECKS["live_tumbling"] = f"""
+SELECT * FROM ({CHECKS["stream_tumbling"]}) WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+
+
+def live_sliding(spark, sf_dir):
+    """Price ranges of the sliding hours that the watermark has closed."""
+    root = new_root(spark)
+    quotes = tables.quotes(spark, sf_dir).select("quote_id", "quote_ts", "ml_home", "ml_away")
+    stream = stored_stream(spark, quotes, root, "quote_ts").withWatermark("quote_ts", live.WATERMARK)
+    return closed_windows(finished(live.sliding_odds(stream), root, "ranges"))
+
+
+QUERIES["live_sliding"] = live_sliding
+CHECKS["live_sliding"] = CHECKS["stream_sliding"].rstrip() + """
+HAVING w + INTERVAL 1 HOUR <= (SELECT max(quote_ts) - INTERVAL 10 MINUTE FROM quotes)"""
+
+
+def live_scored(spark, sf_dir):
+    """Quotes scored against the model as they arrive."""
+    root = new_root(spark)
+    quotes = stored_stream(spark, tables.quotes(spark, sf_dir), root, "quote_ts")
+    scored = live.live_edges(quotes, tables.games(spark, sf_dir)).select("quote_id", "game_id", "side", "tier", "edge_pct")
+    return finished(scored, root, "scored").withColumn("edge_pct", F.round("edge_pct", 6))
+
+
+QUERIES["live_scored"] = live_scored
+CHECKS["live_scored"] = CHECKS["live_edges"]
+
+
+def live_connectivity(spark, sf_dir):
+    """Failures in a row of every probe that the watermark has passed, whatever order probes arrive in."""
+    root = new_root(spark)
+    probes = tables.probes(spark, sf_dir).select("user_id", "ts", "event_id", "outcome", "soft_online")
+    before = state.use_rocksdb(spark)
+    try:
+        counted = state.connectivity_stream(stored_stream(spark, probes, root, "ts"))
+        return finished(counted, root, "counted").drop("ts")
+    finally:
+        state.use_store(spark, before)
+
+
+QUERIES["live_connectivity"] = live_connectivity
+CHECKS["live_connectivity"] = CHECKS["consecutive_failures"].replace(
+    "SELECT user_id, event_id, CAST", "SELECT user_id, event_id, fails, down FROM (SELECT user_id, event_id, ts, CAST", 1
+) + """)
+WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM probes)"""
+
+
+def live_forgotten(spark, sf_dir):
+    """Each day's loads come twice; days of a dataset with a second to live are new again, others known."""
+    root, seconds = new_root(spark), {"odds": 1, "default": 3600}
+    dataset = F.when(F.col("event_id") % 2 == 0, "odds").otherwise("weather").alias("dataset")
+    loads = tables.events(spark, sf_dir).select(dataset, F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    before = state.use_rocksdb(spark)
+    try:
+        for _ in range(2):
+            loads.write.mode("append").parquet(f"{root}/feed")
+            stream = spark.readStream.schema(loads.schema).parquet(f"{root}/feed")
+            with state.only_with_rows(spark):
+                out = finished(state.arrivals(stream, "day", seconds), root, "loads")
+            time.sleep(seconds["odds"])
+    finally:
+        state.use_store(spark, before)
+    return out
+
+
+QUERIES["live_forgotten"] = live_forgotten
+CHECKS["live_forgotten"] = """
+SELECT dataset, day, came, CASE WHEN dataset = 'odds' THEN came ELSE came * turn END AS loads,
+       dataset = 'odds' OR turn = 1 AS is_new
+FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'odds' ELSE 'weather' END AS dataset, strftime(ts, '%Y-%m-%d') AS day, count(*) AS came
+      FROM events GROUP BY ALL), (VALUES (1), (2)) t(turn)"""
+
+
 def start_updates(spark, sf_dir):
     """Each game a day before its start; every third one moves, every fifth one later loses its start."""
     games = tables.replayed_starts(tables.games(spark, sf_dir))

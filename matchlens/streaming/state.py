@@ -1,11 +1,12 @@
-"""Custom per-key state: game expiry timers and the failure counter.
+"""Custom per-key state: game expiry timers, the failure counter, keys that are forgotten in time.
 
-Both need the RocksDB state store (``use_rocksdb``). State is a few numbers
-per key, whatever the number of rows.
+All need the RocksDB state store (``use_rocksdb``). State is a few numbers per
+key, and for the failure counter the rows that the watermark has not passed.
 """
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from matchlens.streaming.live import FAILURES, GRACE_SECONDS, WATERMARK
+from matchlens.streaming.live import FAILURES, FRESHNESS, GRACE_SECONDS, WATERMARK
 
 # Workers get these classes whole, so they need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,6 +41,18 @@ def use_store(spark: SparkSession, provider: str | None) -> None:
         spark.conf.set(STORE, provider)
 
 
+@contextmanager
+def only_with_rows(spark: SparkSession):
+    """Streams started here run no batch without rows; on processing time such batches would never end."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class GameExpiry(StatefulProcessor):
     """Sets a timer 3.5 hours after each start and reports the game when it fires.
 
@@ -166,36 +179,162 @@ def expiring_in_buckets(
 
 
 class FailureCounter(StatefulProcessor):
-    """Counts failures in a row; see ``live.connectivity`` for the rules."""
+    """Counts failures in a row in order of event time; see ``live.connectivity`` for the rules.
+
+    Probes wait in slices of event time until the watermark has passed them, and
+    are then counted slice by slice, so a user with most of the rows never has
+    more than one slice in memory. With ``idle`` seconds, a user who sends
+    nothing for so long is forgotten and starts anew.
+    """
+
+    def __init__(self, idle: int | None = None, slice_seconds: int = 3600):
+        self.idle, self.slice = idle, slice_seconds * 1_000_000
 
     def init(self, handle):
-        self.state = handle.getValueState("state", "fails long, down boolean, first double")
+        self.handle = handle
+        self.state = handle.getValueState("state", "fails long, down boolean, first long, last long")
+        self.waiting = handle.getMapState(
+            "waiting", "slice long", "at array<long>, id array<long>, kind array<int>, online array<boolean>"
+        )
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int | None) -> None:
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is not None and (at is None or at < before):
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.timer.clear()
+        elif before is None or at < before:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
+
+    def _wait(self, number: int, rows) -> None:
+        kept = self.waiting.getValue((number,)) if self.waiting.containsKey((number,)) else ([], [], [], [])
+        self.waiting.updateValue((number,), tuple(list(old) + new.tolist() for old, new in zip(kept, rows)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        probes = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        seconds = probes["ts"].astype("datetime64[us]").astype("int64") / 1e6
+        earliest = None
+        for batch in rows:
+            at = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            kind = (batch["outcome"] == "ok").to_numpy() * 1 + (batch["outcome"] == "fail").to_numpy() * 2
+            # Without the browser's signal nothing goes down.
+            online = batch["soft_online"].isna().to_numpy() | (batch["soft_online"] == True).to_numpy()  # noqa: E712
+            columns = (at, batch["event_id"].to_numpy(), kind, online)
+            for number in np.unique(at // self.slice).tolist():
+                here = at // self.slice == number
+                self._wait(number, [c[here] for c in columns])
+            first = -(-int(at.min()) // 1000)
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest)
+        return iter(())
+
+    def _counted(self, at, kind, online):
+        """Failures in a row and the verdict after each probe, from the state left before; scans, no loop."""
         saved = self.state.get() if self.state.exists() else None
-        fails, down, first = saved or (0, False, float(seconds.iloc[0]))
-        out = []
-        for at, outcome, online in zip(seconds, probes["outcome"], probes["soft_online"]):
-            if outcome == "ok":
-                fails, down = 0, False
-            elif outcome == "fail":
-                fails += 1
-            down = down or (fails >= FAILURES and not online and at - first >= GRACE_SECONDS)
-            out.append((fails, down))
-        self.state.update((int(fails), bool(down), float(first)))
-        result = probes[["user_id", "ts", "event_id"]].reset_index(drop=True)
-        yield result.assign(fails=[f for f, _ in out], down=[bool(d) for _, d in out])
+        fails, down, first, _ = saved or (0, False, int(at[0]), 0)
+        place, ok = np.arange(len(at)), kind == 1
+        total = fails + np.cumsum(kind == 2)
+        # The total only grows, so its largest value at a success is that of the last one.
+        counts = total - np.maximum.accumulate(np.where(ok, total, 0))
+        trips = (counts >= FAILURES) & ~online & ((at - first) / 1e6 >= GRACE_SECONDS)
+        reset = np.maximum.accumulate(np.where(ok, place, -1))
+        tripped = np.maximum.accumulate(np.where(trips, place, -1))
+        downs = (tripped > reset) | ((reset < 0) & bool(down))
+        self.state.update((int(counts[-1]), bool(downs[-1]), int(first), int(at[-1])))
+        return counts, downs
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.timer.clear()
+        left = None
+        for number in sorted(k[0] for k in self.waiting.keys()):
+            if number * self.slice > now * 1000:
+                left = number
+                break
+            columns = [np.asarray(c) for c in self.waiting.getValue((number,))]
+            self.waiting.removeKey((number,))
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            ready = int(np.searchsorted(columns[0], now * 1000, side="right"))
+            if ready < len(order):
+                self._wait(number, [c[ready:] for c in columns])
+                left = number
+            if ready:
+                at, ids, kind, online = (c[:ready] for c in columns)
+                counts, downs = self._counted(at, kind, online)
+                yield pd.DataFrame(
+                    {"user_id": key[0], "ts": at.astype("datetime64[us]"), "event_id": ids, "fails": counts, "down": downs}
+                )
+            if left is not None:
+                break
+        if left is not None:
+            self._wake(-(-int(min(self.waiting.getValue((left,))[0])) // 1000))
+        elif self.idle is not None and self.state.exists():
+            over = self.state.get()[3] // 1000 + self.idle * 1000
+            if over <= now:
+                self.state.clear()
+            else:
+                self._wake(over)
 
     def close(self):
         pass
 
 
-def connectivity_stream(probes: DataFrame) -> DataFrame:
-    return probes.groupBy("user_id").transformWithStateInPandas(
-        FailureCounter(),
-        "user_id long, ts timestamp, event_id long, fails long, down boolean",
-        outputMode="Update",
-        timeMode="None",
+def connectivity_stream(
+    probes: DataFrame, delay: str = WATERMARK, idle: int | None = None, slice_seconds: int = 3600
+) -> DataFrame:
+    """``live.connectivity`` of a stream, in order of event time, as the watermark passes each probe."""
+    return (
+        probes.filter("ts IS NOT NULL")
+        .withWatermark("ts", delay)
+        .groupBy("user_id")
+        .transformWithStateInPandas(
+            FailureCounter(idle, slice_seconds),
+            "user_id long, ts timestamp, event_id long, fails long, down boolean",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+
+
+class Arrivals(StatefulProcessor):
+    """Counts the rows of a key since it was last new; the state store forgets keys that are no longer fresh."""
+
+    def __init__(self, seconds: dict[str, float], name: str):
+        self.seconds, self.name = seconds, name
+
+    def init(self, handle):
+        # Each dataset has its own time to live.
+        self.seen = {
+            dataset: handle.getValueState(f"seen_{dataset}", "loads long", ttlDurationMs=int(seconds * 1000))
+            for dataset, seconds in self.seconds.items()
+        }
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get(key[0], self.seen["default"])
+        before = seen.get()
+        came = sum(len(batch) for batch in rows)
+        total = came + (before[0] if before else 0)
+        # Writing starts the time to live again.
+        seen.update((total,))
+        yield pd.DataFrame(
+            {"dataset": [key[0]], self.name: [key[1]], "came": [came], "loads": [total], "is_new": [before is None]}
+        )
+
+    def close(self):
+        pass
+
+
+def arrivals(loads: DataFrame, key: str, seconds: dict[str, float] = FRESHNESS) -> DataFrame:
+    """For each batch of a stream and each ``dataset`` and ``key`` in it: rows that ``came``, and ``loads`` in all.
+
+    A key without rows for its dataset's freshness has left the state, so it
+    ``is_new`` when it comes again. Time is that of processing, so a stream that
+    is to end (``availableNow``) has to be started within ``only_with_rows``.
+    """
+    slim = loads.select("dataset", key)
+    schema = f"dataset string, `{key}` {slim.schema[key].dataType.simpleString()}, came long, loads long, is_new boolean"
+    return slim.groupBy("dataset", key).transformWithStateInPandas(
+        Arrivals(seconds, key), schema, outputMode="Append", timeMode="ProcessingTime"
     )

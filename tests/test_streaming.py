@@ -90,20 +90,41 @@ def test_live_edges(spark, sf_dir, stream):
     assert got == as_set(live.live_edges(tables.quotes(spark, sf_dir), games).select(columns))
 
 
-def test_connectivity(spark, sf_dir, stream):
-    state.use_rocksdb(spark)
+def probes_of(stream):
     kind = F.col("event_type")
-    probes = stream.select(
+    return stream.select(
         "user_id", "ts", "event_id",
         F.when(kind.isin("error", "click"), "fail").when(kind == "signup", "abort").otherwise("ok").alias("outcome"),
         (F.col("event_id") % 3 != 0).alias("soft_online"),
     )
-    got = drain(state.connectivity_stream(probes), "update").select("event_id", "fails", "down")
-    batch = live.connectivity(tables.probes(spark, sf_dir)).select("event_id", "fails", "down")
+
+
+def test_connectivity(spark, sf_dir, stream):
+    """Batch after batch, all that the watermark has passed."""
+    state.use_rocksdb(spark)
+    got = drain(state.connectivity_stream(probes_of(stream)), "append").select("event_id", "fails", "down")
+    batch = live.connectivity(tables.probes(spark, sf_dir))
+    passed = batch.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTE")).first()[0]
+    batch = batch.filter(F.col("ts") <= F.lit(passed)).select("event_id", "fails", "down")
     assert as_set(got) == as_set(batch)
     assert batch.filter("down").count() > 0
 
 
+def test_connectivity_of_one_user_with_all_rows(spark, sf_dir, stream):
+    """Short slices and null signals."""
+    state.use_rocksdb(spark)
+    one = probes_of(stream).withColumns(
+        {"user_id": F.lit(1).cast("long"), "soft_online": F.when(F.col("event_id") % 7 != 0, F.col("soft_online"))}
+    )
+    got = drain(state.connectivity_stream(one, slice_seconds=60), "append").select("event_id", "fails", "down")
+    rows = tables.probes(spark, sf_dir).withColumns(
+        {"user_id": F.lit(1).cast("long"), "soft_online": F.when(F.col("event_id") % 7 != 0, F.col("soft_online"))}
+    )
+    batch = live.connectivity(rows).withColumn("down", F.coalesce("down", F.lit(False)))
+    passed = batch.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTE")).first()[0]
+    assert as_set(got) == as_set(batch.filter(F.col("ts") <= F.lit(passed)).select("event_id", "fails", "down"))
+
+
 @pytest.mark.parametrize("form", [state.expiring_games, state.expiring_in_buckets])
 def test_game_expiry(spark, sf_dir, stream, form):
     """Timers report exactly the games that ended before the watermark."""
