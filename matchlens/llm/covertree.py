@@ -6,7 +6,7 @@ a dimension; together they form a space. Equal vectors are one node with a
 count. Each space is dealt to cells around pivots, taken from a bounded sample;
 cells are cut into chunks of bounded size. In each chunk a cover tree is grown:
 nested levels of centres whose radii halve, every vector within the radius of
-its centre. Two nodes whose centres lie further apart than both radii and the
+its centre; it is written with the chunk. Two nodes whose centres lie further apart than both radii and the
 chord cannot hold a link, and are dropped with all below them: first pairs of
 chunks, joined by space, then pairs of nodes inside two chunks. What is left is
 compared in blocks of doubles.
@@ -35,6 +35,8 @@ LEAF = 64
 # Pivots: at most so many in all and for each space, and so many bytes.
 PIVOTS, SPACE_PIVOTS, PIVOT_BYTES = 4096, 64, 16 << 20
 SLACK = 1e-9
+# Chords near zero are only known to about 1e-8: room for that in every bound, and the radius of a point.
+ROUNDING, POINT = 1e-7, 1e-6
 
 
 def unit(matrix):
@@ -44,36 +46,35 @@ def unit(matrix):
 
 
 def grow(points, leaf: int = LEAF):
-    """A cover tree over unit vectors: ``(centre, radius, members, children)``, root first.
+    """A cover tree over unit vectors: ``(order, nodes)``, root first.
 
     Each level covers a node's members by centres at half its radius, chosen
-    one after another among the members not yet covered.
+    one after another among the members not yet covered; the levels go on until
+    a node has few members or no extent. A node is a row ``centre, radius,
+    start, stop, first child, children``; its members are ``order[start:stop]``
+    and its children stand one after another.
     """
     import numpy as np
 
-    nodes = []
-
-    def node(members, centre, distance):
-        k = len(nodes)
-        radius = float(distance.max(initial=0.0))
-        nodes.append([points[centre], radius, members, []])
-        if len(members) > leaf and radius > 0:
-            half, rest, children = radius / 2, np.arange(len(members)), []
+    order = np.arange(len(points))
+    nodes = [[0, float(chords(points, points[:1]).max()), 0, len(points), 0, 0]]
+    at = 0
+    while at < len(nodes):
+        _, radius, start, stop, _, _ = nodes[at]
+        if stop - start > leaf and radius > POINT:
+            rest, place = order[start:stop].copy(), start
+            nodes[at][4] = len(nodes)
             while len(rest):
-                d = chords(points[members[rest]], points[members[rest[0]]][None])[:, 0]
-                near = d <= half
+                d = chords(points[rest], points[rest[:1]])[:, 0]
+                near = d <= radius / 2
                 near[0] = True
-                children.append((members[rest[near]], members[rest[0]], d[near]))
-                rest = rest[~near]
-            # A level that sets nearly every member apart prunes nothing.
-            if len(children) * 4 <= len(members):
-                nodes[k][3] = [node(*c) for c in children]
-        return k
-
-    if len(points):
-        everything = np.arange(len(points))
-        node(everything, 0, chords(points, points[:1])[:, 0])
-    return nodes
+                some = rest[near]
+                nodes.append([int(rest[0]), float(d[near].max()), place, place + len(some), 0, 0])
+                order[place : place + len(some)] = some
+                place, rest = place + len(some), rest[~near]
+            nodes[at][5] = len(nodes) - nodes[at][4]
+        at += 1
+    return order, np.array(nodes)
 
 
 def chords(a, b):
@@ -83,31 +84,52 @@ def chords(a, b):
 
 
 def linked(a, tree_a, b, tree_b, cosine: float, same: bool):
-    """Index pairs of linked vectors of two chunks; with ``same``, each unordered pair once."""
+    """Index pairs of linked vectors of two chunks; with ``same``, each unordered pair once.
+
+    The children of two nodes are held against each other at once, and only the
+    pairs whose balls come near enough are followed.
+    """
     import numpy as np
 
-    reach, left, right = math.sqrt(2 - 2 * cosine) + SLACK, [], []
-    todo = [(0, 0)] if tree_a and tree_b else []
+    reach, left, right = math.sqrt(2 - 2 * cosine) + ROUNDING, [], []
+    (order_a, nodes_a), (order_b, nodes_b) = tree_a, tree_b
+
+    def below(nodes, i, open_):
+        """The children of a node that is opened, else the node itself."""
+        return np.arange(int(nodes[i, 4]), int(nodes[i, 4] + nodes[i, 5])) if open_ else np.array([i])
+
+    todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
-        ca, ra, ma, ka = tree_a[i]
-        cb, rb, mb, kb = tree_b[j]
-        if not (same and i == j) and chords(ca[None], cb[None])[0, 0] > ra + rb + reach:
-            continue
-        if same and i == j and ka:
-            todo += [(x, y) for n, x in enumerate(ka) for y in ka[n:]]
-        elif ka and (ra >= rb or not kb):
-            todo += [(x, j) for x in ka]
-        elif kb:
-            todo += [(i, y) for y in kb]
-        else:
-            near = a[ma] @ b[mb].T >= cosine - SLACK
+        kids_a, kids_b = nodes_a[i, 5] > 0, nodes_b[j, 5] > 0
+        if kids_a or kids_b:
+            # Nodes of like size are opened together, else the larger one alone.
+            wide_a, wide_b = nodes_a[i, 1], nodes_b[j, 1]
+            x = below(nodes_a, i, kids_a and (wide_a * 2 >= wide_b or not kids_b))
+            y = below(nodes_b, j, kids_b and (wide_b * 2 >= wide_a or not kids_a))
+            apart = chords(a[nodes_a[x, 0].astype(int)], b[nodes_b[y, 0].astype(int)])
+            near = apart <= nodes_a[x, 1][:, None] + nodes_b[y, 1] + reach
             if same and i == j:
-                near &= np.tri(len(ma), k=-1, dtype=bool).T
-            x, y = np.nonzero(near)
-            if len(x):
-                left.append(ma[x])
-                right.append(mb[y])
+                near = np.triu(near)
+            k, m = np.nonzero(near)
+            k, m = x[k], y[m]
+            # Balls of a single vector are pairs already.
+            single = (nodes_a[k, 3] - nodes_a[k, 2] == 1) & (nodes_b[m, 3] - nodes_b[m, 2] == 1)
+            p = order_a[nodes_a[k[single], 2].astype(int)]
+            q = order_b[nodes_b[m[single], 2].astype(int)]
+            other = p != q if same else slice(None)
+            left.append(p[other])
+            right.append(q[other])
+            todo += zip(k[~single].tolist(), m[~single].tolist())
+            continue
+        ma = order_a[int(nodes_a[i, 2]) : int(nodes_a[i, 3])]
+        mb = order_b[int(nodes_b[j, 2]) : int(nodes_b[j, 3])]
+        near = a[ma] @ b[mb].T >= cosine - SLACK
+        if same and i == j:
+            near &= np.tri(len(ma), k=-1, dtype=bool).T
+        x, y = np.nonzero(near)
+        left.append(ma[x])
+        right.append(mb[y])
     if not left:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     return np.concatenate(left), np.concatenate(right)
@@ -146,6 +168,12 @@ def _matrix(packed: bytes, dim: int):
     return np.frombuffer(packed, dtype="<f8").reshape(-1, dim)
 
 
+def _tree(order: bytes, nodes: bytes):
+    import numpy as np
+
+    return np.frombuffer(order, dtype="<i4"), np.frombuffer(nodes, dtype="<f8").reshape(-1, 6)
+
+
 def _pair_links(cosine: float):
     """Links between the two chunks of each row."""
 
@@ -158,7 +186,8 @@ def _pair_links(cosine: float):
                 same = r.chunk_a == r.chunk_b
                 raw_a, raw_b = _matrix(r.vectors_a, r.dim), _matrix(r.vectors_b, r.dim)
                 a, b = unit(raw_a), unit(raw_b)
-                x, y = linked(a, grow(a), b, grow(b), cosine, same)
+                trees = [_tree(r.order_a, r.nodes_a), _tree(r.order_b, r.nodes_b)]
+                x, y = linked(a, trees[0], b, trees[1], cosine, same)
                 ok = exact(raw_a[x], raw_b[y], cosine)
                 x, y = x[ok], y[ok]
                 if not len(x):
@@ -177,7 +206,7 @@ def _pair_links(cosine: float):
 
 
 def _packed(frame):
-    """One row for a chunk: its vectors, and a ball around them."""
+    """One row for a chunk: its vectors, a ball around them, and their tree."""
     import numpy as np
     import pandas as pd
 
@@ -187,11 +216,12 @@ def _packed(frame):
     length = np.sqrt((centre * centre).sum())
     centre = centre / length if length > 0 else points[0]
     radius = float(chords(points, centre[None]).max())
+    order, tree = grow(points)
     head = frame.iloc[0]
     return pd.DataFrame(
         [(head["space"], head["chunk"], raw.shape[1], centre.tolist(), radius, raw.tobytes(),
-          frame["node"].tolist(), frame["copies"].tolist())],
-        columns=["space", "chunk", "dim", "centre", "radius", "vectors", "ids", "counts"],
+          frame["node"].tolist(), frame["copies"].tolist(), order.astype("<i4").tobytes(), tree.astype("<f8").tobytes())],
+        columns=["space", "chunk", "dim", "centre", "radius", "vectors", "ids", "counts", "order", "nodes"],
     )
 
 
@@ -277,7 +307,7 @@ def near_duplicates(
         .applyInPandas(
             _packed,
             "space string, chunk string, dim int, centre array<double>, radius double, "
-            "vectors binary, ids array<long>, counts array<long>",
+            "vectors binary, ids array<long>, counts array<long>, order binary, nodes binary",
         ),
         "chunks",
     )
@@ -285,7 +315,7 @@ def near_duplicates(
     a, b = ball.alias("a"), ball.alias("b")
     dot = F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - 2 * dot))
-    reach = math.sqrt(2 - 2 * cosine) + 2 * SLACK
+    reach = math.sqrt(2 - 2 * cosine) + ROUNDING
     pairs = (
         a.join(b, F.col("a.space") == F.col("b.space"))
         .filter(F.col("a.chunk") <= F.col("b.chunk"))
@@ -295,10 +325,12 @@ def near_duplicates(
     first = chunks.select(
         F.col("chunk").alias("chunk_a"), "dim", F.col("vectors").alias("vectors_a"),
         F.col("ids").alias("ids_a"), F.col("counts").alias("counts_a"),
+        F.col("order").alias("order_a"), F.col("nodes").alias("nodes_a"),
     )
     second = chunks.select(
         F.col("chunk").alias("chunk_b"), F.col("vectors").alias("vectors_b"),
         F.col("ids").alias("ids_b"), F.col("counts").alias("counts_b"),
+        F.col("order").alias("order_b"), F.col("nodes").alias("nodes_b"),
     )
     tasks = pairs.join(first, "chunk_a").join(second, "chunk_b").repartition("chunk_a", "chunk_b")
     links = written(tasks.mapInPandas(_pair_links(cosine), "a long, b long, n long"), "links")
