@@ -4,9 +4,13 @@ Base kinds (e-mail, IPv4, card, phone) have exact rules. Their matches are seed
 instances. Every occurrence of an identifier-like string (digits mixed into six
 or more characters) has lexical patterns: the word before it, the word after
 it, both, and the label it is glued to (``key=``). Patterns and instances form a
-graph that Spark scores in turns: a pattern is as sure as the instances it is
-seen with, an instance as sure as its patterns together. Patterns that are sure
-enough mark instances no base rule knows, in kind ``id``.
+graph that Spark scores in turns. What speaks against a pattern is that its
+words mostly stand beside ordinary words, and that it holds instances found
+unsure. An instance is as sure as its patterns together, as far as its
+occurrences have a sure pattern; before the first turn an unseen instance
+speaks neither for nor against. So a label finds any number of unseen
+identifiers, while ``of`` and ``in`` find none. Instances that are sure enough
+are marked in kind ``id``.
 
 Base spans always stay. Found spans never overlap them. Null texts count as
 empty. Repeated rows get equal spans. Extra columns stay; those named like a
@@ -157,41 +161,86 @@ def marked(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     return written(rows if keep_text else rows.drop(text), "marked")
 
 
-def scored(seen: DataFrame) -> DataFrame:
-    """Confidence of the instances that are no seeds, after ``ROUNDS`` turns over the graph.
-
-    ``seen`` has ``instance, seed, pattern``, one row for each occurrence.
+def ordinary(texts: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """``pattern, words``: how often the rarest context word of each pattern stands anywhere in the texts."""
+    tokens = texts.select(F.explode(F.split(F.col(text), r"(?U)\s+")).alias("token"))
+    plain = F.btrim(F.lower("token"), F.lit(".,;:!?()[]\"'")).alias("word")
+    label = F.regexp_extract(F.lower("token"), r"(?U)(\w+\W{1,3})\w", 1).alias("word")
+    kind, rest = F.substring_index("pattern", " ", 1), F.expr("substr(pattern, instr(pattern, ' ') + 1)")
+    glued = kind == "glued"
+    needed = written(
+        patterns.select(
+            "pattern", glued.alias("glued"), F.explode(F.when(glued, F.array(rest)).otherwise(F.split(rest, " "))).alias("word")
+        ),
+        "context_words",
+    )
+    words = needed.filter("NOT glued").select("word").distinct()
+    labels = needed.filter("glued").select("word").distinct()
+    counted = (
+        tokens.select(plain).join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("times"))
+        .withColumn("glued", F.lit(False))
+    )
+    glues = (
+        tokens.filter(F.col("token").rlike(r"(?U)\w\W")).select(label).join(labels, "word", "left_semi")
+        .groupBy("word").agg(F.count("*").alias("times")).withColumn("glued", F.lit(True))
+    )
+    found = needed.join(counted.unionByName(glues), ["glued", "word"], "left")
+    return found.groupBy("pattern").agg(F.min(F.coalesce("times", F.lit(0))).alias("words"))
+
+
+def scored(seen: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+    """Confidence of the instances after ``ROUNDS`` turns over the graph.
+
+    ``seen`` has ``instance, seed, patterns``, one row for each occurrence in ``texts``.
     """
     links = written(
-        seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern_links"
+        seen.select("instance", "seed", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "instance")
+        .agg(F.max("seed").alias("seed"), F.count("*").alias("n")),
+        "pattern_links",
+    )
+    # Seeds only come from the base rules, so patterns without enough of them never count.
+    supported = (
+        links.groupBy("pattern")
+        .agg(F.count_if("seed").alias("support"), F.sum("n").alias("filled"))
+        .filter(F.col("support") >= MIN_SUPPORT)
     )
-    instances = links.groupBy("instance").agg(F.max("seed").cast("double").alias("sure"))
-    instances = written(instances, "instances")
+    supported = written(supported, "supported")
+    others = F.greatest(F.lit(0), F.coalesce("words", F.lit(0)) - F.col("filled")).alias("others")
+    slots = supported.join(ordinary(texts, supported, text), "pattern", "left").select("pattern", others)
+    # Even if all of its instances were sure, a pattern with more ordinary words could not be.
+    most = F.col("filled") / (F.col("filled") + F.col("others") + SMOOTHING)
+    slots = written(
+        supported.join(slots, "pattern").filter(most >= MIN_PATTERN).select("pattern", "others"), "slots"
+    )
+    open_links = written(links.join(slots, "pattern"), "open_links")
+    times = seen.groupBy("instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"))
+    times = written(times.join(open_links.select("instance").distinct(), "instance", "left_semi"), "instances")
+    # Unknown instances have no confidence yet.
+    instances = times.select("instance", F.when(F.col("seed"), F.lit(1.0)).alias("sure"))
     for _ in range(ROUNDS):
-        known = links.join(instances, "instance")
+        known = open_links.join(instances, "instance")
+        # An instance that is sure enough speaks for its pattern, any other one against it.
+        good = F.sum(F.when(F.col("sure") >= MIN_INSTANCE, F.col("n") * F.col("sure")).otherwise(0.0))
+        bad = F.sum(F.when(F.col("sure") < MIN_INSTANCE, F.col("n") * (1 - F.col("sure"))).otherwise(0.0))
         patterns = (
-            known.groupBy("pattern")
-            .agg(
-                F.sum("sure").alias("sure_sum"),
-                F.count("*").alias("n"),
-                F.count_if(F.col("sure") >= MIN_INSTANCE).alias("support"),
-            )
-            .withColumn("confidence", F.col("sure_sum") / (F.col("n") + SMOOTHING))
-            .filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_PATTERN))
-            .select("pattern", "confidence")
+            known.groupBy("pattern", "others")
+            .agg(good.alias("good"), bad.alias("bad"))
+            .withColumn("confidence", F.col("good") / (F.col("good") + F.col("bad") + F.col("others") + SMOOTHING))
+            .select("pattern", F.when(F.col("confidence") >= MIN_PATTERN, F.col("confidence")).alias("confidence"))
         )
         # The chance that every one of its patterns errs, as a sum of logarithms.
         doubt = F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999))))
-        evidence = links.join(patterns, "pattern").groupBy("instance").agg(doubt.alias("doubt"))
+        evidence = (
+            open_links.join(patterns, "pattern")
+            .groupBy("instance")
+            .agg(doubt.alias("doubt"), F.max(F.when(F.col("confidence").isNotNull(), F.col("n"))).alias("covered"))
+        )
+        share = F.least(F.lit(1.0), F.col("covered") / F.col("times"))
+        sure = F.coalesce((F.lit(1.0) - F.exp("doubt")) * share, F.lit(0.0))
         instances = written(
-            links.groupBy("instance")
-            .agg(F.max("seed").cast("double").alias("sure"))
-            .join(evidence, "instance", "left")
-            .select(
-                "instance",
-                F.greatest(
-                    "sure", F.coalesce(F.lit(1.0) - F.exp("doubt"), F.lit(0.0))
-                ).alias("sure"),
+            times.join(evidence, "instance", "left").select(
+                "instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(sure).alias("sure")
             ),
             "instances",
         )
@@ -202,8 +251,7 @@ def with_spans(docs: DataFrame, text: str = "text", keep_text: bool = True) -> D
     """``docs`` with ``base`` and ``spans``, both ``array<struct<kind, start, end>>`` in order."""
     rows = marked(docs, text, keep_text)
     seen = rows.select("_row", F.explode("_seen").alias("s")).select("_row", "s.*")
-    by_pattern = seen.select("instance", "seed", F.explode("patterns").alias("pattern"))
-    sure = scored(by_pattern).filter(F.col("sure") >= MIN_INSTANCE).select("instance")
+    sure = scored(seen.select("instance", "seed", "patterns"), docs, text).filter(F.col("sure") >= MIN_INSTANCE).select("instance")
     new = (
         seen.filter("NOT seed")
         .join(sure, "instance")
