@@ -1,14 +1,18 @@
 """Team, player and advanced tables."""
 
+import uuid
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.functions.times import default_season_of
-from matchlens.operators import features, joins, reconcile, reports
+from matchlens.operators import features, joins, reconcile, reports, search
 from matchlens.operators.reports import Sort
 from matchlens.plans import feature_queries as fq
 from matchlens.plans.views import check_sql, fixed
+from matchlens.session import shared_dir
 from matchlens.sources import tables
 
 QUERIES, CHECKS = {}, {}
@@ -217,6 +221,30 @@ FROM players JOIN supplier ON player_id = s_suppkey JOIN nation ON s_nationkey =
 WHERE lower(s_name) LIKE '%#00000%'""", players=fq.PLAYERS_SQL)
 
 
+TERMS = ("SUPPLIER#", "#00000001", "no such name", "9", "")
+
+
+def player_search(spark, sf_dir):
+    """Name searches through a stored posting table: all, some and no players, and terms too short for it."""
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    players = player_stats(spark, sf_dir)
+    search.write_postings(players, path, "player_id")
+    found = [
+        search.search_postings(spark, players, path, term, "player_id").select(
+            F.lit(term).alias("term"), "sport", "season", "player_id", "player_name"
+        )
+        for term in TERMS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+QUERIES["player_search"] = player_search
+CHECKS["player_search"] = check_sql(f"""
+SELECT term, sport, season, player_id, s_name AS player_name
+FROM players JOIN supplier ON player_id = s_suppkey, (VALUES {", ".join(f"('{t}')" for t in TERMS)}) v(term)
+WHERE contains(lower(s_name), lower(term))""", players=fq.PLAYERS_SQL)
+
+
 def nfl_adv_merge(spark, sf_dir):
     """Advanced rows completed from wrapped lookups and the flat summary.
 
