@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from matchlens.functions import odds, texts
 from matchlens.functions.numbers import number_text
 from matchlens.operators import edge, injuries, joins
-from matchlens.plans import injury_queries, slate_queries
+from matchlens.plans import feature_queries, injury_queries, report_queries, slate_queries
 from matchlens.plans.views import check_sql
 from matchlens.session import shared_dir
 from matchlens.sources import deltas, readers, sinks, tables
 
 QUERIES, CHECKS = {}, {}
 
+SEASON = 1995
+
 
 def new_root(spark) -> str:
     return f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
@@ -68,6 +70,28 @@ QUERIES["read_injuries_playing"] = read_injuries_playing
 CHECKS["read_injuries_playing"] = injury_queries.CHECKS["injuries_semi"]
 
 
+def read_player_stats(spark, sf_dir):
+    """One stored season of players, found by name, with the partitions of others pruned."""
+    root = new_root(spark)
+    stored = report_queries.player_stats(spark, sf_dir).withColumn("player_id", F.col("player_id").cast("string"))
+    counts = [c for c, kind in stored.dtypes if kind == "bigint"]
+    stored = stored.withColumns({c: F.col(c).cast("double") for c in counts})
+    sinks.write_partitions(stored, f"{root}/player_stats", ["sport", "season"])
+    found = readers.read_player_stats(spark, root, "NBA", SEASON, "#00000001")
+    return found.select(
+        F.col("player_id").cast("long").alias("player_id"), "player_name", "team_name", "season", "points", "games_played",
+        F.round("three_pct", 6).alias("three_pct"),
+    )
+
+
+QUERIES["read_player_stats"] = read_player_stats
+CHECKS["read_player_stats"] = check_sql(f"""
+SELECT player_id, s_name AS player_name, n_name AS team_name, season, CAST(points AS DOUBLE) AS points,
+       CAST(games_played AS DOUBLE) AS games_played, round(three_pct, 6) AS three_pct
+FROM players JOIN supplier ON player_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+WHERE season = {SEASON} AND contains(lower(s_name), '#00000001')""", players=feature_queries.PLAYERS_SQL)
+
+
 def read_weather_labels(spark, sf_dir):
     """Stored readings at the home teams of the stored schedule."""
     root = new_root(spark)
