@@ -1,7 +1,8 @@
 """Custom per-key state: game expiry timers, the failure counter, keys that are forgotten in time.
 
 All need the RocksDB state store (``use_rocksdb``). State is a few numbers per
-key, and for the failure counter the rows that the watermark has not passed.
+key, and for the failure counter the rows that the watermark has not passed,
+packed into pieces of many rows.
 """
 
 import sys
@@ -178,24 +179,35 @@ def expiring_in_buckets(
     )
 
 
-class FailureCounter(StatefulProcessor):
-    """Counts failures in a row in order of event time; see ``live.connectivity`` for the rules.
+# A probe that waits, and what is known of a user. Flags: 1 ok, 2 failed, 4 online, 8 without an id.
+PROBE = np.dtype([("user", "i8"), ("at", "i8"), ("id", "i8"), ("flags", "i1")])
+USER = np.dtype([("user", "i8"), ("fails", "i8"), ("down", "?"), ("first", "i8"), ("last", "i8")])
+OK, FAILED, ONLINE, NO_ID = 1, 2, 4, 8
+
+# Rows of a stored piece, and rows that are held before they are stored or counted.
+PIECE_ROWS, HELD_ROWS = 1 << 14, 1 << 17
+
 
-    Probes wait in slices of event time until the watermark has passed them, and
-    are then counted slice by slice, so a user with most of the rows never has
-    more than one slice in memory. With ``idle`` seconds, a user who sends
-    nothing for so long is forgotten and starts anew.
+class FailureCounter(StatefulProcessor):
+    """Counts failures in a row of all users of a bucket, in order of event time; see ``live.connectivity``.
+
+    Probes wait in pieces sorted by event time until the watermark has passed
+    them. The pieces are then merged by their first moments and counted, all
+    users at once, so a bucket or a user with most of the rows has only the
+    pieces in memory that overlap in time. The number of pieces goes by the
+    rows, not by users or hours. With ``idle`` seconds, a user who sends nothing
+    for so long is forgotten and starts anew. ``slice_seconds`` also cuts pieces
+    by event time.
     """
 
-    def __init__(self, idle: int | None = None, slice_seconds: int = 3600):
-        self.idle, self.slice = idle, slice_seconds * 1_000_000
+    def __init__(self, idle: int | None = None, slice_seconds: int | None = None):
+        self.idle, self.slice = idle, slice_seconds and slice_seconds * 1_000_000
 
     def init(self, handle):
         self.handle = handle
-        self.state = handle.getValueState("state", "fails long, down boolean, first long, last long")
-        self.waiting = handle.getMapState(
-            "waiting", "slice long", "at array<long>, id array<long>, kind array<int>, online array<boolean>"
-        )
+        self.state = handle.getValueState("state", "users binary")
+        self.waiting = handle.getMapState("waiting", "first long, last long, piece long", "rows binary")
+        self.stored = handle.getValueState("stored", "pieces long")
         self.timer = handle.getValueState("timer", "at long")
 
     def _wake(self, at: int | None) -> None:
@@ -208,94 +220,157 @@ class FailureCounter(StatefulProcessor):
             self.timer.update((at,))
             self.handle.registerTimer(at)
 
-    def _wait(self, number: int, rows) -> None:
-        kept = self.waiting.getValue((number,)) if self.waiting.containsKey((number,)) else ([], [], [], [])
-        self.waiting.updateValue((number,), tuple(list(old) + new.tolist() for old, new in zip(kept, rows)))
+    def _wait(self, rows) -> int:
+        """Stores rows as pieces; returns the first moment among them."""
+        rows = rows[np.argsort(rows["at"], kind="stable")]
+        cuts = np.arange(0, len(rows), PIECE_ROWS)
+        if self.slice:
+            number = rows["at"] // self.slice
+            cuts = np.union1d(cuts, np.flatnonzero(number[1:] != number[:-1]) + 1)
+        piece = self.stored.get()[0] if self.stored.exists() else 0
+        for part in np.split(rows, cuts[1:]):
+            self.waiting.updateValue((int(part["at"][0]), int(part["at"][-1]), piece), (part.tobytes(),))
+            piece += 1
+        self.stored.update((piece,))
+        return int(rows["at"][0])
+
+    def _taken(self, key):
+        rows = np.frombuffer(self.waiting.getValue(key)[0], dtype=PROBE)
+        self.waiting.removeKey(key)
+        return rows
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        held, size, firsts = [], 0, []
         for batch in rows:
-            at = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            kind = (batch["outcome"] == "ok").to_numpy() * 1 + (batch["outcome"] == "fail").to_numpy() * 2
-            # Without the browser's signal nothing goes down.
-            online = batch["soft_online"].isna().to_numpy() | (batch["soft_online"] == True).to_numpy()  # noqa: E712
-            columns = (at, batch["event_id"].to_numpy(), kind, online)
-            for number in np.unique(at // self.slice).tolist():
-                here = at // self.slice == number
-                self._wait(number, [c[here] for c in columns])
-            first = -(-int(at.min()) // 1000)
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake(earliest)
+            some = np.empty(len(batch), dtype=PROBE)
+            for name in PROBE.names:
+                some[name] = batch[name].to_numpy()
+            held.append(some)
+            size += len(some)
+            if size >= HELD_ROWS:
+                firsts.append(self._wait(np.concatenate(held)))
+                held, size = [], 0
+        if size:
+            firsts.append(self._wait(np.concatenate(held)))
+        if firsts:
+            self._wake(-(-min(firsts) // 1000))
         return iter(())
 
-    def _counted(self, at, kind, online):
-        """Failures in a row and the verdict after each probe, from the state left before; scans, no loop."""
-        saved = self.state.get() if self.state.exists() else None
-        fails, down, first, _ = saved or (0, False, int(at[0]), 0)
-        place, ok = np.arange(len(at)), kind == 1
-        total = fails + np.cumsum(kind == 2)
-        # The total only grows, so its largest value at a success is that of the last one.
-        counts = total - np.maximum.accumulate(np.where(ok, total, 0))
-        trips = (counts >= FAILURES) & ~online & ((at - first) / 1e6 >= GRACE_SECONDS)
-        reset = np.maximum.accumulate(np.where(ok, place, -1))
-        tripped = np.maximum.accumulate(np.where(trips, place, -1))
-        downs = (tripped > reset) | ((reset < 0) & bool(down))
-        self.state.update((int(counts[-1]), bool(downs[-1]), int(first), int(at[-1])))
-        return counts, downs
+    def _users(self):
+        return np.frombuffer(self.state.get()[0] if self.state.exists() else b"", dtype=USER)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         self.timer.clear()
-        left = None
-        for number in sorted(k[0] for k in self.waiting.keys()):
-            if number * self.slice > now * 1000:
-                left = number
-                break
-            columns = [np.asarray(c) for c in self.waiting.getValue((number,))]
-            self.waiting.removeKey((number,))
-            order = np.lexsort((columns[1], columns[0]))
-            columns = [c[order] for c in columns]
-            ready = int(np.searchsorted(columns[0], now * 1000, side="right"))
-            if ready < len(order):
-                self._wait(number, [c[ready:] for c in columns])
-                left = number
-            if ready:
-                at, ids, kind, online = (c[:ready] for c in columns)
-                counts, downs = self._counted(at, kind, online)
-                yield pd.DataFrame(
-                    {"user_id": key[0], "ts": at.astype("datetime64[us]"), "event_id": ids, "fails": counts, "down": downs}
-                )
-            if left is not None:
-                break
-        if left is not None:
-            self._wake(-(-int(min(self.waiting.getValue((left,))[0])) // 1000))
-        elif self.idle is not None and self.state.exists():
-            over = self.state.get()[3] // 1000 + self.idle * 1000
-            if over <= now:
-                self.state.clear()
-            else:
-                self._wake(over)
+        pieces = sorted(tuple(k) for k in self.waiting.keys())
+        due = [k for k in pieces if k[0] <= now * 1000]
+        left = [k[0] for k in pieces[len(due) : len(due) + 1]]
+        users, held, place = self._users(), np.empty(0, dtype=PROBE), 0
+        while place < len(due):
+            parts, size = [held], 0
+            while place < len(due) and size < max(HELD_ROWS, len(held)):
+                parts.append(self._taken(due[place]))
+                size, place = size + len(parts[-1]), place + 1
+            rows = np.concatenate(parts)
+            # What is not stored any more before this moment is complete.
+            end = due[place][0] if place < len(due) else now * 1000 + 1
+            passed = rows["at"] < end
+            ready, held = rows[passed], rows[~passed]
+            if len(ready):
+                users, out = counted(users, ready)
+                yield out.assign(user_id=None).astype({"user_id": "Int64"}) if key[1] else out
+        if len(held):
+            left.append(self._wait(held))
+        wakes = [-(-at // 1000) for at in left]
+        if self.idle is not None and len(users):
+            over = users["last"] // 1000 + self.idle * 1000
+            gone = over <= now
+            wakes += [int(at) for at in np.sort(over[~gone])[:1]]
+            if gone.any() and left:
+                # Whose probes still wait is not idle; these wake again with them.
+                waiting = [self.waiting.getValue(k)[0] for k in [tuple(k) for k in self.waiting.keys()]]
+                gone &= ~np.isin(users["user"], np.frombuffer(b"".join(waiting), dtype=PROBE)["user"])
+            users = users[~gone]
+        if len(users):
+            self.state.update((users.tobytes(),))
+        else:
+            self.state.clear()
+        if wakes:
+            self._wake(min(wakes))
 
     def close(self):
         pass
 
 
+def counted(users, rows):
+    """``users`` after ``rows``, and the failures in a row and the verdict after each; scans, no loop."""
+    no_id = (rows["flags"] & NO_ID) > 0
+    order = np.lexsort((rows["id"], ~no_id, rows["at"], rows["user"]))
+    rows, no_id = rows[order], no_id[order]
+    who, at, flags, place = rows["user"], rows["at"], rows["flags"], np.arange(len(rows))
+    new = np.concatenate([[True], who[1:] != who[:-1]])
+    starts, nth = np.flatnonzero(new), np.cumsum(new) - 1
+    ends = np.append(starts[1:], len(rows)) - 1
+    # What is known of the users of these rows.
+    own = np.zeros(len(starts), dtype=USER)
+    own["user"], own["first"] = who[starts], at[starts]
+    seat = np.searchsorted(users["user"], own["user"])
+    known = np.flatnonzero(seat < len(users))
+    known = known[users["user"][seat[known]] == own["user"][known]]
+    own[known] = users[seat[known]]
+    start = starts[nth]
+    failed, ok = (flags & FAILED) > 0, (flags & OK) > 0
+    total = np.cumsum(failed)
+    total += (own["fails"] - (total - failed)[starts])[nth]
+    # The last success and the last trip of the user up to each row, or the place before the user's first.
+    reset = np.maximum(np.maximum.accumulate(np.where(ok, place, -1)), start - 1)
+    none = reset < start
+    counts = total - np.where(none, 0, total[reset])
+    trips = (counts >= FAILURES) & ((flags & ONLINE) == 0) & ((at - own["first"][nth]) / 1e6 >= GRACE_SECONDS)
+    tripped = np.maximum.accumulate(np.where(trips, place, -1))
+    downs = (tripped > reset) | (none & own["down"][nth])
+    own["fails"], own["down"], own["last"] = counts[ends], downs[ends], at[ends]
+    rest = np.delete(users, seat[known])
+    users = np.concatenate([rest, own])
+    ids = pd.arrays.IntegerArray(rows["id"].copy(), no_id)
+    out = pd.DataFrame({"user_id": who, "at": at, "event_id": ids, "fails": counts, "down": downs})
+    return users[np.argsort(users["user"], kind="stable")], out
+
+
 def connectivity_stream(
-    probes: DataFrame, delay: str = WATERMARK, idle: int | None = None, slice_seconds: int = 3600
+    probes: DataFrame, delay: str = WATERMARK, idle: int | None = None, slice_seconds: int | None = None, buckets: int = 256
 ) -> DataFrame:
-    """``live.connectivity`` of a stream, in order of event time, as the watermark passes each probe."""
-    return (
+    """``live.connectivity`` of a stream, in order of event time, as the watermark passes each probe.
+
+    Users are dealt into ``buckets``, each with one state and one timer.
+    """
+    is_ = lambda c, value: F.coalesce(c, F.lit(False)).cast("int") * value
+    flags = (
+        is_(F.col("outcome") == "ok", OK) + is_(F.col("outcome") == "fail", FAILED)
+        # Without the browser's signal nothing goes down.
+        + is_(F.coalesce("soft_online", F.lit(True)), ONLINE) + is_(F.col("event_id").isNull(), NO_ID)
+    )
+    counted = (
         probes.filter("ts IS NOT NULL")
         .withWatermark("ts", delay)
-        .groupBy("user_id")
+        .select(
+            F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int").alias("bucket"),
+            F.col("user_id").isNull().alias("nobody"),
+            F.coalesce(F.col("user_id").cast("long"), F.lit(0)).alias("user"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+            F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("id"),
+            flags.alias("flags"),
+            "ts",
+        )
+        .groupBy("bucket", "nobody")
         .transformWithStateInPandas(
             FailureCounter(idle, slice_seconds),
-            "user_id long, ts timestamp, event_id long, fails long, down boolean",
+            "user_id long, at long, event_id long, fails long, down boolean",
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    return counted.select("user_id", F.timestamp_micros("at").alias("ts"), "event_id", "fails", "down")
 
 
 class Arrivals(StatefulProcessor):

@@ -4,6 +4,8 @@ import os
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,97 @@ def test_connectivity_of_one_user_with_all_rows(spark, sf_dir, stream):
     assert as_set(got) == as_set(batch.filter(F.col("ts") <= F.lit(passed)).select("event_id", "fails", "down"))
 
 
+def test_connectivity_state_goes_by_rows(spark, tmp_path):
+    """State entries grow neither with users nor with hours; rows without a user or an id count too."""
+    state.use_rocksdb(spark)
+    n = F.col("id")
+    rows = spark.range(9600).select(
+        F.when(n % 401 != 0, n % 401).alias("user_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + n * 9).alias("ts"),
+        F.when(n % 13 != 0, n).alias("event_id"),
+        F.element_at(
+            F.array(*map(F.lit, ["ok", "fail", "fail", "abort"])), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")
+        ).alias("outcome"),
+        F.when(n % 7 != 0, n % 3 == 0).alias("soft_online"),
+    )
+    rows.write.parquet(str(tmp_path / "feed"))
+    feed = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "feed"))
+    target = str(tmp_path / "out")
+    query = (
+        state.connectivity_stream(feed, buckets=4).writeStream.format("parquet").option("path", target)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    entries = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(entries) <= 5 * 8
+    columns = ["user_id", "ts", "event_id", "fails", "down"]
+    batch = live.connectivity(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    batch = batch.withColumns({"down": F.coalesce("down", F.lit(False)), "ts": F.col("ts").cast("timestamp")})
+    passed = batch.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTE")).first()[0]
+    assert as_set(spark.read.parquet(target).select(columns)) == as_set(
+        batch.filter(F.col("ts") <= F.lit(passed)).select(columns)
+    )
+    assert batch.filter("down AND user_id IS NULL").count() and batch.filter("event_id IS NULL").count()
+
+
+def test_pieces_are_merged_and_idle_users_forgotten(spark, tmp_path, monkeypatch):
+    """Many small overlapping pieces give the same counts; after an idle hour a user starts anew."""
+    monkeypatch.setattr(state, "PIECE_ROWS", 7)
+    monkeypatch.setattr(state, "HELD_ROWS", 20)
+    entries, values, timers = {}, {}, set()
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        exists = lambda self: self.name in values
+        get = lambda self: values[self.name]
+        update = lambda self, x: values.update({self.name: x})
+        clear = lambda self: values.pop(self.name, None)
+
+    class Map:
+        getValue = lambda self, k: entries[k]
+        updateValue = lambda self, k, v: entries.update({k: v})
+        removeKey = lambda self, k: entries.pop(k)
+        keys = lambda self: iter(list(entries))
+
+    class Handle:
+        getValueState = lambda self, name, schema: Value(name)
+        getMapState = lambda self, *a: Map()
+        registerTimer = lambda self, at: timers.add(at)
+        deleteTimer = lambda self, at: timers.discard(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    counter = state.FailureCounter(idle=3600)
+    counter.init(Handle())
+    made = np.random.default_rng(1)
+    rows = pd.DataFrame({
+        "user": made.integers(0, 5, 400), "at": made.integers(0, 60_000_000, 400), "id": np.arange(400),
+        "flags": made.choice([1, 2, 6, 0], 400),
+    })
+    assert not list(counter.handleInputRows((0, False), (rows[i : i + 45] for i in range(0, 400, 45)), None))
+    assert len(entries) > 400 / 7
+    out = []
+    for ms in (20_000, 60_000):
+        timers.clear()
+        out += list(counter.handleExpiredTimer((0, False), At(ms), At(ms)))
+    got = pd.concat(out).sort_values("event_id")
+    assert len(got) == 400 and not entries and min(timers) > 3600_000
+    kept = {}
+    for user, at, ident, flags in sorted(map(tuple, rows.to_numpy().tolist()), key=lambda r: (r[1], r[2])):
+        fails, down, first = kept.get(user, (0, False, at))
+        fails = 0 if flags & 1 else fails + (flags & 2 > 0)
+        down = not flags & 1 and (down or (fails >= 2 and not flags & 4 and at - first >= 2_500_000))
+        kept[user] = fails, down, first
+        assert tuple(got.iloc[ident][["user_id", "fails", "down"]]) == (user, fails, down)
+    assert "state" in values
+    list(counter.handleExpiredTimer((0, False), At(4_000_000), At(4_000_000)))
+    assert "state" not in values
+
+
 @pytest.mark.parametrize("form", [state.expiring_games, state.expiring_in_buckets])
 def test_game_expiry(spark, sf_dir, stream, form):
     """Timers report exactly the games that ended before the watermark."""
