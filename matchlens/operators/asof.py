@@ -41,6 +41,9 @@ def last_before(
     quoted = F.col("_kind") == 1
     marked = ordered.rows.withColumns({"_one": quoted.cast("long"), "_seat": F.when(quoted, F.col("_pos"))})
     merged = replace(ordered, rows=marked).running(["_key"], _seen=("sum", "_one"), _place=("max", "_seat"))
-    found = merged.filter("_kind = 0").select("_game", "_place", F.when(F.col("_place").isNotNull(), F.col("_seen")).alias("quotes_seen"))
+    # Games without a quote get places of their own that no quote has, as one NULL would bring them all to one task.
+    found = merged.filter("_kind = 0").select(
+        "_game", F.coalesce("_place", -1 - F.col("_pos")).alias("_place"), F.when(F.col("_place").isNotNull(), F.col("_seen")).alias("quotes_seen")
+    )
     places = ordered.rows.filter(quoted).select(F.col("_pos").alias("_place"), "_quote")
     return found.join(places, "_place", "left").select("_game.*", "_quote.*", "quotes_seen")

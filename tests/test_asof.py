@@ -47,6 +47,22 @@ def test_no_join_of_quotes_by_game(spark, plan_of):
     assert joins and all("_key" not in line or "_block" in line for line in joins)
 
 
+def test_games_without_a_quote_do_not_share_a_task(spark):
+    quotes = spark.createDataFrame([(1, 3, 1)], "game_id long, quote_ts long, quote_id long")
+    games = spark.range(4000).select(F.col("id").alias("game_id"), F.lit(5).cast("long").alias("start_ts"))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in plain}
+    try:
+        for key, value in plain.items():
+            spark.conf.set(key, value)
+        tasks = asof.last_before(quotes, games).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(t["count"] for t in tasks) == 4000
+    assert max(t["count"] for t in tasks) < 2000
+
+
 def test_teams_are_listed_by_code_unit(spark):
     names = ["b", "B", "é", "z", "￮", "\U0001f600", ""]
     df = spark.createDataFrame([("NBA", 1, n) for n in names] + [("NFL", 1, "a")], "league string, report_date int, team string")
