@@ -52,12 +52,14 @@ SELECT *, CAST(row_number() OVER (PARTITION BY league, report_date ORDER BY team
 
 
 def injuries_by_game(spark, sf_dir):
-    df = ops.injuries_of_games(*inputs(spark, sf_dir))
-    return df.select(
-        "game_id", "id", "team_display_name", "status",
+    hurt, games = inputs(spark, sf_dir)
+    # Texts are made once for each report, not for each of its games.
+    told = hurt.select(
+        "league", "report_date", "team_display_name", "id", "status",
         injury_line(F.col("player"), F.col("injury_type"), F.col("team_display_name")).alias("line"),
         display_date(F.col("report_date")).alias("reported"),
     )
+    return ops.injuries_of_games(told, games).select("game_id", "id", "team_display_name", "status", "line", "reported")
 
 
 QUERIES["injuries_by_game"] = injuries_by_game

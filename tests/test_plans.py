@@ -64,3 +64,11 @@ def test_big_joins_do_not_broadcast_by_hand(spark, sf_dir, plan_of):
         assert "BroadcastHashJoin" not in plan_of(tables.games(spark, sf_dir), "simple")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_injury_texts_are_made_before_the_join(spark, sf_dir):
+    """A report meets many games; its texts are made once."""
+    plan = catalog.QUERIES["injuries_by_game"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join")
+    assert "concat" not in above and "date_format" not in above
+    assert "concat" in below and "date_format" in below
