@@ -8,8 +8,9 @@ intermediate tables of a stage are removed when the next one starts.
 1. ``language``: documents whose language cannot be told go.
 2. ``quality``: documents that break a base rule or leave the fences of their
    language and source go.
-3. ``near_duplicates``: one document of each group of near copies stays (five-word
-   shingles, Jaccard similarity of 0.8 or more).
+3. ``near_duplicates``: one document of each group of near copies stays. SimHash
+   fingerprints over five-word shingles, met through segments with one bit blotted
+   out, and minimum hashes propose; a Jaccard similarity of 0.8 or more decides.
 4. ``personal_data``: identifiers are replaced by their kind.
 5. ``packing``: token pieces are packed into sequences of 4096.
 """

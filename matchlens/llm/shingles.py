@@ -1,10 +1,14 @@
-"""Near copies by the true similarity of their sets of word shingles.
+"""Near copies by SimHash and minimum hashes, held to the true similarity of their sets of word shingles.
 
 Two texts are near copies if the Jaccard similarity of their sets of
 ``WIDTH``-word shingles is at least ``SIMILARITY``; near copies of near copies
-go together. Texts with equal sets are one node. Candidates come from minimum
-hashes: ``BANDS`` entries of ``ROWS`` hashes each, met by an equality shuffle. A
-pair at the least similarity shares none of them once in twenty thousand times
+go together. Texts with equal sets are one node. Candidates come from two
+indexes over the same shingles. One is that of operator 3 (``simhash``): three
+segments of the SimHash fingerprint, each with one bit blotted out, met by an
+equality shuffle and verified by the true distance, find every pair at ``BITS``
+or fewer differing bits. As many pairs of that similarity differ in more bits,
+minimum hashes find those: ``BANDS`` entries of ``ROWS`` hashes each. A pair at
+the least similarity shares none of them once in twenty thousand times
 (``(1 - 0.8 ** 5) ** 25``), a more similar one still more seldom. Every entry
 ties its nodes to one of them, so the ties grow with the members, not with their
 pairs. The groups they form are only candidates: inside each the similarities
@@ -19,10 +23,12 @@ each other. Rows without an id take part. Repeated rows stay. Extra columns stay
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchlens.llm import simhash
 from matchlens.llm.common import added, written
 from matchlens.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
+BITS = 4
 ROWS, BANDS = 5, 25
 SEED = 42
 BLOCK_CHARS = 4 << 20
@@ -31,17 +37,13 @@ SHINGLES_AT_ONCE = 1 << 13
 
 def shingles(text: str | None, width: int = WIDTH):
     """Sorted distinct hashes of all runs of ``width`` lower-cased words."""
+    return _distinct(list(simhash.hashed_runs(text, width)))
+
+
+def _distinct(runs: list):
     import numpy as np
-    import xxhash
 
-    # Bytes know just these letters and just this white space.
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    hashed, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    ends = np.cumsum(np.array(list(map(len, words))) + 1).tolist()
-    stops = [e - 1 for e in ends[width - 1 :]] or [len(joined)]
-    return np.unique(np.array([hashed(joined[i:j], SEED) for i, j in zip([0, *ends], stops)], dtype=np.uint64))
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *runs]))
 
 
 def _multipliers():
@@ -66,23 +68,26 @@ def bands(found, multipliers):
 
 
 def with_bands(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``_node``, a hash of the set of shingles, and ``_bands``."""
+    """Adds ``_node``, a hash of the set of shingles, ``_fp``, their SimHash fingerprint, and ``_bands``."""
 
-    @F.pandas_udf("struct<node:long,bands:array<long>>")
+    @F.pandas_udf("struct<node:long,fp:long,bands:array<long>>")
     def found(texts):
         import numpy as np
         import pandas as pd
         import xxhash
 
-        by, nodes, keys = _multipliers(), [], []
+        by, nodes, prints, keys = _multipliers(), [], [], []
         for t in texts:
-            some = shingles(t)
+            runs = list(simhash.hashed_runs(t, WIDTH))
+            some = _distinct(runs)
             nodes.append(xxhash.xxh64_intdigest(some.tobytes(), SEED))
+            prints.append(simhash.majority(runs))
             keys.append(bands(some, by).view(np.int64))
-        return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "bands": keys})
+        signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"node": signed(nodes), "fp": signed(prints), "bands": keys})
 
     rows = docs.withColumn("_found", found(F.col(text)))
-    return added(rows, {"_node": F.col("_found.node"), "_bands": F.col("_found.bands")}).drop("_found")
+    return added(rows, {f"_{c}": F.col(f"_found.{c}") for c in ("node", "fp", "bands")}).drop("_found")
 
 
 def forest(sets: list, least: float = SIMILARITY):
@@ -131,6 +136,20 @@ def ties(nodes: DataFrame) -> DataFrame:
     return met.filter("_node <> hub").select(F.col("_node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def alike(prints: DataFrame) -> DataFrame:
+    """``a, b``: nodes tied by fingerprints of at most ``BITS`` differing bits, from rows ``_node, _fp``.
+
+    The nodes of one fingerprint hang on the smallest; the links between fingerprints tie those.
+    """
+    prints = written(prints.distinct(), "prints")
+    hubs = prints.groupBy("_fp").agg(F.min("_node").alias("hub"))
+    same = prints.join(hubs, "_fp").select(F.col("_node").alias("a"), F.col("hub").alias("b")).filter("a <> b")
+    near = simhash.links(hubs.select(F.col("_fp").alias("fp")), BITS)
+    of = lambda end: hubs.select(F.col("_fp").alias(end), F.col("hub").alias(f"of_{end}"))
+    met = near.join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(met.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+
+
 def links(members: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
     """``a, b``: the links inside the candidate groups ``root`` of ``node, text``."""
     sizes = members.groupBy("root").agg(F.ceil(F.sum(F.length("text")) / block).alias("n"))
@@ -156,7 +175,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     # Ids before nulls, then the row: unique even if ids repeat.
     head = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col("_row").alias("row"))
     nodes = rows.groupBy("_node").agg(F.min(head).alias("head"), F.first("_bands").alias("_bands"))
-    groups = components(ties(nodes)).select(F.col("node").alias("_node"), "root")
+    proposed = alike(rows.select("_node", "_fp")).unionByName(ties(nodes))
+    groups = components(proposed).select(F.col("node").alias("_node"), "root")
     # The text of one row speaks for its node.
     heads = written(nodes.select("_node", "head"), "nodes")
     asked = written(

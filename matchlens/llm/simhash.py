@@ -29,25 +29,39 @@ BLOCK = 8192
 SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Majority bits of the hashes of all runs of ``width`` lower-cased words."""
+def hashed_runs(text: str | None, width: int):
+    """The hashes of all runs of ``width`` lower-cased words, repeats included, some at a time."""
     import numpy as np
     import xxhash
 
     # Bytes know just these letters and just this white space.
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    joined, sizes = b" ".join(words), list(map(len, words))
-    ends = np.cumsum(np.array(sizes) + 1).tolist()
+        return
+    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.array(list(map(len, words))) + 1).tolist()
     starts = [0, *ends[:-1]]
     stops = [e - 1 for e in ends[width - 1 :]] or [len(joined)]
-    hashed, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(stops), SHINGLES_AT_ONCE):
         some = zip(starts[at:], stops[at : at + SHINGLES_AT_ONCE])
-        hashes = np.array([hashed(joined[i:j], SEED) for i, j in some], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(stops)).tobytes(), "big")
+        yield np.array([hashed(joined[i:j], SEED) for i, j in some], dtype=np.uint64)
+
+
+def majority(hashes) -> int:
+    """The bits that more than half of the hashes have; ``hashes`` come some at a time."""
+    import numpy as np
+
+    counts, total = np.zeros(BITS, dtype=np.int64), 0
+    for some in hashes:
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(0, dtype=np.int64)
+        total += len(some)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Majority bits of the hashes of all runs of ``width`` lower-cased words."""
+    return majority(hashed_runs(text, width))
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str = "fingerprint"):

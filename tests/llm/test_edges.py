@@ -262,3 +262,18 @@ def test_blocks_of_a_hot_group_are_dealt_apart(spark, plan_of):
         assert "i#" in first and "j#" in first
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_near_copies_are_proposed_by_simhash(spark):
+    """Nodes whose fingerprints differ in at most four bits are tied, whatever their minimum hashes."""
+    ready(spark)
+    far = 0b1111100000
+    prints = [(1, 0), (2, 0), (3, 0b1111), (4, 0b11111 << 40), (5, (0b11111 << 40) | far), (6, -1), (7, -1 - (1 << 62))]
+    rows = spark.createDataFrame([*prints, (3, 0b1111)], "_node long, _fp long")
+    pairs = {(r.a, r.b) for r in graph.components(shingles.alike(rows)).select(F.col("node").alias("a"), F.col("root").alias("b")).collect()}
+    assert pairs == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
+    texts = [(i, PLAIN * 3 + f"{w}") for i, w in enumerate(("one", "two", "three"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = shingles.with_bands(docs, "text").collect()
+    assert [np.uint64(r._fp & (2**64 - 1)) for r in found] == [np.uint64(simhash.fingerprint(t, 5)) for _, t in texts]
+    assert [r.doc_id for r in shingles.one_of_each(docs).collect()] == [0]
