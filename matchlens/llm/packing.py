@@ -24,7 +24,7 @@ from itertools import chain, filterfalse
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, held, ranked
+from matchlens.llm.common import added, held, ranked, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -238,7 +238,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 def packed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` of ``pieces`` with ``sequence_id`` and ``offset``: where each piece goes."""
-    placed = ranked(rows, "length", "_number")
+    # Written first, tokens and numbers come from different tasks: half as many workers, each with its own words.
+    placed = ranked(written(rows, "pieces"), "length", "_number")
     counts = placed.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
     made = plan({r["length"]: r["n"] for r in counts}, capacity)
     shared = rows.sparkSession.sparkContext.broadcast(made)

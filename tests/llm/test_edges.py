@@ -277,3 +277,12 @@ def test_near_copies_are_proposed_by_simhash(spark):
     found = shingles.with_bands(docs, "text").collect()
     assert [np.uint64(r._fp & (2**64 - 1)) for r in found] == [np.uint64(simhash.fingerprint(t, 5)) for _, t in texts]
     assert [r.doc_id for r in shingles.one_of_each(docs).collect()] == [0]
+
+
+def test_tokens_and_numbers_of_pieces_come_from_different_tasks(docs, plan_of, monkeypatch):
+    """Workers that tokenize keep the words they have met; two kinds of them in a task are twice as many."""
+    plans, ranked = [], packing.ranked
+    monkeypatch.setattr(packing, "ranked", lambda rows, *how: plans.append(plan_of(rows, "simple")) or ranked(rows, *how))
+    rows = packing.packed(packing.pieces(docs.select("doc_id", "text"), WORDS))
+    assert rows.count() == docs.count()
+    assert len(plans) == 1 and "Python" not in plans[0]
