@@ -136,6 +136,7 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     def number(frames):
         from pyspark import TaskContext
 
+        released()
         part, seen = TaskContext.get().partitionId(), {}
         for frame in frames:
             nth = frame.groupby(key, sort=False, dropna=False).cumcount()
@@ -184,6 +185,11 @@ def held(key, make):
     Workers serve one operator after another; only the latest keeps its tables.
     """
     if key not in _held:
-        _held.clear()
+        released()
         _held[key] = make()
     return _held[key]
+
+
+def released() -> None:
+    """Let go of what an earlier operator left in this Python process; for operators without tables of their own."""
+    _held.clear()

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, at_most, held, written
+from matchlens.llm.common import added, at_most, held, released, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 1 << 18
@@ -68,6 +68,7 @@ def _words(frames):
                     words[word] += n
             yield _rows(lang, words)
 
+    released()
     by_lang = {}
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"]):
@@ -81,6 +82,7 @@ def _words(frames):
 
 def _grams(frames):
     """N-grams of counted words by language, summed as far as one task sees them."""
+    released()
     by_lang = {}
     for frame in frames:
         for lang, word, n in zip(frame["lang"], frame["term"], frame["n"].tolist()):

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, written
+from matchlens.llm.common import added, released, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
@@ -138,6 +138,7 @@ def marked(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataF
     def found(texts):
         import pandas as pd
 
+        released()
         rows = []
         for t in texts:
             base, seen_ = occurrences(t or "")
@@ -282,6 +283,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     def cut(texts, spans):
         import pandas as pd
 
+        released()
         out = []
         for t, found in zip(texts, spans):
             if t is not None and found is not None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm import simhash
-from matchlens.llm.common import added, written
+from matchlens.llm.common import added, released, written
 from matchlens.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -76,6 +76,7 @@ def with_bands(docs: DataFrame, text: str) -> DataFrame:
         import pandas as pd
         import xxhash
 
+        released()
         by, nodes, prints, keys = _multipliers(), [], [], []
         for t in texts:
             runs = list(simhash.hashed_runs(t, WIDTH))
@@ -121,6 +122,7 @@ def _linked(frame):
     """True links among the members of a group, or of two blocks of one."""
     import pandas as pd
 
+    released()
     nodes = frame["node"].to_numpy()
     pairs = forest([shingles(t) for t in frame["text"]]) if len(nodes) > 1 else []
     return pd.DataFrame(

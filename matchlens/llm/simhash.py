@@ -19,7 +19,7 @@ Repeated rows stay. Extra columns stay; those named like a result give way.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import added, written
+from matchlens.llm.common import added, released, written
 from matchlens.llm.graph import components
 
 SEED = 42
@@ -183,6 +183,7 @@ def _linked(distance: int, block: int):
             pairs = pairs.view(np.int64)
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "bit": -1, "rest": 0})
 
+        released()
         held, over = None, None
         for frame in frames:
             if over is not None:

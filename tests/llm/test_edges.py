@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import byte_bpe, chat, covertree, graph, langid, packing, pii, ppm, quality
+from matchlens.llm import byte_bpe, chat, common, covertree, graph, langid, packing, pii, ppm, quality
 from matchlens.llm import queries, sharding, shingles, simhash
 from matchlens.llm.common import ready
 
@@ -283,6 +283,18 @@ def test_tokens_and_numbers_of_pieces_come_from_different_tasks(docs, plan_of, m
     """Workers that tokenize keep the words they have met; two kinds of them in a task are twice as many."""
     plans, ranked = [], packing.ranked
     monkeypatch.setattr(packing, "ranked", lambda rows, *how: plans.append(plan_of(rows, "simple")) or ranked(rows, *how))
-    rows = packing.packed(packing.pieces(docs.select("doc_id", "text"), WORDS))
-    assert rows.count() == docs.count()
+    pieces = packing.pieces(docs.select("doc_id", "text"), WORDS)
+    assert packing.packed(pieces).count() == pieces.count()
     assert len(plans) == 1 and "Python" not in plans[0]
+
+
+def test_operators_without_tables_let_go_of_earlier_ones(monkeypatch):
+    """Else a worker keeps the tables of one stage of the pipeline through the next ones."""
+    import pandas as pd
+
+    none = pd.DataFrame({"node": [], "text": [], "lang": [], "term": [], "n": [], "bit": [], "rest": [], "fp": []})
+    for begin in (langid._words, langid._grams, simhash._linked(4, 10), lambda frames: [shingles._linked(none)]):
+        monkeypatch.setattr(common, "_held", {})
+        common.held("words", lambda: "large")
+        list(begin(iter([])))
+        assert not common._held
