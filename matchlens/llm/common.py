@@ -1,6 +1,9 @@
 """Helpers shared by the operators of this folder."""
 
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -185,11 +188,25 @@ def held(key, make):
     Workers serve one operator after another; only the latest keeps its tables.
     """
     if key not in _held:
-        released()
+        _held.clear()
+        trimmed()
         _held[key] = make()
+        trimmed()
     return _held[key]
 
 
 def released() -> None:
     """Let go of what an earlier operator left in this Python process; for operators without tables of their own."""
-    _held.clear()
+    if _held:
+        _held.clear()
+        trimmed()
+
+
+def trimmed() -> None:
+    """Give memory that Python and Arrow hold without need back to the system, where it can be asked for."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)

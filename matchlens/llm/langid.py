@@ -34,6 +34,7 @@ KEPT_GRAMS = 1 << 20
 SENT_KEYS = 1 << 21
 LONGEST_GRAM = 4
 FLUSH = 150_000
+ROWS_AT_ONCE = 1 << 16
 CACHED_PARTS, CACHED_BYTES = 200_000, 64 << 20
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
@@ -149,7 +150,10 @@ class Model:
             # Frequencies are taken among n-grams of one size.
             size = np.array([len(t) if kind == "gram" else 0 for t in terms], dtype=np.int64)
             for s in set(size.tolist()):
-                table[size == s] = self.logs(table[size == s], s)
+                places = np.flatnonzero(size == s)
+                for at in range(0, len(places), ROWS_AT_ONCE):
+                    some = places[at : at + ROWS_AT_ONCE]
+                    table[some] = self.logs(table[some], s)
             out[kind] = {t: i for i, t in enumerate(terms)}, table
         return out
 
@@ -165,8 +169,8 @@ class Scorer(dict):
         self.asked, self.beside = [], []
         tables = model.tables()
         self.words, self.word_logs = tables["word"]
-        at, logs = tables["gram"]
-        self.grams = dict(zip(at, map(tuple, logs.tolist())))
+        # Rows of one table, too: as lists of numbers they would take several times the memory.
+        self.grams, self.gram_logs = tables["gram"]
         rows = max(1000, min(CACHED_PARTS, CACHED_BYTES // (8 * max(1, len(self.langs)))))
         self.table = np.zeros((rows, len(self.langs)))
 
@@ -174,10 +178,10 @@ class Scorer(dict):
         """The mean over the word's longest known n-grams; None if none is known."""
         get = self.grams.get
         for size in range(LONGEST_GRAM, 0, -1):
-            known = [logs for logs in map(get, grams_of(word, size)) if logs]
+            known = [row for row in map(get, grams_of(word, size)) if row is not None]
             if known:
                 n = len(known)
-                return [sum(column) / n for column in zip(*known)]
+                return [sum(column) / n for column in zip(*self.gram_logs[known].tolist())]
         return None
 
     def __missing__(self, part: str) -> int:
@@ -291,7 +295,8 @@ def _summed(rows: DataFrame, count) -> DataFrame:
 
 
 def looked_up(asked: DataFrame, model: Model, shared) -> DataFrame:
-    """``word, logs`` (a number for each language) for the distinct words ``asked`` the tables can tell of."""
+    """``word, logs`` (a number for each language, or null) for the distinct words ``asked``; words without a row or
+    with null are those the tables cannot tell of."""
     words, grams = model.left
     met = asked.join(words.select(F.col("term").alias("word"), "counts"), "word", "left")
     if not model.gram_whole:
@@ -310,7 +315,7 @@ def looked_up(asked: DataFrame, model: Model, shared) -> DataFrame:
     new = unseen(F.when(F.col("counts").isNull(), F.col("word")))
     found = met.select("word", "counts", new.alias("new"))
     logs = F.coalesce("new", F.when(F.col("counts").isNotNull(), _logs_of(model, F.col("counts"), 0)))
-    return found.select("word", logs.alias("logs")).filter("logs IS NOT NULL")
+    return found.select("word", logs.alias("logs"))
 
 
 def _logs_of(model: Model, counts: Column, size: int) -> Column:
@@ -384,7 +389,8 @@ def _joined(docs: DataFrame, model: Model, shared, text: str, keep_text: bool) -
     rows = numbered.withColumn("_f", first(F.col(text)))
     rows = written(rows if keep_text else rows.drop(text), "partly")
     left = rows.select("_row", F.explode("_f.asked").alias("a")).select("_row", "a.word", "a.tf")
-    logs = written(looked_up(left.select("word").distinct(), model, shared), "looked_up")
+    # Filtered once written: before, each task would work out the n-grams twice, in two workers with tables of their own.
+    logs = written(looked_up(left.select("word").distinct(), model, shared), "looked_up").filter("logs IS NOT NULL")
     # One sum for each language.
     sums = [F.sum(F.col("tf") * F.get("logs", F.lit(i))) for i in range(len(langs))]
     more = left.join(logs, "word").groupBy("_row").agg(F.array(*sums).alias("_more"))

@@ -298,3 +298,35 @@ def test_operators_without_tables_let_go_of_earlier_ones(monkeypatch):
         common.held("words", lambda: "large")
         list(begin(iter([])))
         assert not common._held
+
+
+def test_unseen_words_are_scored_by_one_worker_of_a_task(spark, plan_of, monkeypatch):
+    """Each worker that scores has the model's tables; two of them in a task are twice as many."""
+    rows = [("the thing is here and the dog is there", "en")] * 40 + [("der schatz ist schwarz", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), kept_words=4)
+    plans, written = {}, langid.written
+    monkeypatch.setattr(
+        langid, "written", lambda df, name: plans.update({name: plan_of(df, "simple")}) or written(df, name)
+    )
+    docs = spark.createDataFrame([(1, "theth schatzer"), (2, "\u6f22"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.identified(docs, model).collect()}
+    assert found == {1: "de", 2: "en", 3: langid.UNKNOWN}
+    assert plans["partly"].count("ArrowEvalPython") == plans["looked_up"].count("ArrowEvalPython") == 1
+
+
+def test_tables_of_grams_take_little_more_than_their_numbers(spark):
+    """As lists of numbers they took several times as much in every worker."""
+    import tracemalloc
+
+    terms = [a + b + c + d for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefgh" for d in "abcdefgh"]
+    langs = [f"l{i:02}" for i in range(20)]
+    counts = {"word": ([], [], []), "gram": ([langs[i % 20] for i in range(len(terms))], terms, [1] * len(terms))}
+    sizes = {size: (len(terms), [len(terms) // 20] * 20) for size in range(5)}
+    model = langid.Model(counts, langs, sizes, True, True)
+    tracemalloc.start()
+    try:
+        scorer = langid.Scorer(model)
+        taken = tracemalloc.get_traced_memory()[0] - scorer.table.nbytes
+    finally:
+        tracemalloc.stop()
+    assert taken < 2.5 * 8 * 20 * len(terms)
